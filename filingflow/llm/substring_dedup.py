@@ -4,7 +4,7 @@ Each text is a string of word symbols. Four rounds rename it: symbols are split
 symbol followed by a right one becomes one new symbol, named by a hash of the two, so that a pair has the same name in every document
 and no dictionary has to travel. What happens to a symbol depends on its neighbours only: of a repeat of 50 words at most 15 at each
 end are parsed differently, and the symbols of the 20 in the middle, of at most 16 words each, are equal wherever the repeat stands.
-Each window of words is filed under its smallest interior symbol, a run of windows under one symbol as one entry. Spark brings equal
+Each window of words is filed under its longest interior symbol, a run of windows under one symbol as one entry. Spark brings equal
 symbols together; where two different texts share one, exactly the windows filed under it are compared by hashes of their words.
 
 Equal texts are one class from the start, so copies meet once. A word is removed if a window over it also starts in a document with a
@@ -51,13 +51,15 @@ def recompressed(symbol: np.ndarray, first: np.ndarray, rounds: int = ROUNDS) ->
 
 
 def filed_windows(symbol: np.ndarray, start: np.ndarray, size: np.ndarray, first: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """For each window of words within a row: its first word, and the number of the smallest symbol wholly inside its middle."""
+    """For each window of words within a row: its first word, and the number of the symbol that it is filed under: of those wholly
+    inside its middle one with the most words, of these the smallest hash."""
     n = np.maximum(np.diff(first) - window + 1, 0)
     end = np.cumsum(n)
     p = np.arange(end[-1] if len(end) else 0) - np.repeat(end - n, n) + np.repeat(first[:-1], n)
     if not len(p):
         return p, p
-    order = np.argsort(np.argsort(mixed(symbol ^ U64(0x8EBC6AF09C88C6E3)), kind="stable"))
+    order = np.empty(len(symbol), np.int64)
+    order[np.lexsort((mixed(symbol ^ U64(0x8EBC6AF09C88C6E3)), -size))] = np.arange(len(symbol))
     lo = np.searchsorted(start, p + MARGIN)
     hi = np.searchsorted(start + size, p + window - MARGIN, "right")
     width = int((hi - lo).max())
@@ -119,6 +121,7 @@ def _unpacked(table: pa.Table, columns: dict) -> list[np.ndarray]:
 
 
 FILED = {"symbol": U64, "key": U64, "lo": np.uint32, "hi": np.uint32}
+PLACES = {"key": U64, "lo": np.uint32, "hi": np.uint32}
 WINDOWS = {"window": U64, "key": U64, "least": np.int64, "at": np.uint32}
 
 
@@ -172,41 +175,64 @@ def filed(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, _schema(FILED))
 
 
-def shared_symbols(table: pa.Table) -> pa.Table:
-    """Of one bucket: the entries whose symbol stands in two classes or more, packed by class."""
+def _dealt(columns: dict, buckets: int, *values: np.ndarray) -> pa.Table:
+    out = _Buckets(buckets, columns)
+    out.add(*values)
+    schema = pa.schema([("bucket", pa.int32()), *((name, pa.binary()) for name in columns)])
+    return pa.Table.from_batches(out.flush(), schema)
+
+
+def shared_symbols(table: pa.Table, buckets: int) -> pa.Table:
+    """Of one bucket: the entries whose symbol stands in two classes or more, dealt out by class."""
     symbol, key, lo, hi = _unpacked(table, FILED)
     order = np.lexsort((key, symbol))
     symbol, key, lo, hi = symbol[order], key[order], lo[order], hi[order]
     heads = np.flatnonzero(np.r_[True, symbol[1:] != symbol[:-1]])
     change = np.r_[False, (key[1:] != key[:-1]) & (symbol[1:] == symbol[:-1])]
     shared = np.repeat(np.add.reduceat(change.astype(np.int64), heads) > 0, np.diff(np.r_[heads, len(symbol)]))
-    return _by_key(key[shared], np.c_[lo[shared], hi[shared]])
-
+    return _dealt(PLACES, buckets, key[shared], lo[shared], hi[shared])
 
-def _by_key(key: np.ndarray, places: np.ndarray) -> pa.Table:
-    order = np.argsort(key, kind="stable")
-    key, places = key[order], places[order]
-    heads = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
-    return pa.table({"key": pa.array(key[heads].view(np.int64)), "places": pa.array([packed(x.astype(np.uint32)) for x in np.split(places, heads[1:])] if len(heads) else [], pa.binary())})
 
-
-def repeated_windows(table: pa.Table) -> pa.Table:
-    """Of one bucket: the windows of each class that also stand in a document with a smaller id, packed by class."""
+def repeated_windows(table: pa.Table, buckets: int) -> pa.Table:
+    """Of one bucket: the windows of each class that also stand in a document with a smaller id, dealt out by class."""
     window, key, least, at = _unpacked(table, WINDOWS)
     order = np.lexsort((least, window))
     window, key, least, at = window[order], key[order], least[order], at[order]
     heads = np.flatnonzero(np.r_[True, window[1:] != window[:-1]])
     smallest = np.repeat(least[heads], np.diff(np.r_[heads, len(window)]))
     later = least > smallest
-    return _by_key(key[later], at[later])
+    return _dealt(PLACES, buckets, key[later], at[later], at[later])
+
+
+def places_of_classes(dealt: DataFrame) -> DataFrame:
+    """Rows (key, places): each class with its packed pairs of first and last window."""
+
+    def gather(table: pa.Table) -> pa.Table:
+        key, lo, hi = _unpacked(table, PLACES)
+        order = np.argsort(key, kind="stable")
+        key, places = key[order], np.c_[lo[order], hi[order]]
+        heads = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        return pa.table({"key": pa.array(key[heads].view(np.int64)), "places": pa.array([packed(x) for x in np.split(places, heads[1:])], pa.binary())})
+
+    return dealt.groupBy("bucket").applyInArrow(gather, "key bigint, places binary")
+
+
+def spread(places: bytes) -> np.ndarray:
+    """The windows of packed pairs, each once, in order."""
+    own = np.frombuffer(places, np.uint32).reshape(-1, 2).astype(np.int64)
+    n = own[:, 1] - own[:, 0] + 1
+    end = np.cumsum(n)
+    return np.unique(np.arange(end[-1]) - np.repeat(end - n, n) + np.repeat(own[:, 0], n))
 
 
-def _texts_of(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """Rows (key, text) of the classes wanted: a bitmap leaves out nearly all others before the shuffle."""
-    wanted = docs.sparkSession.sparkContext.broadcast(_wanted(keys))
+def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted (key, ...) with the text of each class. The texts are read once more; a bitmap of the keys leaves nearly all others
+    where they are."""
+    wanted = cut(wanted)
+    shared = docs.sparkSession.sparkContext.broadcast(_wanted(wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, seen, bitmap = WordHasher(*SPACED), set(), wanted.value
+        hasher, seen, bitmap = WordHasher(*SPACED), set(), shared.value
         for batch in batches:
             for s in text_slices(batch.column(0)):
                 own = _keys(hasher(s), s.hi - s.lo)
@@ -219,12 +245,12 @@ def _texts_of(docs: DataFrame, keys: DataFrame) -> DataFrame:
                 if take:
                     yield pa.RecordBatch.from_pydict({"key": pa.array(own[take].view(np.int64)), "text": batch.column(0).take(pa.array([s.lo + d for d in take]))})
 
-    found = docs.select("text").mapInArrow(run, "key bigint, text string").join(keys, "key")
-    return found.dropDuplicates(["key"])
+    found = docs.select("text").mapInArrow(run, "key bigint, text string")
+    return found.groupBy("key").agg(F.first("text").alias("text")).join(wanted, "key")
 
 
 def windows(flagged: DataFrame, buckets: int) -> DataFrame:
-    """flagged: rows (key, text, least, places); gives packed entries (window hash, key, least id, place) of the windows filed."""
+    """flagged: rows (key, text, places, least); gives packed entries (window hash, key, least id, place) of the windows filed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, out = WordHasher(*SPACED), _Buckets(buckets, WINDOWS)
@@ -235,10 +261,7 @@ def windows(flagged: DataFrame, buckets: int) -> DataFrame:
                 words = hasher(s)
                 hashes = grams(words.hashes, WINDOW)
                 for d in range(s.hi - s.lo):
-                    own = np.concatenate([np.frombuffer(x, np.uint32) for x in places[s.lo + d]]).reshape(-1, 2).astype(np.int64)
-                    n = own[:, 1] - own[:, 0] + 1
-                    end = np.cumsum(n)
-                    at = np.unique(np.arange(end[-1]) - np.repeat(end - n, n) + np.repeat(own[:, 0], n))
+                    at = spread(places[s.lo + d])
                     k = s.lo + d
                     if out.add(hashes[words.first[d] + at], np.full(len(at), keys[k]), np.full(len(at), least[k]), at):
                         yield from out.flush()
@@ -256,7 +279,7 @@ def without(marked: DataFrame) -> DataFrame:
             for text, places in zip(batch.column("text").to_pylist(), batch.column("places").to_pylist()):
                 words = text.encode("utf-8").split()
                 edge = np.zeros(len(words) + 1, np.int64)
-                at = np.concatenate([np.frombuffer(x, np.uint32) for x in places]).astype(np.int64)
+                at = spread(places)
                 np.add.at(edge, at, 1)
                 np.add.at(edge, at + WINDOW, -1)
                 gone = np.cumsum(edge[:-1]) > 0
@@ -273,12 +296,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     docs = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     each = stored(texts(docs), "texts")
     least = each.where(f"n_words >= {WINDOW} and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("least"))
-    shared = filed(docs, buckets).groupBy("bucket").applyInArrow(shared_symbols, "key bigint, places binary")
-    places = cut(shared.groupBy("key").agg(F.collect_list("places").alias("places")).join(least, "key"))
-    flagged = stored(_texts_of(docs, places.select("key", "least")), "flagged")
-    found = windows(flagged.join(places.select("key", "places"), "key"), buckets).groupBy("bucket").applyInArrow(repeated_windows, "key bigint, places binary")
-    marks = found.groupBy("key").agg(F.collect_list("places").alias("places"))
-    changed = cut(without(flagged.join(marks, "key")))
+    shared = filed(docs, buckets).groupBy("bucket").applyInArrow(lambda t: shared_symbols(t, buckets), _schema(PLACES))
+    places = places_of_classes(shared).join(least, "key")
+    found = windows(texts_of(docs, places), buckets).groupBy("bucket").applyInArrow(lambda t: repeated_windows(t, buckets), _schema(PLACES))
+    marks = places_of_classes(found)
+    changed = cut(without(texts_of(docs, marks)))
     copy = (F.col("doc_id") > F.col("least")) & (F.col("n_words") >= WINDOW)
     own = F.col("doc_id") == F.col("least")
     joined = each.join(least, "key", "left").join(changed, "key", "left")
