@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filingflow.llm.common import stored
+from filingflow.llm.common import stored, text_slices
 
 BASE_KINDS = ["email", "ip", "card", "phone"]
 KINDS = [*BASE_KINDS, "local_phone", "hidden_email", "ssn", "person"]
@@ -134,14 +134,15 @@ def proposed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_()), ("votes", pa.list_(pa.int32())), ("f", pa.list_(pa.float64()))]))
         for batch in batches:
-            out = []
-            for text in batch.column(1).to_pylist():
-                own = []
-                for a, k, b, base in candidates(text) if text else ():
-                    v = votes(text, a, k, b, base)
-                    own.append({"kind": k, "start": a, "end": b, "base": base, "votes": list(v), "f": features(text, a, k, b, v)})
-                out.append(own)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], ["doc_id", "spans"])
+            for s in text_slices(batch.column(1)):
+                part, out = batch.slice(s.lo, s.hi - s.lo), []
+                for text in part.column(1).to_pylist():
+                    own = []
+                    for a, k, b, base in candidates(text) if text else ():
+                        v = votes(text, a, k, b, base)
+                        own.append({"kind": k, "start": a, "end": b, "base": base, "votes": list(v), "f": features(text, a, k, b, v)})
+                    out.append(own)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, kind)], ["doc_id", "spans"])
 
     return docs.select(F.col(id_col).cast("bigint"), F.col(text_col).cast("string")).mapInArrow(run, f"doc_id bigint, spans {SPAN}")
 

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from filingflow.llm.common import text_slices
+
 KINDS = ["assign", "access", "hex", "github", "npm", "jwt", "pem"]
 # Keywords of each kind, in lower case for assign, and the expressions that start at a keyword.
 ASSIGN_WORDS = ["password", "passwd", "secret", "token", "apikey", "api_key"]
@@ -123,12 +125,14 @@ def scan(docs: DataFrame, keep: list[Column], text_col: str = "text") -> DataFra
         scanner = Scanner()
         span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
-            clean, spans = [], []
-            for text in batch.column(n).to_pylist():
-                own = scanner(text) if text else []
-                spans.append([{"kind": KINDS[k], "start": a, "end": b} for a, k, b in own])
-                clean.append(redacted(text, own))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(n)), pa.array(clean, pa.string()), pa.array(spans, span)], [*names, "_clean", "spans"])
+            for s in text_slices(batch.column(n)):
+                part = batch.slice(s.lo, s.hi - s.lo)
+                clean, spans = [], []
+                for text in part.column(n).to_pylist():
+                    own = scanner(text) if text else []
+                    spans.append([{"kind": KINDS[k], "start": a, "end": b} for a, k, b in own])
+                    clean.append(redacted(text, own))
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(n)), pa.array(clean, pa.string()), pa.array(spans, span)], [*names, "_clean", "spans"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", _clean string, " + SPANS
     return rows.mapInArrow(run, schema)
