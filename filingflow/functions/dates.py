@@ -20,44 +20,54 @@ def _c(col: Column | str) -> Column:
 
 
 def month_number(col: Column | str) -> Column:
-    table = F.create_map(*[F.lit(x) for kv in MONTHS.items() for x in kv])
-    return F.try_element_at(table, F.lower(_c(col)))
+    """By the first three letters; the English spellings that differ are replaced first."""
+    head = F.substring(F.lower(_c(col)), 1, 3)
+    head = F.when(head == "may", "mei").when(head == "aug", "agu").when(head == "oct", "okt").when(head == "dec", "des").otherwise(head)
+    place = F.instr(F.lit("jan feb mar apr mei jun jul agu sep okt nov des"), head)
+    return F.when((F.length(head) == 3) & (place > 0), ((place + 3) / 4).cast("int"))
 
 
 def day(year: Column, month: Column, number: Column) -> Column:
     """A date, or null if there is none."""
-    return F.try_make_date(year.try_cast("int"), month.try_cast("int"), number.try_cast("int")) if hasattr(F, "try_make_date") else F.try_to_date(F.format_string("%s-%02d-%02d", year, month.try_cast("int"), number.try_cast("int")), "yyyy-MM-dd")
+    return F.try_to_date(F.concat(year, F.lit("-"), F.lpad(month.cast("string"), 2, "0"), F.lit("-"), F.lpad(number.cast("string"), 2, "0")), "yyyy-MM-dd")
 
 
 def _parts(col: Column, pattern: str, n: int) -> list[Column]:
     return [F.nullif(F.regexp_extract(col, pattern, k), F.lit("")) for k in range(1, n + 1)]
 
 
-def span(start: Column, end: Column, precision: str) -> Column:
-    """A span, or null unless both ends are dates in order."""
-    return F.when(start.isNotNull() & end.isNotNull() & (start <= end), F.struct(start.alias("start"), end.alias("end"), F.lit(precision).alias("precision")))
-
-
 def parse_name_dates(col: Column | str) -> Column:
     """The span that a document's name tells, the first rule that gives real dates: two ISO dates; an ISO date, perhaps with a last
     day; day or days with month and year; the same without blanks; months of a year; eight digits, year or day first."""
     c = _c(col)
     iso = r"(\d{4})-(\d{2})-(\d{2})"
-    y1, m1, d1, y2, m2, d2 = _parts(c, iso + r".*?" + iso, 6)
-    two = span(day(y1, m1, d1), day(y2, m2, d2), "day")
+    one = F.lit("1")
+
+    def rule(y1, m1, d1, y2, m2, d2, precision="day"):
+        return F.struct(*(x.cast("string").alias(n) for x, n in zip((y1, m1, d1, y2, m2, d2, F.lit(precision)), ("y1", "m1", "d1", "y2", "m2", "d2", "precision"))))
+
+    y, m, d, y2, m2, d2 = _parts(c, iso + r".*?" + iso, 6)
+    rules = [rule(y, m, d, y2, m2, d2)]
     y, m, d, last = _parts(c, iso + r"(?:_(\d{2})(?!\d))?", 4)
-    one = F.coalesce(span(day(y, m, d), day(y, m, last), "day"), span(day(y, m, d), day(y, m, d), "day"))
+    rules += [rule(y, m, d, y, m, last), rule(y, m, d, y, m, d)]
     a, b, mon, y = _parts(c, rf"(?i)(?<!\d)(\d{{1,2}})(?:\s*[-–]\s*(\d{{1,2}}))?\s+{NAME}\s+(\d{{4}})", 4)
-    worded = F.coalesce(span(day(y, month_number(mon), a), day(y, month_number(mon), b), "day"), span(day(y, month_number(mon), a), day(y, month_number(mon), a), "day"))
+    rules += [rule(y, month_number(mon), a, y, month_number(mon), b), rule(y, month_number(mon), a, y, month_number(mon), a)]
     a, mon, y = _parts(c, rf"(?i)(?<!\d)(\d{{1,2}}){NAME}(\d{{4}})$", 3)
-    compact = span(day(y, month_number(mon), a), day(y, month_number(mon), a), "day")
+    rules.append(rule(y, month_number(mon), a, y, month_number(mon), a))
     mon, mon2, y = _parts(c, rf"(?i){NAME}(?:\s*[-–]?\s*{NAME})?\s+(\d{{4}})", 3)
-    months = span(day(y, month_number(mon), F.lit("1")), F.last_day(day(y, month_number(F.coalesce(mon2, mon)), F.lit("1"))), "month")
-    y, m, d = _parts(c, r"(?<!\d)(\d{4})(\d{2})(\d{2})(?!\d)", 3)
-    year_first = F.when(y.between("1900", "2100"), span(day(y, m, d), day(y, m, d), "day"))
-    d, m, y = _parts(c, r"(?<!\d)(\d{2})(\d{2})(\d{4})(?!\d)", 3)
-    day_first = F.when(y.between("1900", "2100"), span(day(y, m, d), day(y, m, d), "day"))
-    return F.coalesce(two, one, worded, compact, months, year_first, day_first)
+    rules.append(rule(y, month_number(mon), one, y, month_number(F.coalesce(mon2, mon)), one, "month"))
+    y, m, d = _parts(c, r"(?<!\d)((?:19|20)\d{2})(\d{2})(\d{2})(?!\d)", 3)
+    rules.append(rule(y, m, d, y, m, d))
+    d, m, y = _parts(c, r"(?<!\d)(\d{2})(\d{2})((?:19|20)\d{2})(?!\d)", 3)
+    rules.append(rule(y, m, d, y, m, d))
+
+    def span(r: Column) -> Column:
+        last = day(r["y2"], r["m2"], r["d2"])
+        end = F.when(r["precision"] == "month", F.last_day(last)).otherwise(last)
+        return F.struct(day(r["y1"], r["m1"], r["d1"]).alias("start"), end.alias("end"), r["precision"].alias("precision"))
+
+    # Rules are read one by one in a lambda: as nested expressions their code would be too large to compile.
+    return F.get(F.filter(F.transform(F.array(*rules), span), lambda s: s["start"] <= s["end"]), 0)
 
 
 def date_label(start: Column | str, end: Column | str, precision: Column | str) -> Column:

@@ -6,6 +6,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def prefix_budget(df: DataFrame, key: str, order: list[Column], size: str, budget: int) -> DataFrame:
@@ -103,7 +104,7 @@ def pack_batches(df: DataFrame, key: str, order: list[str], size: str, most: int
             out.append(batch)
         return frame.assign(batch=out)
 
-    return df.groupBy(key).applyInPandas(run, df.schema.add("batch", "long"))
+    return df.groupBy(key).applyInPandas(run, T.StructType([*df.schema.fields, T.StructField("batch", T.LongType())]))
 
 
 def order_by_source(df: DataFrame, kind: str, ranks: dict[str, int], date: str) -> DataFrame:

@@ -11,11 +11,11 @@ from filingflow.operators.relational import first_per, rank_pct
 
 def structure(positions: DataFrame, pooled: DataFrame) -> DataFrame:
     """Per entity and period: holders, total percent, rest, Herfindahl index, effective number of holders, largest, percent of
-    unpooled holders of 1 to 5, and the average of holders below the largest."""
+    unpooled holders of 1 to 5, and the average of holders below the largest, in whole millionths."""
     p = positions.join(pooled.select("party", F.lit(True).alias("pooled")), "party", "left")
     small = F.coalesce(~F.col("pooled"), F.lit(True)) & (F.col("pct") >= 1) & (F.col("pct") < 5)
-    g = p.groupBy("entity", "period").agg(F.count("*").alias("n"), F.sum("pct").alias("total"), F.sum(F.col("pct") * F.col("pct")).alias("hhi"), F.max("pct").alias("top"), F.sum(F.when(small, F.col("pct")).otherwise(0.0)).alias("shadow"))
-    return g.select("entity", "period", "n", F.round("total", 4).alias("total"), F.when(F.round(100 - F.col("total"), 4) != 0, F.round(100 - F.col("total"), 4)).otherwise(0.0).alias("rest"), F.round("hhi", 4).alias("hhi"), F.round(10000 / F.col("hhi"), 4).alias("effective_n"), F.round("top", 4).alias("top"), F.round("shadow", 4).alias("shadow"), F.round(F.when(F.col("n") > 1, (F.col("total") - F.col("top")) / (F.col("n") - 1)), 4).alias("avg_rest"))
+    g = p.groupBy("entity", "period").agg(F.count("*").alias("n"), F.sum("pct").alias("total"), F.sum(F.col("pct") * F.col("pct")).alias("hhi"), F.max("pct").alias("top"), F.sum(F.round(F.col("pct") * 1000000).cast("bigint")).alias("units"), F.max(F.round(F.col("pct") * 1000000).cast("bigint")).alias("top_units"), F.sum(F.when(small, F.round(F.col("pct") * 1000000).cast("bigint")).otherwise(0)).alias("shadow"))
+    return g.select("entity", "period", "n", F.round("total", 4).alias("total"), F.when(F.round(100 - F.col("total"), 4) != 0, F.round(100 - F.col("total"), 4)).otherwise(0.0).alias("rest"), F.round("hhi", 4).alias("hhi"), F.round(10000 / F.col("hhi"), 4).alias("effective_n"), F.round("top", 4).alias("top"), (F.col("shadow") / 1000000.0).alias("shadow"), (F.when(F.col("n") > 1, F.floor((F.col("units") - F.col("top_units")) / (F.col("n") - 1))) / 1000000.0).alias("avg_rest"))
 
 
 def with_percentile(structures: DataFrame, column: str) -> DataFrame:

@@ -21,11 +21,7 @@ def d07(spark, d):
     return R.explode_days(catalog(spark, d), "start", "end").select("doc_id", "day")
 
 
-def _summaries(spark, d):
-    return table(spark, d, "events").select(F.date_add(F.to_date("ts"), 365 * 3).alias("day")).distinct()
-
-
-@query("D08_drop_fully_covered", ', covered AS (SELECT DISTINCT CAST(ts AS DATE) - 9000 + (event_id % 37) * 61 AS day FROM events)\nSELECT doc_id, "start", "end" FROM catalog c WHERE EXISTS (SELECT 1 FROM unnest(generate_series("start", "end", INTERVAL 1 DAY)) u(x) WHERE CAST(x AS DATE) NOT IN (SELECT day FROM covered))')
+@query("D08_drop_fully_covered", ', covered AS (SELECT DISTINCT CAST(ts AS DATE) - 9000 + CAST((event_id % 37) * 61 AS INTEGER) AS day FROM events)\nSELECT doc_id, "start", "end" FROM catalog c WHERE EXISTS (SELECT 1 FROM unnest(generate_series("start", "end", INTERVAL 1 DAY)) u(x) WHERE CAST(x AS DATE) NOT IN (SELECT day FROM covered))')
 def d08(spark, d):
     covered = table(spark, d, "events").select((F.date_add(F.to_date("ts"), (-9000 + (F.col("event_id") % 37) * 61).cast("int"))).alias("day"))
     return R.drop_fully_covered(catalog(spark, d), covered, "doc_id", "start", "end", "day").select("doc_id", "start", "end")

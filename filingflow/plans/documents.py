@@ -32,7 +32,7 @@ def t03(spark, d):
     return R.html_info(table(spark, d, "pages"), "page_id", "html").select("page_id", "title")
 
 
-@query("T04_codes", r"SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '\b([A-Z]{4})\b', 1))), ',') AS codes FROM documents")
+@query("T04_codes", r"SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(text, '[\p{L}\p{N}_]+'), lambda x: regexp_full_match(x, '[A-Z]{4}')))), ',') AS codes FROM documents")
 def t04(spark, d):
     return docs(spark, d).select("doc_id", F.array_join(F.array_sort(T.codes("text")), ",").alias("codes"))
 
@@ -132,7 +132,7 @@ def x14(spark, d):
     return X.top_passages(R.partition_records(docs(spark, d), "doc_id", "text"), "doc_id", ["licensed", "apache", "rights", "reserved"])
 
 
-@query("X17_rare_terms", rf"WITH {POSTINGS}, w AS (SELECT DISTINCT item_id, lower(unnest(regexp_extract_all(text, '\b(\p{{Lu}}[\p{{L}}\p{{N}}]*)', 1))) AS term FROM benchmark), n AS (SELECT term, count(*) AS docs FROM postings GROUP BY 1) SELECT item_id, term, docs FROM w JOIN n USING (term) WHERE docs <= 10")
+@query("X17_rare_terms", rf"WITH {POSTINGS}, w AS (SELECT DISTINCT item_id, lower(unnest(list_filter(regexp_extract_all(text, '[\p{{L}}\p{{N}}]+'), lambda x: regexp_matches(x, '^\p{{Lu}}')))) AS term FROM benchmark), n AS (SELECT term, count(*) AS docs FROM postings GROUP BY 1) SELECT item_id, term, docs FROM w JOIN n USING (term) WHERE docs <= 10")
 def x17(spark, d):
     return X.rare_terms(table(spark, d, "benchmark"), "item_id", "text", X.build_postings(docs(spark, d), "doc_id", "text"))
 
@@ -162,7 +162,7 @@ def c04(spark, d):
     return docs(spark, d).select("doc_id", T.topic_bits("text", TOPIC_PATTERNS).alias("topics"))
 
 
-@query("C12_spelling_variants", r"""WITH t AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '\b\p{L}{6,12}\b')) AS token FROM benchmark), v AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '\b\p{L}{6,12}\b')) AS word FROM conversations)
+@query("C12_spelling_variants", r"""WITH t AS (SELECT DISTINCT unnest(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda x: regexp_full_match(x, '\p{L}{6,12}'))) AS token FROM benchmark), v AS (SELECT DISTINCT unnest(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda x: regexp_full_match(x, '\p{L}{6,12}'))) AS word FROM conversations)
 SELECT token, word FROM t JOIN v ON token[1] = word[1] AND token <> word AND abs(length(token) - length(word)) <= 1 WHERE (length(token) = length(word) AND len(list_filter(range(1, length(token) + 1), lambda i: token[i] <> word[i])) = 1)
   OR (length(token) <> length(word) AND len(list_filter(range(1, greatest(length(token), length(word)) + 1), lambda i: CASE WHEN length(token) > length(word) THEN token[1:i-1] || token[i+1:] = word ELSE word[1:i-1] || word[i+1:] = token END)) > 0)""")
 def c12(spark, d):

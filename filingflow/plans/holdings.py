@@ -18,7 +18,7 @@ FIRST, SECOND = "1996-03-01", "1996-04-01"
 
 STRUCTURE = """,
 structure AS (SELECT entity, period, count(*) AS n, round(sum(pct), 4) AS total, CASE WHEN round(100 - sum(pct), 4) <> 0 THEN round(100 - sum(pct), 4) ELSE 0.0 END AS rest, round(sum(pct * pct), 4) AS hhi, round(10000 / sum(pct * pct), 4) AS effective_n, round(max(pct), 4) AS top,
-  round(sum(CASE WHEN q.party IS NULL AND pct >= 1 AND pct < 5 THEN pct ELSE 0 END), 4) AS shadow, round(CASE WHEN count(*) > 1 THEN (sum(pct) - max(pct)) / (count(*) - 1) END, 4) AS avg_rest
+  CAST(CAST(sum(CASE WHEN q.party IS NULL AND pct >= 1 AND pct < 5 THEN CAST(round(pct * 1000000) AS BIGINT) ELSE 0 END) AS BIGINT) AS DOUBLE) / 1000000.0 AS shadow, CAST(CASE WHEN count(*) > 1 THEN CAST(sum(CAST(round(pct * 1000000) AS BIGINT)) - max(CAST(round(pct * 1000000) AS BIGINT)) AS BIGINT) // (count(*) - 1) END AS DOUBLE) / 1000000.0 AS avg_rest
   FROM positions p LEFT JOIN pooled q ON p.party = q.party GROUP BY entity, period)"""
 COUNTS = """,
 counts AS (SELECT entity, period, holders FROM (SELECT DISTINCT entity FROM positions) CROSS JOIN axis LEFT JOIN (SELECT entity, period, count(*) AS holders FROM positions GROUP BY ALL) USING (entity, period))"""
@@ -278,7 +278,7 @@ def k16(spark, d):
 
 MARKED = USABLE + """,
 marked AS (SELECT p.entity, party, p.period, CASE WHEN usable THEN pct END AS pct FROM positions p JOIN usable u ON p.entity = u.entity AND p.period = u.period),
-largest15 AS (SELECT entity, party FROM (SELECT entity, party, row_number() OVER (PARTITION BY entity ORDER BY max(pct) DESC NULLS LAST, party) AS k FROM marked GROUP BY ALL) WHERE k <= 15)"""
+largest15 AS (SELECT entity, party FROM (SELECT entity, party, row_number() OVER (PARTITION BY entity ORDER BY most DESC NULLS LAST, party) AS k FROM (SELECT entity, party, max(pct) AS most FROM marked GROUP BY entity, party)) WHERE k <= 15)"""
 
 
 @query("K17_history", MARKED + "\nSELECT m.* FROM marked m JOIN largest15 USING (entity, party)")

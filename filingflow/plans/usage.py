@@ -9,9 +9,9 @@ from filingflow.operators import usage as U
 from filingflow.plans.registry import Registry
 from filingflow.plans.tables import table
 
-VIEWS = """questions AS (SELECT event_id AS id, CAST(epoch_ms(ts) AS BIGINT) AS stamp, CAST(user_id AS VARCHAR) AS user_key, event_type || ' ' || props AS question, event_type || ' ' || (user_id % 20) AS normalized,
+VIEWS = """questions AS (SELECT event_id AS id, CAST(epoch_us(ts) // 1000 AS BIGINT) AS stamp, CAST(user_id AS VARCHAR) AS user_key, event_type || ' ' || props AS question, event_type || ' ' || (user_id % 20) AS normalized,
   CASE WHEN event_id % 17 = 0 THEN 'error' ELSE 'ok' END AS status, '["k' || json_extract_string(props, '$.k') || '","' || event_type || '"]' AS terms, event_type AS mode FROM events),
-usage AS (SELECT event_id AS id, CAST(epoch_ms(ts) AS BIGINT) AS stamp, CASE WHEN event_id % 13 = 0 THEN 'error' ELSE 'ok' END AS result, CAST(floor(value * 100) AS BIGINT) AS cost, CAST(json_extract_string(props, '$.k') AS BIGINT) AS input_bytes, user_id AS output_tokens FROM events WHERE event_id % 3 <> 0),
+usage AS (SELECT event_id AS id, CAST(epoch_us(ts) // 1000 AS BIGINT) AS stamp, CASE WHEN event_id % 13 = 0 THEN 'error' ELSE 'ok' END AS result, CAST(floor(value * 100) AS BIGINT) AS cost, CAST(json_extract_string(props, '$.k') AS BIGINT) AS input_bytes, user_id AS output_tokens FROM events WHERE event_id % 3 <> 0),
 joined AS (SELECT q.*, u.result, u.cost FROM questions q LEFT JOIN usage u ON q.id = u.id)"""
 query = Registry(VIEWS)
 SINCE = 1705276800000  # 2024-01-15
