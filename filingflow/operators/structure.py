@@ -14,8 +14,12 @@ def structure(positions: DataFrame, pooled: DataFrame) -> DataFrame:
     unpooled holders of 1 to 5, and the average of holders below the largest, in whole millionths."""
     p = positions.join(pooled.select("party", F.lit(True).alias("pooled")), "party", "left")
     small = F.coalesce(~F.col("pooled"), F.lit(True)) & (F.col("pct") >= 1) & (F.col("pct") < 5)
-    g = p.groupBy("entity", "period").agg(F.count("*").alias("n"), F.sum("pct").alias("total"), F.sum(F.col("pct") * F.col("pct")).alias("hhi"), F.max("pct").alias("top"), F.sum(F.round(F.col("pct") * 1000000).cast("bigint")).alias("units"), F.max(F.round(F.col("pct") * 1000000).cast("bigint")).alias("top_units"), F.sum(F.when(small, F.round(F.col("pct") * 1000000).cast("bigint")).otherwise(0)).alias("shadow"))
-    return g.select("entity", "period", "n", F.round("total", 4).alias("total"), F.when(F.round(100 - F.col("total"), 4) != 0, F.round(100 - F.col("total"), 4)).otherwise(0.0).alias("rest"), F.round("hhi", 4).alias("hhi"), F.round(10000 / F.col("hhi"), 4).alias("effective_n"), F.round("top", 4).alias("top"), (F.col("shadow") / 1000000.0).alias("shadow"), (F.when(F.col("n") > 1, F.floor((F.col("units") - F.col("top_units")) / (F.col("n") - 1))) / 1000000.0).alias("avg_rest"))
+    # Percent in whole millionths: sums are exact, whatever their order.
+    u = F.round(F.col("pct") * 1000000).cast("bigint")
+    g = p.groupBy("entity", "period").agg(F.count("*").alias("n"), F.sum(u).alias("units"), F.max(u).alias("top_units"), F.sum(u * u).alias("squares"), F.sum(F.when(small, u).otherwise(0)).alias("shadow"))
+    hhi = F.col("squares") / 1e12
+    average = F.when(F.col("n") > 1, F.floor((F.col("units") - F.col("top_units")) / (F.col("n") - 1)))
+    return g.select("entity", "period", "n", (F.col("units") / 1000000.0).alias("total"), ((100000000 - F.col("units")) / 1000000.0).alias("rest"), hhi.alias("hhi"), F.round(10000 / hhi, 4).alias("effective_n"), (F.col("top_units") / 1000000.0).alias("top"), (F.col("shadow") / 1000000.0).alias("shadow"), (average / 1000000.0).alias("avg_rest"))
 
 
 def with_percentile(structures: DataFrame, column: str) -> DataFrame:
@@ -98,7 +102,7 @@ SORTS = {"largest": [F.desc_nulls_last, "total_b"], "up": [F.desc_nulls_last, "c
 def rank_changes(structures: DataFrame, first: str, second: str, mode: str, k: int = 100) -> DataFrame:
     """Entities by the change of their total or holders between two periods, in one of six orders; the first k."""
     side = lambda day, s: structures.where(F.col("period") == F.lit(day).cast("date")).select("entity", F.col("total").alias(f"total_{s}"), F.col("n").alias(f"n_{s}"))
-    both = side(first, "a").join(side(second, "b"), "entity", "full").select("entity", "total_b", F.round(F.col("total_b") - F.col("total_a"), 4).alias("change"), (F.col("n_b") - F.col("n_a")).alias("holders"))
+    both = side(first, "a").join(side(second, "b"), "entity", "full").select("entity", "total_b", (F.round((F.col("total_b") - F.col("total_a")) * 1000000).cast("bigint") / 1000000.0).alias("change"), (F.col("n_b") - F.col("n_a")).alias("holders"))
     how, column = SORTS[mode]
     return both.orderBy(how(column), "entity").limit(k)
 

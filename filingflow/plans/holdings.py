@@ -17,9 +17,11 @@ FIRST, SECOND = "1996-03-01", "1996-04-01"
 
 
 STRUCTURE = """,
-structure AS (SELECT entity, period, count(*) AS n, round(sum(pct), 4) AS total, CASE WHEN round(100 - sum(pct), 4) <> 0 THEN round(100 - sum(pct), 4) ELSE 0.0 END AS rest, round(sum(pct * pct), 4) AS hhi, round(10000 / sum(pct * pct), 4) AS effective_n, round(max(pct), 4) AS top,
-  CAST(CAST(sum(CASE WHEN q.party IS NULL AND pct >= 1 AND pct < 5 THEN CAST(round(pct * 1000000) AS BIGINT) ELSE 0 END) AS BIGINT) AS DOUBLE) / 1000000.0 AS shadow, CAST(CASE WHEN count(*) > 1 THEN CAST(sum(CAST(round(pct * 1000000) AS BIGINT)) - max(CAST(round(pct * 1000000) AS BIGINT)) AS BIGINT) // (count(*) - 1) END AS DOUBLE) / 1000000.0 AS avg_rest
-  FROM positions p LEFT JOIN pooled q ON p.party = q.party GROUP BY entity, period)"""
+unit AS (SELECT entity, period, party, pct, CAST(round(pct * 1000000) AS BIGINT) AS u FROM positions),
+sums AS (SELECT entity, period, count(*) AS n, CAST(sum(u) AS BIGINT) AS units, max(u) AS top_units, CAST(CAST(sum(u * u) AS BIGINT) AS DOUBLE) / 1e12::DOUBLE AS hhi, CAST(sum(CASE WHEN q.party IS NULL AND pct >= 1 AND pct < 5 THEN u ELSE 0 END) AS BIGINT) AS small
+  FROM unit p LEFT JOIN pooled q ON p.party = q.party GROUP BY entity, period),
+structure AS (SELECT entity, period, n, CAST(units AS DOUBLE) / 1000000.0::DOUBLE AS total, CAST(100000000 - units AS DOUBLE) / 1000000.0::DOUBLE AS rest, hhi, round(10000 / hhi, 4) AS effective_n, CAST(top_units AS DOUBLE) / 1000000.0::DOUBLE AS top, CAST(small AS DOUBLE) / 1000000.0::DOUBLE AS shadow,
+  CAST(CASE WHEN n > 1 THEN (units - top_units) // (n - 1) END AS DOUBLE) / 1000000.0::DOUBLE AS avg_rest FROM sums)"""
 COUNTS = """,
 counts AS (SELECT entity, period, holders FROM (SELECT DISTINCT entity FROM positions) CROSS JOIN axis LEFT JOIN (SELECT entity, period, count(*) AS holders FROM positions GROUP BY ALL) USING (entity, period))"""
 USABLE = """,
@@ -132,7 +134,7 @@ def a03(spark, d):
 
 def _ranked(mode, order):
     sql = STRUCTURE + f"""
-SELECT entity, total_b, change, holders FROM (SELECT coalesce(a.entity, b.entity) AS entity, b.total AS total_b, round(b.total - a.total, 4) AS change, b.n - a.n AS holders FROM (SELECT * FROM structure WHERE period = DATE '{FIRST}') a FULL JOIN (SELECT * FROM structure WHERE period = DATE '{SECOND}') b USING (entity)) ORDER BY {order}, entity LIMIT 100"""
+SELECT entity, total_b, change, holders FROM (SELECT coalesce(a.entity, b.entity) AS entity, b.total AS total_b, CAST(CAST(round((b.total - a.total) * 1000000) AS BIGINT) AS DOUBLE) / 1000000.0::DOUBLE AS change, b.n - a.n AS holders FROM (SELECT * FROM structure WHERE period = DATE '{FIRST}') a FULL JOIN (SELECT * FROM structure WHERE period = DATE '{SECOND}') b USING (entity)) ORDER BY {order}, entity LIMIT 100"""
 
     @query(f"A04_rank_{mode}", sql)
     def a04(spark, d):
