@@ -194,3 +194,50 @@ def packed(x: np.ndarray) -> bytes:
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Entries that a task gathers before it sends them off in packed rows.
+FLUSH_ENTRIES = 1_000_000
+
+
+class Buckets:
+    """Columns of entries gathered and then dealt out to buckets by a hash, as one packed row a bucket."""
+
+    def __init__(self, buckets: int, columns: dict):
+        self.buckets, self.columns, self.held, self.n = buckets, columns, [], 0
+
+    def add(self, *columns: np.ndarray) -> bool:
+        self.held.append(columns)
+        self.n += len(columns[0])
+        return self.n >= FLUSH_ENTRIES
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if not self.n:
+            return
+        columns = [np.concatenate(x) for x in zip(*self.held)]
+        bucket = (mixed(columns[0]) % U64(self.buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        bounds = np.searchsorted(bucket[order], np.arange(self.buckets + 1))
+        own = [k for k in range(self.buckets) if bounds[k] < bounds[k + 1]]
+        out = {"bucket": pa.array(own, pa.int32())}
+        for (name, kind), x in zip(self.columns.items(), columns):
+            x = x[order].astype(kind)
+            out[name] = pa.array([packed(x[bounds[k] : bounds[k + 1]]) for k in own], pa.binary())
+        self.held, self.n = [], 0
+        yield pa.RecordBatch.from_pydict(out)
+
+
+def unpacked(table: pa.Table, columns: dict) -> list[np.ndarray]:
+    return [np.concatenate([np.frombuffer(x, kind) for x in table.column(name).to_pylist()]) for name, kind in columns.items()]
+
+
+def bucket_schema(columns: dict) -> str:
+    return "bucket int, " + ", ".join(f"{c} binary" for c in columns)
+
+
+def dealt_out(columns: dict, buckets: int, *values: np.ndarray) -> pa.Table:
+    """Columns as packed rows by a hash of the first."""
+    out = Buckets(buckets, columns)
+    out.add(*values)
+    schema = pa.schema([("bucket", pa.int32()), *((name, pa.binary()) for name in columns)])
+    return pa.Table.from_batches(out.flush(), schema)

@@ -22,13 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filingflow.llm.common import SPACED, U64, WordHasher, cut, grams, mixed, packed, shuffle_width, stored, text_slices
+from filingflow.llm.common import SPACED, U64, Buckets, WordHasher, bucket_schema, cut, dealt_out, grams, mixed, packed, shuffle_width, stored, text_slices, unpacked
 from filingflow.llm.jaccard_join import FILTER_BITS, _wanted
 
 WINDOW = 50
 ROUNDS = 4
 MARGIN = 2**ROUNDS - 1
-FLUSH = 1_000_000
 EMPTY = hashlib.sha256(b"").hexdigest()
 
 
@@ -89,46 +88,11 @@ def _keys(words, n_rows: int) -> np.ndarray:
     return out
 
 
-class _Buckets:
-    """Columns of entries gathered and then dealt out to buckets by a hash, as one packed row a bucket."""
-
-    def __init__(self, buckets: int, columns: dict):
-        self.buckets, self.columns, self.held, self.n = buckets, columns, [], 0
-
-    def add(self, *columns: np.ndarray) -> bool:
-        self.held.append(columns)
-        self.n += len(columns[0])
-        return self.n >= FLUSH
-
-    def flush(self) -> Iterator[pa.RecordBatch]:
-        if not self.n:
-            return
-        columns = [np.concatenate(x) for x in zip(*self.held)]
-        bucket = (mixed(columns[0]) % U64(self.buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        bounds = np.searchsorted(bucket[order], np.arange(self.buckets + 1))
-        own = [k for k in range(self.buckets) if bounds[k] < bounds[k + 1]]
-        out = {"bucket": pa.array(own, pa.int32())}
-        for (name, kind), x in zip(self.columns.items(), columns):
-            x = x[order].astype(kind)
-            out[name] = pa.array([packed(x[bounds[k] : bounds[k + 1]]) for k in own], pa.binary())
-        self.held, self.n = [], 0
-        yield pa.RecordBatch.from_pydict(out)
-
-
-def _unpacked(table: pa.Table, columns: dict) -> list[np.ndarray]:
-    return [np.concatenate([np.frombuffer(x, kind) for x in table.column(name).to_pylist()]) for name, kind in columns.items()]
-
-
 FILED = {"symbol": U64, "key": U64, "lo": np.uint32, "hi": np.uint32}
 PLACES = {"key": U64, "lo": np.uint32, "hi": np.uint32}
 WINDOWS = {"window": U64, "key": U64, "least": np.int64, "at": np.uint32}
 
 
-def _schema(columns: dict) -> str:
-    return "bucket int, " + ", ".join(f"{c} binary" for c in columns)
-
-
 def texts(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, n_words, key, kept_sha256): each text with its class key and the digest of its words."""
 
@@ -147,7 +111,7 @@ def filed(docs: DataFrame, buckets: int) -> DataFrame:
     """Packed entries (symbol, key, first and last window) by bucket of the symbol; a task files each class once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, seen, out = WordHasher(*SPACED), set(), _Buckets(buckets, FILED)
+        hasher, seen, out = WordHasher(*SPACED), set(), Buckets(buckets, FILED)
         for batch in batches:
             for s in text_slices(batch.column(0)):
                 words = hasher(s)
@@ -172,43 +136,36 @@ def filed(docs: DataFrame, buckets: int) -> DataFrame:
                     yield from out.flush()
         yield from out.flush()
 
-    return docs.select("text").mapInArrow(run, _schema(FILED))
-
-
-def _dealt(columns: dict, buckets: int, *values: np.ndarray) -> pa.Table:
-    out = _Buckets(buckets, columns)
-    out.add(*values)
-    schema = pa.schema([("bucket", pa.int32()), *((name, pa.binary()) for name in columns)])
-    return pa.Table.from_batches(out.flush(), schema)
+    return docs.select("text").mapInArrow(run, bucket_schema(FILED))
 
 
 def shared_symbols(table: pa.Table, buckets: int) -> pa.Table:
     """Of one bucket: the entries whose symbol stands in two classes or more, dealt out by class."""
-    symbol, key, lo, hi = _unpacked(table, FILED)
+    symbol, key, lo, hi = unpacked(table, FILED)
     order = np.lexsort((key, symbol))
     symbol, key, lo, hi = symbol[order], key[order], lo[order], hi[order]
     heads = np.flatnonzero(np.r_[True, symbol[1:] != symbol[:-1]])
     change = np.r_[False, (key[1:] != key[:-1]) & (symbol[1:] == symbol[:-1])]
     shared = np.repeat(np.add.reduceat(change.astype(np.int64), heads) > 0, np.diff(np.r_[heads, len(symbol)]))
-    return _dealt(PLACES, buckets, key[shared], lo[shared], hi[shared])
+    return dealt_out(PLACES, buckets, key[shared], lo[shared], hi[shared])
 
 
 def repeated_windows(table: pa.Table, buckets: int) -> pa.Table:
     """Of one bucket: the windows of each class that also stand in a document with a smaller id, dealt out by class."""
-    window, key, least, at = _unpacked(table, WINDOWS)
+    window, key, least, at = unpacked(table, WINDOWS)
     order = np.lexsort((least, window))
     window, key, least, at = window[order], key[order], least[order], at[order]
     heads = np.flatnonzero(np.r_[True, window[1:] != window[:-1]])
     smallest = np.repeat(least[heads], np.diff(np.r_[heads, len(window)]))
     later = least > smallest
-    return _dealt(PLACES, buckets, key[later], at[later], at[later])
+    return dealt_out(PLACES, buckets, key[later], at[later], at[later])
 
 
 def places_of_classes(dealt: DataFrame) -> DataFrame:
     """Rows (key, places): each class with its packed pairs of first and last window."""
 
     def gather(table: pa.Table) -> pa.Table:
-        key, lo, hi = _unpacked(table, PLACES)
+        key, lo, hi = unpacked(table, PLACES)
         order = np.argsort(key, kind="stable")
         key, places = key[order], np.c_[lo[order], hi[order]]
         heads = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
@@ -253,7 +210,7 @@ def windows(flagged: DataFrame, buckets: int) -> DataFrame:
     """flagged: rows (key, text, places, least); gives packed entries (window hash, key, least id, place) of the windows filed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, out = WordHasher(*SPACED), _Buckets(buckets, WINDOWS)
+        hasher, out = WordHasher(*SPACED), Buckets(buckets, WINDOWS)
         for batch in batches:
             keys, least = batch.column("key").to_numpy().view(U64), batch.column("least").to_numpy()
             places = batch.column("places").to_pylist()
@@ -267,7 +224,7 @@ def windows(flagged: DataFrame, buckets: int) -> DataFrame:
                         yield from out.flush()
         yield from out.flush()
 
-    return flagged.mapInArrow(run, _schema(WINDOWS))
+    return flagged.mapInArrow(run, bucket_schema(WINDOWS))
 
 
 def without(marked: DataFrame) -> DataFrame:
@@ -296,9 +253,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     docs = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     each = stored(texts(docs), "texts")
     least = each.where(f"n_words >= {WINDOW} and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("least"))
-    shared = filed(docs, buckets).groupBy("bucket").applyInArrow(lambda t: shared_symbols(t, buckets), _schema(PLACES))
+    shared = filed(docs, buckets).groupBy("bucket").applyInArrow(lambda t: shared_symbols(t, buckets), bucket_schema(PLACES))
     places = places_of_classes(shared).join(least, "key")
-    found = windows(texts_of(docs, places), buckets).groupBy("bucket").applyInArrow(lambda t: repeated_windows(t, buckets), _schema(PLACES))
+    found = windows(texts_of(docs, places), buckets).groupBy("bucket").applyInArrow(lambda t: repeated_windows(t, buckets), bucket_schema(PLACES))
     marks = places_of_classes(found)
     changed = cut(without(texts_of(docs, marks)))
     copy = (F.col("doc_id") > F.col("least")) & (F.col("n_words") >= WINDOW)

@@ -76,7 +76,7 @@ def test_phrase_and_proximity(spark):
 
 
 def test_mixture_deviates_by_less_than_a_block():
-    blocks, weights = {"a": 5000, "b": 900, "c": 77, "d": 3}, {"a": 0.2, "b": 0.5, "c": 0.25, "d": 0.05}
+    blocks, weights = {"a": 5000, "b": 900, "c": 777, "d": 33}, {"a": 0.2, "b": 0.5, "c": 0.25, "d": 0.05}
     rows = mixing.schedule(blocks, weights, 100)
     slots = {}
     for s, first, n, slot, share, total, at in rows:
