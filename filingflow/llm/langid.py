@@ -2,9 +2,9 @@
 
 Training counts the letter 4-grams of every labelled text (words in lower case, with a boundary sign before and after); Spark sums
 the counts. Lower orders count the distinct left neighbours of a gram, as Kneser and Ney do. A model is a few sorted arrays of
-hashes with probabilities and back-off weights; the language with the lowest cross-entropy per sign wins. Two things are calibrated
-on a bounded sample of the training rows: how sure a margin over the second language makes the choice, and which cross-entropy is
-too high for a text of that length to be in the language at all (then the text is rejected).
+hashes with probabilities and back-off weights; the language with the lowest cross-entropy per sign wins. Two things are calibrated:
+over all training rows, which cross-entropy is too high for a text of that length to be in the language at all (then the text is
+rejected), and on a bounded sample of them, how sure a margin over the second language makes the choice.
 
 A null text, or one without a letter, is 'und' with score 0. Without training rows every text is 'und'. Rows without a language
 don't train. Repeated rows count as often as they stand. Ties go to the language first in order. Letters beyond the basic plane
@@ -176,11 +176,10 @@ def _bucket(signs: np.ndarray) -> np.ndarray:
     return np.minimum(np.log2(np.maximum(signs, 1)).astype(int), 31)
 
 
-def calibrated(entropy: np.ndarray, margin: np.ndarray, signs: np.ndarray, right: np.ndarray, slack: float) -> Calibration:
-    """The limit of a length is the highest cross-entropy among right choices of that length or longer, plus slack nats a sign."""
-    limit = np.full(32, -np.inf)
-    np.maximum.at(limit, _bucket(signs)[right], entropy[right])
-    limit = np.maximum.accumulate(limit[::-1])[::-1]
+def calibrated(highest: np.ndarray, margin: np.ndarray, right: np.ndarray, slack: float) -> Calibration:
+    """highest[b]: the highest cross-entropy among all right choices of 2**b to 2**(b+1) signs. The limit of a length is the highest
+    of that length or longer, plus slack nats a sign."""
+    limit = np.maximum.accumulate(highest[::-1])[::-1]
     seen = np.isfinite(limit)
     limit[~seen] = limit[seen].max() if seen.any() else np.inf
     # Logistic regression of "right" on the log of the margin, by Newton steps of bounded length, with a weak pull to (0, 1).
@@ -201,7 +200,8 @@ class Identifier(NamedTuple):
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_grams: int = 1 << 21, calibration_rows: int = 20_000, slack: float = 0.5) -> Identifier:
     """Learn from every labelled row. max_grams bounds the models together: rarer grams than fit are left to the lower orders.
-    calibration_rows bounds the sample (by hash of the id) that limits and scores are calibrated on."""
+    calibration_rows bounds the sample (by hash of the id) that the two parameters of the scores are fitted on; limits of rejection
+    come from every labelled row."""
     counts = cut(gram_counts(labelled, text_col, lang_col))
     sizes = counts.groupBy(F.least("n", F.lit(1000)).alias("n")).count().collect()
     least, room = 1, sum(r["count"] for r in sizes)
@@ -217,17 +217,35 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     every = max(1, known.count() // max(1, calibration_rows))
     shared = labelled.sparkSession.sparkContext.broadcast((languages, models))
 
-    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def choices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         names, own = shared.value
         for batch, s, signs, entropy in _scores(batches, own):
             best, low, margin = _pick(entropy, signs)
             truth = np.array([names.index(x) for x in batch.column("lang").slice(s.lo, s.hi - s.lo).to_pylist()])
-            yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(margin), pa.array(signs.astype(float)), pa.array(best == truth)], ["low", "margin", "signs", "right"])
+            yield low, margin, signs, best == truth
+
+    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, margin, signs, right in choices(batches):
+            told = signs > 0
+            yield pa.RecordBatch.from_arrays([pa.array(margin[told]), pa.array(right[told])], ["margin", "right"])
+
+    def highest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top = np.full(32, -np.inf)
+        for low, _, signs, right in choices(batches):
+            right = right & (signs > 0)
+            np.maximum.at(top, _bucket(signs)[right], low[right])
+        met = np.flatnonzero(np.isfinite(top))
+        yield pa.RecordBatch.from_arrays([pa.array(met.astype(np.int32)), pa.array(top[met])], ["bucket", "low"])
 
     if not languages:
         return Identifier([], [], Calibration(np.full(32, np.inf), 0.0, 1.0))
-    seen = known.where(F.pmod(F.xxhash64(id_col), F.lit(every)) == 0).select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).mapInArrow(sample, "low double, margin double, signs double, right boolean").where("signs > 0").toArrow()
-    return Identifier(languages, models, calibrated(*(seen.column(c).to_numpy() for c in ("low", "margin", "signs", "right")), slack))
+    own = [F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")]
+    top = np.full(32, -np.inf)
+    for r in known.select(*own).mapInArrow(highest, "bucket int, low double").groupBy("bucket").agg(F.max("low").alias("low")).collect():
+        top[r.bucket] = r.low
+    few = known.where(F.pmod(F.xxhash64(id_col), F.lit(every)) == 0).select(*own)
+    seen = few.mapInArrow(sample, "margin double, right boolean").toArrow()
+    return Identifier(languages, models, calibrated(top, seen.column("margin").to_numpy(), seen.column("right").to_numpy(), slack))
 
 
 def identify(docs: DataFrame, model: Identifier, keep: list[Column], text_col: str = "text") -> DataFrame:

@@ -146,6 +146,15 @@ def test_language(spark, sf):
     assert {x.lang_pred for x in empty} == {"und"}
 
 
+def test_language_limits_come_from_every_row(spark):
+    """A clean row far above the others keeps its place however small the sample is on which scores are calibrated."""
+    rng = random.Random(3)
+    d = docs(spark, [sentence(rng, 30) for _ in range(300)] + ["qvx zwj kqy " * 40])
+    whole, small = langid.fit(d, slack=0.0), langid.fit(d, calibration_rows=5, slack=0.0)
+    assert list(small.calibration.limit) == list(whole.calibration.limit)
+    assert langid.identify(d, small, [F.col("doc_id")]).where("rejected").count() == 0
+
+
 def test_kneser_ney_sums_to_one():
     import numpy as np
 
