@@ -87,10 +87,18 @@ def thematic_passages(records: DataFrame, id_col: str, places: str, relations: s
 
 def nearest_terms(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """terms (term), vocabulary (word, docs): for each term the word of one initial within 30 % of its length in edits; more than one
-    edit only if one word's letters stand in order in the other. Fewest edits, then most documents, then the word."""
-    t, v = terms.withColumn("initial", F.substring("term", 1, 1)), vocabulary.withColumn("initial", F.substring("word", 1, 1))
+    edit only if one word's letters stand in order in the other. Fewest edits, then most documents, then the word.
+
+    They meet by initial and length. Words within one edit differ in at most two letters of their sets, and letters that stand in
+    order in another word are a subset of its letters: sets as 64 bits leave few pairs to compare, whatever the vocabulary's size."""
+    letters = lambda c: F.expr(f"aggregate(split({c}, ''), 0L, (bits, c) -> bits | shiftleft(1L, ascii(c) % 64))")
+    off = F.floor(F.length("term") * 3 / 10).cast("int")
+    t = terms.withColumn("initial", F.substring("term", 1, 1)).withColumn("own", letters("term")).withColumn("size", F.explode(F.sequence(F.length("term") - off, F.length("term") + off)))
+    v = vocabulary.withColumn("initial", F.substring("word", 1, 1)).withColumn("size", F.length("word")).withColumn("other", letters("word"))
+    both = F.col("own").bitwiseAND(F.col("other"))
+    alike = (F.bit_count(F.col("own").bitwiseXOR(F.col("other"))) <= 2) | (both == F.col("own")) | (both == F.col("other"))
     d = F.levenshtein("term", "word")
-    j = t.join(v, "initial").where(F.abs(F.length("term") - F.length("word")) <= F.floor(F.length("term") * 3 / 10)).withColumn("edits", d).where((F.col("edits") * 10 <= F.length("term") * 3) & (F.col("edits") > 0))
+    j = t.join(v, ["initial", "size"]).where(alike).withColumn("edits", d).where((F.col("edits") * 10 <= F.length("term") * 3) & (F.col("edits") > 0))
     ok = (F.col("edits") <= 1) | F.expr("regexp_like(term, regexp_replace(word, '(.)', '$1.*'))") | F.expr("regexp_like(word, regexp_replace(term, '(.)', '$1.*'))")
     return first_per(j.where(ok), ["term"], [F.asc("edits"), F.desc("docs"), F.asc("word")]).select("term", "word", "edits")
 

@@ -196,3 +196,35 @@ def test_usage_is_empty_safe(spark):
     q = spark.createDataFrame([], "id bigint, stamp bigint, user_key string, question string, normalized string, status string, terms string, mode string")
     u = spark.createDataFrame([], "id bigint, stamp bigint, result string, metrics string")
     assert U.usage_totals(u, 0).first().n == 0 and U.usage_by_mode(q, u, 0).count() == 0 and U.top_terms(q).count() == 0
+
+
+def test_nearest_terms_over_the_whole_vocabulary(spark, tmp_path):
+    """The nearest word stands in one document only; the keys by which words meet lose no pair against brute force."""
+    import random
+    import re
+
+    from filingflow.plans import documents
+
+    spark.createDataFrame([(1, "dividend")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, "a dividende")] + [(k, "divider dividing") for k in range(2, 30)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert rows(documents.QUERIES["X09_nearest_terms"](spark, str(tmp_path))) == [("dividend", "dividende", 1)]
+
+    def edits(a, b):
+        line = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            line, before = [i], line
+            for j, y in enumerate(b, 1):
+                line.append(min(before[j] + 1, line[-1] + 1, before[j - 1] + (x != y)))
+        return line[-1]
+
+    rng = random.Random(5)
+    words = sorted({"a" + "".join(rng.choice("abcdeéß") for _ in range(rng.randint(0, 9))) for _ in range(400)})
+    terms, docs = words[::7] + ["abcdefghijkl", "aa", ""], {w: rng.randint(1, 4) for w in [*words, "abdefgijkl", "abcdefghijklmno", "b"]}
+    in_order = lambda a, b: re.search(".*".join(b), a) is not None
+    want = {}
+    for t in terms:
+        near = [(e, -n, w) for w, n in docs.items() if w[:1] == t[:1] for e in [edits(t, w)] if 0 < e * 10 <= 3 * len(t) and (e <= 1 or in_order(t, w) or in_order(w, t))]
+        if near:
+            want[t] = (min(near)[2], min(near)[0])
+    got = X.nearest_terms(spark.createDataFrame([(t,) for t in terms], "term string"), spark.createDataFrame(list(docs.items()), "word string, docs int")).collect()
+    assert {r.term: (r.word, r.edits) for r in got} == want and want["abcdefghijkl"] == ("abdefgijkl", 2)
