@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -39,12 +40,22 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a table in the shared folder and read it again: for tables of which later steps read only some columns."""
+    """Write a table in the shared folder and read it again: for tables of which later steps read only some columns. The folder is
+    removed when the program ends."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/filingflow-{name}-{uuid.uuid4().hex}"
+    atexit.register(removed, df.sparkSession, path)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared store, through Spark's own file systems. Without a running session nothing is done."""
+    if spark.sparkContext._jsc is None:
+        return
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def crc_mod(col: str, n: int) -> Column:
     """crc32 of an id as text, modulo n. A null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % n
@@ -241,3 +252,47 @@ def dealt_out(columns: dict, buckets: int, *values: np.ndarray) -> pa.Table:
     out.add(*values)
     schema = pa.schema([("bucket", pa.int32()), *((name, pa.binary()) for name in columns)])
     return pa.Table.from_batches(out.flush(), schema)
+
+
+#: Bits of a filter over ids or class keys (8 MB): what isn't in it needs no shuffle; when it fills up, more rows are moved.
+FILTER_BITS = 26
+
+
+def bitmap(keys: DataFrame) -> np.ndarray:
+    """A bitmap of the low bits of a column `key`; its size doesn't depend on the rows."""
+    slot = f"pmod(key, {1 << FILTER_BITS})"
+    words = keys.groupBy(F.expr(f"shiftright({slot}, 5)").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod({slot}, 32) as int))")).alias("bits")).toArrow()
+    out = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return out
+
+
+def in_bitmap(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """For each key, whether it may be one of the bitmap's."""
+    slot = (keys.view(U64) % U64(1 << FILTER_BITS)).astype(np.int64)
+    return (bits[slot >> 5] >> (slot & 31).astype(np.uint32)) & 1 > 0
+
+
+def without_ids(docs: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:
+    """docs without the rows whose id is in gone (one column; a null there takes rows without id). Only rows that a bitmap of the ids
+    lets through are moved to be joined; the others stay where they are read."""
+    gone = cut(gone.select(gone[gone.columns[0]].cast("bigint").alias("_gone")).distinct())
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(gone.select(F.coalesce("_gone", F.lit(0)).alias("key"))))
+    at = docs.columns.index(id_col)
+
+    def only(suspects: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ids = batch.column(at).cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False)
+                yield batch.filter(pa.array(in_bitmap(shared.value, ids) == suspects))
+
+        return docs.mapInArrow(run, docs.schema)
+
+    moved = only(True).join(gone, F.col(id_col).cast("bigint").eqNullSafe(F.col("_gone")), "left_anti")
+    return only(False).unionByName(moved)
+
+
+def clashing(each: DataFrame) -> list[int]:
+    """Class keys that two different contents share, by a second hash in the column `other`. Of n contents n * n / 2**65 are expected:
+    some hundred of 10**11."""
+    return [r.key for r in each.groupBy("key").agg(F.min("other").alias("a"), F.max("other").alias("b")).where("a != b").select("key").collect()]

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filingflow.llm.common import ALNUM, U64, WordHasher, packed, stored, text_slices, within_rows
+from filingflow.llm.common import ALNUM, U64, WordHasher, packed, stored, text_slices, without_ids
 
 INDEX = "doc_ids array<bigint>, first binary, terms binary, term_at binary, positions binary"
 #: Windows that one broadcast block holds; a larger set of test items becomes more blocks, each searched in turn.
@@ -234,5 +234,4 @@ def decontamination_report(docs: DataFrame, items: DataFrame, window: int = 10)
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
     """The documents without those that hold a window of a test item. Rows that share an id go or stay together."""
-    bad = decontamination_report(docs, items, window).where("contaminated").select(F.col("doc_id").alias("_bad_id")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad_id")), "left_anti")
+    return without_ids(docs, "doc_id", decontamination_report(docs, items, window).where("contaminated").select("doc_id"))

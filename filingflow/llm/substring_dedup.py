@@ -22,8 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filingflow.llm.common import SPACED, U64, Buckets, WordHasher, bucket_schema, cut, dealt_out, grams, mixed, packed, shuffle_width, stored, text_slices, unpacked
-from filingflow.llm.jaccard_join import FILTER_BITS, _wanted
+from filingflow.llm.common import SPACED, U64, Buckets, WordHasher, bitmap, bucket_schema, cut, dealt_out, grams, in_bitmap, mixed, packed, shuffle_width, stored, text_slices, unpacked
 
 WINDOW = 50
 ROUNDS = 4
@@ -186,16 +185,15 @@ def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """wanted (key, ...) with the text of each class. The texts are read once more; a bitmap of the keys leaves nearly all others
     where they are."""
     wanted = cut(wanted)
-    shared = docs.sparkSession.sparkContext.broadcast(_wanted(wanted))
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, seen, bitmap = WordHasher(*SPACED), set(), shared.value
+        hasher, seen = WordHasher(*SPACED), set()
         for batch in batches:
             for s in text_slices(batch.column(0)):
                 own = _keys(hasher(s), s.hi - s.lo)
-                slot = (own % U64(1 << FILTER_BITS)).astype(np.int64)
                 take = []
-                for d in np.flatnonzero((bitmap[slot >> 5] >> (slot & 31).astype(np.uint32)) & 1).tolist():
+                for d in np.flatnonzero(in_bitmap(shared.value, own)).tolist():
                     if (k := int(own[d])) not in seen:
                         seen.add(k)
                         take.append(d)
