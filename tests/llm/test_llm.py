@@ -155,17 +155,62 @@ def test_language_limits_come_from_every_row(spark):
     assert langid.identify(d, small, [F.col("doc_id")]).where("rejected").count() == 0
 
 
-def test_kneser_ney_sums_to_one():
+def brute_kneser_ney(grams):
+    """log p of any 4-gram (a tuple) by the formulas, from a dict of all 4-grams with counts."""
+    import math
+
+    levels = {4: dict(grams)}
+    for k in (3, 2, 1):
+        levels[k] = {}
+        for g in levels[k + 1]:
+            levels[k][g[1:]] = levels[k].get(g[1:], 0) + 1
+    discount = {}
+    for k, own in levels.items():
+        n1, n2 = (sum(n == x for n in own.values()) for x in (1, 2))
+        discount[k] = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+
+    def p(g):
+        if not g:
+            return 1 / (len(levels[1]) + 1)
+        own = levels[len(g)]
+        follow = [n for h, n in own.items() if h[:-1] == g[:-1]]
+        if not follow:
+            return p(g[1:])
+        d = discount[len(g)]
+        return max(own.get(g, 0) - d, 0) / sum(follow) + d * len(follow) / sum(follow) * p(g[1:])
+
+    return lambda g: math.log(p(g))
+
+
+def test_kneser_ney_matches_brute_force(spark):
+    """Probabilities of grams that were seen and of some that were not, and sums over all signs, at every order."""
     import numpy as np
 
-    keys, line = langid.letter_grams(b"abc\nabd\nab\n")
-    assert len(keys) == 3 + 3 + 2 + 3
-    model = langid.model_of(*np.unique(keys, return_counts=True))
-    context = [ord(" "), ord("a"), ord("b")]
-    seen = [ord(c) for c in "abcd "]
-    code = lambda c: np.array([(context[0] << 48) | (context[1] << 32) | (context[2] << 16) | c], np.uint64)
-    total = sum(float(np.exp(langid.log_probability(model, code(c)))[0]) for c in [*seen, ord("z")])
-    assert abs(total - 1) < 1e-3
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("abcde") for _ in range(rng.randint(1, 7))) for _ in range(300)]
+    d = docs(spark, [" ".join(texts)])
+    counts = langid.gram_counts(d)
+    model = langid.sorted_arrays(*langid.kneser_ney(counts))["en"]
+    signs = lambda key: tuple(key >> 16 * k & 0xFFFF for k in (3, 2, 1, 0))
+    grams = {signs(r.gram & (1 << 64) - 1): r.n for r in counts.collect()}
+    want = brute_kneser_ney(grams)
+    keys = [*grams, *(g[:3] + (ord("z"),) for g in list(grams)[:20]), *((ord("z"), ord("z"), *g[2:]) for g in list(grams)[:20])]
+    code = np.array([sum(x << 16 * (3 - k) for k, x in enumerate(g)) for g in keys], np.uint64)
+    got = langid.log_probability(model, code)
+    assert np.allclose(got, [want(g) for g in keys], atol=1e-5)
+    context = next(iter(grams))[:3]
+    total = sum(np.exp(want((*context, x))) for x in {g[3] for g in grams} | {ord("z")})
+    assert abs(total - 1) < 1e-6
+
+
+def test_language_tables_agree_with_arrays(spark):
+    """Models that are too large to be broadcast give the same choices by joins; a language of few texts keeps all its grams."""
+    d = table(spark, "/root/testdata/sf0.01", "documents").where("doc_id < 120").unionByName(docs(spark, [None, "", "123", "le chat" * 400], [900, 901, 902, 903]))
+    d = d.unionByName(spark.createDataFrame([(910, "xyzzy plugh", "zz", "s", 0)], DOCS)).withColumn("signs", F.lit("x"))
+    arrays, tables = langid.fit(d), langid.fit(d, broadcast_grams=10)
+    assert arrays.models.arrays and tables.models.arrays is None and "zz" in arrays.models.languages
+    a, b = ({r.doc_id: (r.lang_pred, round(r.score, 4), r.rejected) for r in langid.identify(d, m, [F.col("doc_id")]).collect()} for m in (arrays, tables))
+    assert a == b and len(a) == 125 and a[910][0] == "zz"
 
 
 PAGE = "<html><head><title>t</title><script>var a='</p>';</script></head><body><nav><ul><li><a href='/'>home</a></li></ul></nav><div class='cookie-notice'>we use cookies</div>{main}<aside>more</aside><div class='comments'><p>first!</p></div><form><p>subscribe</p></form><footer>&copy; x</footer></body></html>"
