@@ -118,7 +118,10 @@ def test_mix_places_every_row(spark):
         assert sorted(min(b, last) for b in want) == sorted(r.block for r in got if r.source == source)
 
 
-def test_top_k_matches_brute_force(spark):
+@pytest.mark.parametrize("numbers", [topk.GROUP_NUMBERS, 24])
+def test_top_k_matches_brute_force(spark, numbers, monkeypatch):
+    """With groups of 24 numbers, queries are rows that meet the vectors group by group."""
+    monkeypatch.setattr(topk, "GROUP_NUMBERS", numbers)
     rng = random.Random(5)
     rows = [(i, [rng.choice([rng.uniform(-1, 1), 0.25]) for _ in range(16)]) for i in range(300)]
     rows += [(300, None), (301, [float("nan")] * 16), (302, [None] * 16), (303, rows[7][1]), (350, rows[7][1]), (None, rows[7][1]), (400, [0.5] * 8), (450, [0.5] * 8), (500, [])]
@@ -131,6 +134,35 @@ def test_top_k_matches_brute_force(spark):
         want += [(q, k + 1, c, -s) for k, (s, c) in enumerate(scores[:5])]
     assert sorted(map(tuple, got)) == sorted(want)
     assert topk.top_k(v.limit(0), v.limit(0)).count() == 0
+    only = v.where("size(v) = 16")
+    few = sorted(map(tuple, topk.top_k(only, only.where("id % 50 = 0")).collect()))
+    assert few == sorted(r for r in want if len(whole[r[0]]) == 16)
+
+
+def test_top_k_of_large_numbers(spark):
+    """Scores beyond what doubles hold are exact; beyond a long they are held at its end."""
+    rows = [(0, [3e7 + k for k in range(4)]), (1, [3e7, 1.0, 2.0, 3.0]), (2, [1e20] * 4), (3, [2.0**24 + 1, 0.0, 0.0, 0.0])]
+    v = topk.quantised(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"))
+    whole = {r.id: [int(x) for x in r.v] for r in v.collect()}
+    got = {(r.query_id, r.vec_id): r.score for r in topk.top_k(v, v.where("id = 0"), 3).collect()}
+    assert got == {(0, c): min(2**63 - 1, sum(a * b for a, b in zip(whole[0], whole[c]))) for c in (1, 2, 3)}
+
+
+def test_top_k_tiles_stay_small():
+    """100,000 numbers of queries whose bounds prune nothing: a tile's arrays stay within some tens of MB."""
+    import tracemalloc
+
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    m = np.floor(rng.normal(size=(4000, 64)) * 256)
+    tracemalloc.start()
+    block = topk.Block(np.arange(4000), np.arange(4000), m, 5)
+    block.floor[:] = -np.inf
+    block.take(np.arange(10_000, 14_000), np.floor(rng.normal(size=(4000, 64)) * 256))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300e6
 
 
 def test_language(spark, sf):
