@@ -1,8 +1,9 @@
 """Document quality by attention-based multiple-instance learning.
 
-A document is a bag of passages (runs of 50 words). Each passage is described by a few statistics of its signs and words and encoded
-by a small network; gated attention, learned from document labels alone, weighs the passages, and the weighted representation gives
-the score. The network learns on a bounded sample of labelled documents; every text of the table is scored, in whole.
+A document is a bag of passages (runs of 50 words). Each passage is described by a few statistics of its signs and words and by the
+shares of its words in hash classes, and encoded by a small network; gated attention, learned from document labels alone, weighs the passages, and the weighted representation gives
+the score. The network learns on a bounded sample of labelled documents, of which very long ones give evenly spread passages; every
+text of the table is scored, in whole.
 
 A null, empty or wordless text is a bag of one passage whose statistics are all zero. Labels other than 0 and 1 don't train. A
 document with several labels is taken with each of them. Without training rows, or with one class only, the score is the share of 1.
@@ -17,10 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filingflow.llm.common import SPACED_FOLDED, TextSlice, WordHasher, text_slices
+from filingflow.llm.common import SPACED_FOLDED, U64, TextSlice, WordHasher, text_slices
 
 PASSAGE_WORDS = 50
-N_FEATURES = 22
+#: Hash classes of words.
+WORD_CLASSES = 32
+N_FEATURES = 22 + WORD_CLASSES
 HIDDEN, ATTENTION = 16, 8
 
 
@@ -68,9 +71,11 @@ def passages(hasher: WordHasher, s: TextSlice) -> tuple[np.ndarray, np.ndarray]:
     most = np.zeros(len(lo))
     np.maximum.at(most, o[runs], np.diff(np.r_[runs, len(o)]))
     same = np.r_[False, words.hashes[1:] == words.hashes[:-1]]
-    columns = [per(length) / 10, np.sqrt(np.maximum(per(length**2) - per(length) ** 2, 0)) / 10, per(length <= 3), per(length >= 12), per(first == 1), per(last == 6), per(last == 4), np.bincount(o, new, len(lo)) / count, most / count, per(same), count / PASSAGE_WORDS, np.minimum(n[rows[full]], 4000) ** 0.5 / 64, np.ones(len(lo))]
+    columns = [per(length) / 10, np.sqrt(np.maximum(per(length**2) - per(length) ** 2, 0)) / 10, per(length <= 3), per(length >= 12), per(first == 1), per(last == 6), per(last == 4), np.bincount(o, new, len(lo)) / count, most / count, per(same), count / PASSAGE_WORDS, np.log1p(n[rows[full]]) / 12, np.ones(len(lo))]
     for j, x in enumerate(columns, 9):
         out[full, j] = x
+    classes = np.bincount(of * WORD_CLASSES + (words.hashes % U64(WORD_CLASSES)).astype(np.int64), minlength=len(lo) * WORD_CLASSES)
+    out[full, 22:] = classes.reshape(-1, WORD_CLASSES) / count[:, None]
     return out, rows
 
 
@@ -138,8 +143,9 @@ def _described(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple]:
             yield batch, s, *passages(hasher, s)
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_docs: int = 8192) -> tuple:
-    """Learn from rows with id, text and label. sample_docs bounds the documents (first by hash of the id) that train."""
+def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_docs: int = 8192, sample_passages: int = 64) -> tuple:
+    """Learn from rows with id, text and label. sample_docs bounds the documents (first by hash of the id) that train, and
+    sample_passages the passages that each of these trains with, so that what the driver learns from has a stated size."""
     chosen = labelled.where(F.col(label_col).isin(0, 1)).withColumn("_h", F.xxhash64(F.lit(17), id_col))
     total = chosen.agg(F.count("*").alias("n"), F.avg(label_col).alias("share")).first()
     # About sample_docs rows by a hash threshold, so that texts of others are not moved.
@@ -147,17 +153,22 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, s, x, rows in _described(batches, 1):
+            first = np.searchsorted(rows, np.arange(s.hi - s.lo + 1))
+            of, n = np.arange(len(rows)) - first[rows], np.diff(first)[rows]
+            # Evenly spread: passages at which the share of the bag passes a whole number of its sample_passages parts.
+            own = (n <= sample_passages) | ((of + 1) * sample_passages // n > of * sample_passages // n)
+            x, rows = x[own], rows[own]
             at = np.searchsorted(rows, np.arange(s.hi - s.lo + 1)) * N_FEATURES
-            values = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(x.ravel()))
+            values = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(x.ravel().astype(np.float32)))
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.lo, s.hi - s.lo), values, batch.column(2).slice(s.lo, s.hi - s.lo)], ["h", "x", "y"])
 
-    rows = kept.select("_h", F.col(text_col).cast("string"), F.col(label_col).cast("int")).mapInArrow(describe, "h bigint, x array<double>, y int").toArrow().sort_by([("h", "ascending"), ("y", "ascending")])
+    rows = kept.select("_h", F.col(text_col).cast("string"), F.col(label_col).cast("int")).mapInArrow(describe, "h bigint, x array<float>, y int").toArrow().sort_by([("h", "ascending"), ("y", "ascending")])
     y = rows.column("y").to_numpy().astype(float)
     if not len(y) or y.min() == y.max():
         return None, None, None, float(total.share if total.share is not None else 0.5)
     x = rows.column("x").combine_chunks()
     sizes = np.asarray(x.value_lengths()) // N_FEATURES
-    values = np.asarray(x.flatten()).reshape(-1, N_FEATURES)
+    values = np.asarray(x.flatten()).reshape(-1, N_FEATURES).astype(float)
     mean, spread = values.mean(0), values.std(0) + 1e-6
     net = train((values - mean) / spread, np.repeat(np.arange(len(y)), sizes), y)
     return net.parts, mean, spread, float(y.mean())
