@@ -5,7 +5,8 @@ positions where it stands. `search` takes the windows of the test items, starts
 and intersects the offset-adjusted lists of the other terms, rarest first, until only exact occurrences are left. Both run shard by
 shard without a shuffle; only the counts of test terms, which decide what is rare, are summed over the shards.
 
-Nulls: a null text has no words; a null document or item id is kept, an item without words has no window. Repeated rows each give
+Test windows are a table and are searched in blocks, one after the other. Nulls: a null text has no words; a null document or item id
+is kept, an item without words has no window. Repeated rows each give
 their own row. Terms are 64-bit hashes of words, so an occurrence is ten equal hashes in a row.
 """
 
@@ -18,50 +19,59 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filingflow.llm.common import ALNUM, U64, WordHasher, packed, stored, text_slices, without_ids
+from filingflow.llm.common import ALNUM, U64, WordHasher, cut, packed, stored, text_slices, without_ids
 
-INDEX = "doc_ids array<bigint>, first binary, terms binary, term_at binary, positions binary"
-#: Windows that one broadcast block holds; a larger set of test items becomes more blocks, each searched in turn.
+INDEX = "shard bigint, documents array<struct<doc_id:bigint,n_words:bigint>>, first binary, terms binary, term_at binary, positions binary"
+#: Windows that one block of test items holds, about; blocks are searched one after the other.
 BLOCK_WINDOWS = 100_000
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a shard of about 2 MB of text: ids, where each document's words begin, its terms and their positions."""
+    """One row a shard of about 2 MB of text: its number (of the task and within it), documents, where the words of each begin, terms
+    and their positions."""
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher(*ALNUM)
+        hasher, task, number = WordHasher(*ALNUM), TaskContext.get().partitionId(), 0
+        kinds = [pa.int64(), pa.list_(pa.struct([("doc_id", pa.int64()), ("n_words", pa.int64())])), *[pa.binary()] * 4]
         for batch in batches:
             for s in text_slices(batch.column(1)):
                 words = hasher(s)
                 order = np.argsort(words.hashes, kind="stable")
                 ranked = words.hashes[order]
                 heads = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]]) if len(ranked) else np.zeros(0, np.int64)
-                row = [batch.column(0).slice(s.lo, s.hi - s.lo).to_pylist(), packed(words.first.astype(np.uint32)), packed(ranked[heads]), packed(np.r_[heads, len(ranked)].astype(np.uint32)), packed(order.astype(np.uint32))]
-                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, [pa.list_(pa.int64()), *[pa.binary()] * 4])], ["doc_ids", "first", "terms", "term_at", "positions"])
+                own = [{"doc_id": i, "n_words": n} for i, n in zip(batch.column(0).slice(s.lo, s.hi - s.lo).to_pylist(), np.diff(words.first).tolist())]
+                row = [(task << 32) + number, own, packed(words.first.astype(np.uint32)), packed(ranked[heads]), packed(np.r_[heads, len(ranked)].astype(np.uint32)), packed(order.astype(np.uint32))]
+                number += 1
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds)], ["shard", "documents", "first", "terms", "term_at", "positions"])
 
     return docs.select(F.col(id_col).cast("bigint"), F.col(text_col).cast("string")).mapInArrow(shards, INDEX)
 
 
-def _windows(items: list[tuple], window: int) -> tuple[list, list[np.ndarray]]:
-    """Item ids and word hashes of each window; an item of fewer words is one window."""
-    if not items:
-        return [], []
-    ids, out = [], []
-    for s in text_slices(pa.array([x[1] for x in items], pa.string())):
-        words = WordHasher(*ALNUM)(s)
-        for k in range(s.hi - s.lo):
-            own = words.hashes[words.first[k] : words.first[k + 1]]
-            for i in range(max(1, len(own) - window + 1) if len(own) else 0):
-                ids.append(items[s.lo + k][0])
-                out.append(own[i : i + window])
-    return ids, out
+def test_windows(items: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
+    """Rows (item, size, words): the word hashes of each window of the test items; an item of fewer words is one window."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = WordHasher(*ALNUM)
+        for batch in batches:
+            for s in text_slices(batch.column(1)):
+                words = hasher(s)
+                ids, out = [], []
+                for k, item in enumerate(batch.column(0).slice(s.lo, s.hi - s.lo).to_pylist()):
+                    own = words.hashes[words.first[k] : words.first[k + 1]]
+                    for i in range(max(1, len(own) - window + 1) if len(own) else 0):
+                        ids.append(item)
+                        out.append(packed(own[i : i + window]))
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], ["item", "words"])
+
+    return items.select(F.col(id_col).cast("bigint"), F.col(text_col).cast("string")).mapInArrow(run, "item bigint, words binary")
 
 
 def _term_counts(index: DataFrame, vocabulary: np.ndarray) -> dict[int, int]:
-    """How often each test term stands in the corpus; what comes back is bounded by the test items' vocabulary."""
+    """How often each term of a block stands in the corpus; what comes back is bounded by the block's vocabulary."""
     known = index.sparkSession.sparkContext.broadcast(vocabulary)
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -100,27 +110,46 @@ def _by_rarity(ids: list, windows: list[np.ndarray], vocabulary: np.ndarray, cou
     return ids, np.array([len(w) for w in windows]), vocabulary, term, offset
 
 
-def test_blocks(index: DataFrame, items: DataFrame, id_col: str, text_col: str, window: int) -> list:
-    """Broadcast blocks of at most about BLOCK_WINDOWS windows each, rarest terms first by counts over the whole corpus."""
-    chunks, ids, windows, pending = [], [], [], []
-    for row in items.select(F.col(id_col), F.col(text_col).cast("string")).toLocalIterator():
-        pending.append(tuple(row))
-        if len(pending) == 1000:
-            a, b = _windows(pending, window)
-            ids, windows, pending = ids + a, windows + b, []
-            if len(ids) >= BLOCK_WINDOWS:
-                chunks.append((ids, windows))
-                ids, windows = [], []
-    a, b = _windows(pending, window)
-    ids, windows = ids + a, windows + b
-    chunks += [(ids, windows)] if ids else []
-    if not chunks:
-        return []
-    vocabulary = np.unique(np.concatenate([w for _, ws in chunks for w in ws]))
-    found = _term_counts(index, vocabulary)
-    counts = np.array([found.get(k, 0) for k in range(len(vocabulary))])
-    sc = index.sparkSession.sparkContext
-    return [sc.broadcast(_by_rarity(i, w, vocabulary, counts)) for i, w in chunks]
+def test_blocks(index: DataFrame, items: DataFrame, id_col: str, text_col: str, window: int) -> Iterator[tuple]:
+    """The test windows in blocks of about BLOCK_WINDOWS, rarest terms first by counts over the whole corpus. The windows are a table;
+    one block at a time comes to the driver and from there to the tasks."""
+    windows = cut(test_windows(items, id_col, text_col, window))
+    n = max(1, -(-windows.count() // BLOCK_WINDOWS))
+    for k in range(n):
+        rows = windows.where(F.pmod(F.xxhash64("item", "words"), F.lit(n)) == k).toArrow()
+        if rows.num_rows:
+            own = [np.frombuffer(x, U64) for x in rows.column("words").to_pylist()]
+            vocabulary = np.unique(np.concatenate(own))
+            found = _term_counts(index, vocabulary)
+            yield _by_rarity(rows.column("item").to_pylist(), own, vocabulary, np.array([found.get(t, 0) for t in range(len(vocabulary))]))
+
+
+def _in_blocks(index: DataFrame, blocks: Iterator[tuple], find, schema: str) -> DataFrame:
+    """What find(shard, block) gives for every shard of the index and every block, as rows of the schema after (shard, ids)."""
+    parts = []
+    for block in blocks:
+        shared = index.sparkSession.sparkContext.broadcast(block)
+
+        def run(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            block = _Block(*shared.value)
+            for frame in frames:
+                for number, documents, *own in frame.itertuples(index=False):
+                    ids = [d["doc_id"] for d in documents]
+                    shard = _Shard(*own)
+                    shard.restrict(block.vocabulary)
+                    out = find(number, ids, shard, block)
+                    if len(out):
+                        yield out
+
+        # Each block's rows are written before the next one is sent.
+        parts.append(cut(index.mapInPandas(run, schema)))
+        shared.unpersist()
+    if not parts:
+        return index.sparkSession.createDataFrame([], schema)
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 class _Shard:
@@ -186,46 +215,39 @@ class _Shard:
 def search(index: DataFrame, items: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = 10, slop: int | None = None) -> DataFrame:
     """Rows (doc_id, item_id, position) of matches: exact phrases by their first word, or with slop proximity matches by their
     rarest word, counted in words from 0. Each (window, position) gives a row; repeated windows of an item repeat."""
-    blocks = test_blocks(index, items, id_col, text_col, window)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for ids, *parts in frame.itertuples(index=False):
-                shard, out = _Shard(*parts), []
-                for block in (_Block(*b.value) for b in blocks):
-                    shard.restrict(block.vocabulary)
-                    which, at = shard.exact(block) if slop is None else shard.close(block, slop)
-                    row = np.searchsorted(shard.first, at, "right") - 1
-                    out += [(ids[r], block.ids[w], p) for r, w, p in zip(row.tolist(), which.tolist(), (at - shard.first[row]).tolist())]
-                if out:
-                    yield pd.DataFrame(out, columns=["doc_id", "item_id", "position"])
+    def find(number: int, ids, shard: _Shard, block: _Block) -> pd.DataFrame:
+        which, at = shard.exact(block) if slop is None else shard.close(block, slop)
+        row = np.searchsorted(shard.first, at, "right") - 1
+        return pd.DataFrame({"doc_id": _whole([ids[r] for r in row]), "item_id": _whole([block.ids[w] for w in which]), "position": at - shard.first[row]})
 
-    return index.mapInPandas(run, "doc_id bigint, item_id bigint, position bigint")
+    return _in_blocks(index, test_blocks(index, items, id_col, text_col, window), find, "doc_id bigint, item_id bigint, position bigint")
 
 
-def report(index: DataFrame, items: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = 10) -> DataFrame:
-    """One row a document of the index: how many of its words exact occurrences cover, and which items occur."""
-    blocks = test_blocks(index, items, id_col, text_col, window)
+def _whole(ids: list) -> pd.array:
+    return pd.array([None if i is None or i != i else int(i) for i in ids], "Int64")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for ids, *parts in frame.itertuples(index=False):
-                shard = _Shard(*parts)
-                covered = np.zeros(int(shard.first[-1]) + 1, np.int64)
-                found: dict[int, set[str]] = {}
-                for block in (_Block(*b.value) for b in blocks):
-                    shard.restrict(block.vocabulary)
-                    which, start = shard.exact(block)
-                    np.add.at(covered, start, 1)
-                    np.add.at(covered, start + block.size[which], -1)
-                    for r, w in set(zip((np.searchsorted(shard.first, start, "right") - 1).tolist(), which.tolist())):
-                        found.setdefault(r, set()).add(str(block.ids[w]))
-                hit = np.r_[0, np.cumsum(np.cumsum(covered[:-1]) > 0)]
-                n_hit = hit[shard.first[1:]] - hit[shard.first[:-1]]
-                names = [sorted(found.get(r, ())) for r in range(len(ids))]
-                yield pd.DataFrame({"doc_id": pd.array([None if i is None or i != i else int(i) for i in ids], "Int64"), "n_words": np.diff(shard.first), "n_hit": n_hit, "n_items": [len(x) for x in names], "items_sha256": [hashlib.sha256(",".join(x).encode()).hexdigest() for x in names], "contaminated": n_hit > 0})
-
-    return index.mapInPandas(run, "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean")
+
+def report(index: DataFrame, items: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = 10) -> DataFrame:
+    """One row a document of the index: how many of its words exact occurrences cover, and which items occur. An item without id
+    counts as an item, but has no name in the digest."""
+
+    def find(number: int, ids, shard: _Shard, block: _Block) -> pd.DataFrame:
+        which, start = shard.exact(block)
+        row = np.searchsorted(shard.first, start, "right") - 1
+        # Of each document and item, the runs of words that its occurrences cover.
+        hits = pd.DataFrame({"shard": number, "row": row, "item": _whole([block.ids[w] for w in which]), "lo": start - shard.first[row], "n": block.size[which]})
+        return hits.drop_duplicates()
+
+    hits = _in_blocks(index, test_blocks(index, items, id_col, text_col, window), find, "shard bigint, row bigint, item bigint, lo bigint, n bigint")
+    covered = F.size(F.array_distinct(F.flatten(F.transform(F.collect_set(F.struct("lo", "n")), lambda s: F.sequence(s["lo"], s["lo"] + s["n"] - 1)))))
+    names = F.array_sort(F.collect_set(F.col("item").cast("string")))
+    found = hits.groupBy("shard", "row").agg(covered.cast("bigint").alias("n_hit"), (F.size(names) + F.max(F.col("item").isNull().cast("int"))).cast("bigint").alias("n_items"), F.sha2(F.array_join(names, ","), 256).alias("items_sha256"))
+    each = index.select("shard", F.posexplode("documents").alias("row", "d")).select("shard", F.col("row").cast("bigint").alias("row"), "d.*")
+    joined = each.join(found, ["shard", "row"], "left")
+    empty = hashlib.sha256(b"").hexdigest()
+    n_hit = F.coalesce("n_hit", F.lit(0))
+    return joined.select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).alias("n_items"), F.coalesce("items_sha256", F.lit(empty)).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
 def decontamination_report(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:

@@ -42,10 +42,12 @@ def passages(rng):
     return out + [sentence(rng, 20_000)]
 
 
-def test_decontamination_matches_brute_force(spark):
+@pytest.mark.parametrize("windows", [decontamination.BLOCK_WINDOWS, 8])
+def test_decontamination_matches_brute_force(spark, windows, monkeypatch):
+    monkeypatch.setattr(decontamination, "BLOCK_WINDOWS", windows)
     rng = random.Random(1)
     texts = passages(rng)
-    items = [(0, None), (1, ""), (2, "Alpha beta"), (3, " ".join(texts[8].split()[5:30])), (4, "x " * 12), (5, "never-seen words"), (10, " ".join(texts[9].split()[:11]))]
+    items = [(0, None), (1, ""), (2, "Alpha beta"), (3, " ".join(texts[8].split()[5:30])), (4, "x " * 12), (5, "never-seen words"), (10, " ".join(texts[9].split()[:11])), (None, "two words"), (None, " ".join(texts[8].split()[5:30]))]
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     got = decontamination.decontamination_report(docs(spark, texts).withColumn("item_id", F.lit(1)), spark.createDataFrame(items, "item_id bigint, text string")).collect()
     assert len(got) == len(texts)
@@ -61,7 +63,7 @@ def test_decontamination_matches_brute_force(spark):
                         hit |= set(range(i, i + len(win)))
                         found.add(str(item))
         assert (r.n_words, r.n_hit, r.n_items, r.contaminated) == (len(w), len(hit), len(found), bool(hit))
-        assert r.items_sha256 == hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
+        assert r.items_sha256 == hashlib.sha256(",".join(sorted(found - {"None"})).encode()).hexdigest()
 
 
 def test_phrase_and_proximity(spark):
@@ -75,13 +77,19 @@ def test_phrase_and_proximity(spark):
     assert {r.doc_id for r in decontamination.decontaminate(d, items).collect()} == {1, 2, 3}
 
 
-def test_mixture_deviates_by_less_than_a_block():
-    blocks, weights = {"a": 5000, "b": 900, "c": 777, "d": 33}, {"a": 0.2, "b": 0.5, "c": 0.25, "d": 0.05}
-    rows = mixing.schedule(blocks, weights, 100)
+def slots_of(rows):
+    """Which block of which source each slot of a schedule takes."""
     slots = {}
     for s, first, n, slot, share, total, at in rows:
         for i in range(n):
             assert slots.setdefault(slot + i // share * total + at[i % share], (s, first + i)) == (s, first + i)
+    return slots
+
+
+def test_mixture_deviates_by_less_than_a_block():
+    blocks, weights = {"a": 5000, "b": 900, "c": 777, "d": 33}, {"a": 0.2, "b": 0.5, "c": 0.25, "d": 0.05}
+    rows = mixing.schedule(blocks, weights, 100)
+    slots = slots_of(rows)
     assert sorted(slots) == list(range(sum(blocks.values())))
     for s, n in blocks.items():
         assert [b for _, (x, b) in sorted(slots.items()) if x == s] == list(range(n))
@@ -116,6 +124,42 @@ def test_mix_places_every_row(spark):
             before += n
         last = max(1, -(-before // 500)) - 1
         assert sorted(min(b, last) for b in want) == sorted(r.block for r in got if r.source == source)
+    # Slots and positions, by the schedule as the tests of schedule() have it.
+    chars = {s: sum(n for *_, n in x) for s, x in order.items()}
+    name = lambda s: "-" if s is None else f"={s}"
+    slots = slots_of(mixing.schedule({name(s): max(1, -(-n // 500)) for s, n in chars.items()}, {name(s): max(n, 1) ** 0.5 for s, n in chars.items()}, 40))
+    place = {v: k for k, v in slots.items()}
+    for source, docs_ in order.items():
+        before, want = 0, []
+        for _, has, i, n in sorted(docs_):
+            b = min(before // 500, max(1, -(-chars[source] // 500)) - 1)
+            slot = place[name(source), b]
+            want.append((i if has else None, n, b, slot, slot * 500 + before - b * 500))
+            before += n
+        key = lambda r: (r[4], r[1], r[0] is None, r[0] or 0)
+        assert sorted(want, key=key) == sorted(((r.doc_id, r.n_chars, r.block, r.slot, r.position) for r in got if r.source == source), key=key)
+
+
+def test_mix_of_many_sources(spark):
+    """More sources than one schedule takes: every block has a slot of its own, a source's blocks keep their order, and while no
+    source has run out, each is less than two blocks from its share."""
+    rows = [(i, "y" * (10 + i % 7), "en", f"s{i % 60}", 0) for i in range(3000)]
+    d = spark.createDataFrame(rows, DOCS)
+    got = mixing.mix(d, block_chars=20, period=100, max_sources=20).collect()
+    assert len(got) == 3000
+    slots, blocks = {}, {}
+    for r in got:
+        assert slots.setdefault(r.slot, (r.source, r.block)) == (r.source, r.block)
+        blocks.setdefault(r.source, set()).add((r.slot, r.block))
+    assert len(slots) == len({v for v in slots.values()})
+    assert all([b for _, b in sorted(x)] == sorted(b for _, b in x) for x in blocks.values())
+    assert len(mixing.mix(d, max_sources=59).collect()) == 3000
+
+
+def test_mix_of_five_thousand_sources(spark):
+    d = spark.range(15_000).select(F.col("id").alias("doc_id"), F.lit("text of some length").alias("text"), F.lit("en").alias("lang"), F.concat(F.lit("s"), F.col("id") % 5000).alias("source"), F.lit(19).cast("bigint").alias("n_chars"))
+    got = mixing.mix(d, block_chars=19)
+    assert got.count() == 15_000 and got.select("slot").distinct().count() == 15_000
 
 
 @pytest.mark.parametrize("numbers", [topk.GROUP_NUMBERS, 24])
