@@ -305,11 +305,76 @@ def test_main_text(spark):
     assert wrapper.extract(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
 
 
+def pages_of(spark, bodies, host="http://h.example/"):
+    rows = [(k, f"{host}{k}", f"<html><head><title>t</title></head><body>{b}</body></html>") for k, b in enumerate(bodies)]
+    return spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("text", F.lit("clash")).withColumn("template", F.lit(1))
+
+
+def test_constant_nodes_are_template(spark):
+    """A notice and a rights line that stand on all pages of a host go, inside an article and without one; what varies stays."""
+    for outer in ("<article>{}</article>", "<div class='body'>{}</div>"):
+        inner = [f"<h1>Title {k} of its own</h1><p>{sentence(random.Random(k), 40)}</p><p class='x9'>Subscribe to our daily mail now</p><p>All rights reserved by us</p>" for k in range(4)]
+        got = {r.page_id: r.text for r in wrapper.extract(pages_of(spark, [outer.format(b) for b in inner])).collect()}
+        assert got == {k: f"Title {k} of its own\n{sentence(random.Random(k), 40)}" for k in range(4)}
+    # Copies of one article are no template, nor is what only two of four pages share.
+    same = f"<article><h1>One</h1><p>{sentence(random.Random(5), 30)}</p></article>"
+    assert {r.text for r in wrapper.extract(pages_of(spark, [same] * 5)).collect()} == {f"One\n{sentence(random.Random(5), 30)}"}
+    half = [f"<article><p>{sentence(random.Random(k), 30)}</p>{'<p>shared line</p>' if k < 2 else ''}</article>" for k in range(4)]
+    assert [r.text.count("shared line") for r in sorted(wrapper.extract(pages_of(spark, half)).collect())] == [1, 1, 0, 0]
+
+
+def test_parts_of_an_article_stay(spark):
+    """Names that only contain a word of furniture, an article's own header, intros outside the largest part and deep nesting."""
+    deep = "<div>" * 3000 + "<p>deep down</p>" + "</div>" * 3000
+    bodies = [
+        "<article><div class='post-header'><h1>Real title</h1></div><div class='search-results-section'><p>Found</p></div><p>Body text</p><div class='comments'><p>first!</p></div><footer>by me</footer></article>",
+        "<div class='wrap'><h1>Title</h1><div class='intro'>Intro here</div><div class='body'><p>" + "long text " * 30 + "</p></div></div>",
+        "<article class='teaser'><p>Read this</p></article><div class='content'><p>" + "the whole story " * 20 + "</p></div>",
+        f"<article><h1>T</h1>{deep}<p>{'w ' * 200_000}</p></article>",
+        "<main><header><h1>Head</h1></header><article><p>one</p></article><article><p>two</p></article></main>",
+    ]
+    got = [r.text for k, b in enumerate(bodies) for r in wrapper.extract(pages_of(spark, [b], f"http://h{k}.example/")).collect()]
+    assert got[0] == "Real title\nFound\nBody text"
+    assert got[1] == "Title\nIntro here\n" + ("long text " * 30).strip()
+    assert got[2].endswith("the whole story") and got[2].count("the whole story") == 20
+    assert got[3] == "T\ndeep down\n" + ("w " * 200_000).strip()
+    assert got[4] == "Head\none\ntwo"
+
+
+def test_template_matches_brute_force(spark):
+    """Random pages of one shape: the text of an article is the paragraphs that don't stand on all pages of the host."""
+    rng = random.Random(21)
+    fixed = [f"<p class='c{k}'>fixed {k}</p>" for k in range(3)]
+    bodies, want = [], []
+    for k in range(24):
+        own = [f"<p class='v{j}'>{sentence(rng, rng.randint(8, 20))} {k}</p>" for j in range(4)]
+        parts = [own[0], fixed[0], own[1], own[2], fixed[1], own[3], fixed[2]]
+        bodies.append("<nav><a href='/'>home</a></nav><article>" + "".join(parts) + "</article><footer>end</footer>")
+        want.append("\n".join(re.sub("<[^>]*>", "", x) for x in own))
+    got = [r.text for r in sorted(wrapper.extract(pages_of(spark, bodies).repartition(5)).collect())]
+    assert got == want
+
+
+def test_main_text_of_the_given_pages(spark):
+    """Every article of the given pages, by its own markup: what a regular expression finds between its tags."""
+    import html
+
+    def article(page):
+        inner = re.search(r"<article>(.*?)</article>", page, re.S)[1]
+        parts = re.split(r"</?(?:p|h1)>", re.sub(r"<(?:br)>", " ", re.sub(r"</?b>", "", inner)))
+        return "\n".join(t for x in parts if (t := " ".join(html.unescape(x).split())))
+
+    d = table(spark, "/root/testdata/sf0.01", "pages")
+    want = {r.page_id: article(r.html) for r in d.collect()}
+    got = {r.page_id: r.text for r in wrapper.extract(d).collect()}
+    assert sum(got[k] == want[k] for k in want) / len(want) > 0.99
+
+
 def test_simple_tree_matching():
-    tree = lambda label, *kids: [label, False, 1, 0, 1, 0, list(kids)]
+    tree = lambda label, *kids: [label, 1, [], list(kids)]
     a, b = tree("x", tree("p"), tree("q", tree("r")), tree("s")), tree("x", tree("q", tree("r")), tree("t"), tree("s"))
     assert wrapper.simple_tree_matching(a, b) == (4, [(1, 0), (2, 2)])
-    assert [k[0] for k in wrapper.merged(a, b)[6]] == ["p", "q", "t", "s"]
+    assert [k[0] for k in wrapper.merged(a, b)[3]] == ["p", "q", "t", "s"]
 
 
 def brute_components(texts, ids):
