@@ -12,7 +12,8 @@ MONTHS = {
 }
 LOCAL_MONTHS = ["Januari", "Februari", "Maret", "April", "Mei", "Juni", "Juli", "Agustus", "September", "Oktober", "November", "Desember"]
 LOCAL_DAYS = ["Minggu", "Senin", "Selasa", "Rabu", "Kamis", "Jumat", "Sabtu"]
-NAME = "(" + "|".join(MONTHS) + ")"
+#: Month names and their first three letters, longest first.
+NAME = "(" + "|".join(sorted({*MONTHS, *(m[:3] for m in MONTHS)}, key=lambda m: (-len(m), m))) + ")"
 
 
 def _c(col: Column | str) -> Column:
@@ -20,11 +21,9 @@ def _c(col: Column | str) -> Column:
 
 
 def month_number(col: Column | str) -> Column:
-    """By the first three letters; the English spellings that differ are replaced first."""
-    head = F.substring(F.lower(_c(col)), 1, 3)
-    head = F.when(head == "may", "mei").when(head == "aug", "agu").when(head == "oct", "okt").when(head == "dec", "des").otherwise(head)
-    place = F.instr(F.lit("jan feb mar apr mei jun jul agu sep okt nov des"), head)
-    return F.when((F.length(head) == 3) & (place > 0), ((place + 3) / 4).cast("int"))
+    """By the first three letters, which tell all spellings."""
+    by_head = F.create_map(*(F.lit(x) for kv in sorted({m[:3]: n for m, n in MONTHS.items()}.items()) for x in kv))
+    return F.try_element_at(by_head, F.substring(F.lower(_c(col)), 1, 3))
 
 
 def day(year: Column, month: Column, number: Column) -> Column:
@@ -38,36 +37,41 @@ def _parts(col: Column, pattern: str, n: int) -> list[Column]:
 
 def parse_name_dates(col: Column | str) -> Column:
     """The span that a document's name tells, the first rule that gives real dates: two ISO dates; an ISO date, perhaps with a last
-    day; day or days with month and year; the same without blanks; months of a year; eight digits, year or day first."""
+    day; day or days with month and year; the same without separators at the end; months of a year; eight digits, year or day first.
+    Separators are blanks, lines and underscores. An end before the start counts as the start, but for two full dates."""
     c = _c(col)
     iso = r"(\d{4})-(\d{2})-(\d{2})"
     one = F.lit("1")
 
-    def rule(y1, m1, d1, y2, m2, d2, precision="day"):
-        return F.struct(*(x.cast("string").alias(n) for x, n in zip((y1, m1, d1, y2, m2, d2, F.lit(precision)), ("y1", "m1", "d1", "y2", "m2", "d2", "precision"))))
+    def rule(y1, m1, d1, y2, m2, d2, kind="day"):
+        names = ("y1", "m1", "d1", "y2", "m2", "d2", "kind")
+        return F.struct(*(x.cast("string").alias(n) for x, n in zip((y1, m1, d1, y2, m2, d2, F.lit(kind)), names)))
 
-    y, m, d, y2, m2, d2 = _parts(c, iso + r".*?" + iso, 6)
-    rules = [rule(y, m, d, y2, m2, d2)]
-    y, m, d, last = _parts(c, iso + r"(?:_(\d{2})(?!\d))?", 4)
+    y, m, d, y2, m2, d2 = _parts(c, iso + r"[_\-\s]+(?:to[_\-\s]+)?" + iso, 6)
+    rules = [rule(y, m, d, y2, m2, d2, "written")]
+    y, m, d, last = _parts(c, iso + r"(?:_(\d{1,2})(?!\d))?", 4)
     rules += [rule(y, m, d, y, m, last), rule(y, m, d, y, m, d)]
-    a, b, mon, y = _parts(c, rf"(?i)(?<!\d)(\d{{1,2}})(?:\s*[-–]\s*(\d{{1,2}}))?\s+{NAME}\s+(\d{{4}})", 4)
-    rules += [rule(y, month_number(mon), a, y, month_number(mon), b), rule(y, month_number(mon), a, y, month_number(mon), a)]
+    a, b, mon, y = _parts(c, rf"(?i)(?<!\d)(\d{{1,2}})(?:[_\-–](\d{{1,2}}))?[_\- ]{NAME}[_\- ](\d{{4}})", 4)
+    rules.append(rule(y, month_number(mon), a, y, month_number(mon), F.coalesce(b, a)))
     a, mon, y = _parts(c, rf"(?i)(?<!\d)(\d{{1,2}}){NAME}(\d{{4}})$", 3)
     rules.append(rule(y, month_number(mon), a, y, month_number(mon), a))
-    mon, mon2, y = _parts(c, rf"(?i){NAME}(?:\s*[-–]?\s*{NAME})?\s+(\d{{4}})", 3)
+    mon, mon2, y = _parts(c, rf"(?i)(?<![A-Za-z]){NAME}[_\- ]+(?:{NAME}[_\- ]+)?(\d{{4}})", 3)
     rules.append(rule(y, month_number(mon), one, y, month_number(F.coalesce(mon2, mon)), one, "month"))
-    y, m, d = _parts(c, r"(?<!\d)((?:19|20)\d{2})(\d{2})(\d{2})(?!\d)", 3)
-    rules.append(rule(y, m, d, y, m, d))
-    d, m, y = _parts(c, r"(?<!\d)(\d{2})(\d{2})((?:19|20)\d{2})(?!\d)", 3)
-    rules.append(rule(y, m, d, y, m, d))
+    eight = F.regexp_extract_all(c, F.lit(r"(?<!\d)(\d{8})(?!\d)"), F.lit(1))
+    part = lambda x, lo, n: F.substring(x, lo, n)
+    year_first = lambda x: rule(part(x, 1, 4), part(x, 5, 2), part(x, 7, 2), part(x, 1, 4), part(x, 5, 2), part(x, 7, 2), "20")
+    day_first = lambda x: rule(part(x, 5, 4), part(x, 3, 2), part(x, 1, 2), part(x, 5, 4), part(x, 3, 2), part(x, 1, 2), "20")
+    all_rules = F.concat(F.array(*rules), F.flatten(F.transform(eight, lambda x: F.array(year_first(x), day_first(x)))))
 
     def span(r: Column) -> Column:
-        last = day(r["y2"], r["m2"], r["d2"])
-        end = F.when(r["precision"] == "month", F.last_day(last)).otherwise(last)
-        return F.struct(day(r["y1"], r["m1"], r["d1"]).alias("start"), end.alias("end"), r["precision"].alias("precision"))
+        start, last = day(r["y1"], r["m1"], r["d1"]), day(r["y2"], r["m2"], r["d2"])
+        end = F.when(r["kind"] == "month", F.last_day(last)).when(r["kind"] == "written", last).otherwise(F.greatest(start, last))
+        real = start.isNotNull() & last.isNotNull() & ((r["kind"] != "month") | (start <= last)) & ((r["kind"] != "20") | r["y1"].startswith("20"))
+        return F.struct(start.alias("start"), end.alias("end"), F.when(r["kind"] == "month", "month").otherwise("day").alias("precision"), real.alias("real"))
 
     # Rules are read one by one in a lambda: as nested expressions their code would be too large to compile.
-    return F.get(F.filter(F.transform(F.array(*rules), span), lambda s: s["start"] <= s["end"]), 0)
+    found = F.get(F.filter(F.transform(all_rules, span), lambda s: s["real"]), 0)
+    return F.when(found.isNotNull(), F.struct(found["start"].alias("start"), found["end"].alias("end"), found["precision"].alias("precision")))
 
 
 def date_label(start: Column | str, end: Column | str, precision: Column | str) -> Column:

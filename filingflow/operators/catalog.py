@@ -10,13 +10,17 @@ from filingflow.operators.relational import explode_days
 
 
 def text_date_ranges(docs: DataFrame, id_col: str, text_col: str, signs: int = 5000) -> DataFrame:
-    """Spans written at the head of a text: '22–24 September 2026', '1 Agustus – 5 September 2026', in order of their place. The head
-    is the feature: a document's date line stands there."""
-    pattern = rf"(?i)(\d{{1,2}})(?:\s+{NAME})?\s*[-–]\s*(\d{{1,2}})\s+{NAME}\s+(\d{{4}})"
-    found = docs.select(id_col, F.posexplode(F.regexp_extract_all(F.substring(text_col, 1, signs), F.lit(pattern), F.lit(0))).alias("place", "written"))
-    part = lambda k: F.nullif(F.regexp_extract("written", pattern, k), F.lit(""))
-    start = day(part(5), month_number(F.coalesce(part(2), part(4))), part(1))
-    end = day(part(5), month_number(part(4)), part(3))
+    """Spans written at the head of a text: first those over two months ('1 Agustus – 5 September 2026', the first year may be
+    missing), then those within one ('22–24 September 2026'). The head is the feature: a document's date line stands there."""
+    head = F.substring(text_col, 1, signs)
+    two = rf"(?i)(\d{{1,2}})\s+{NAME}(?:\s+(\d{{4}}))?\s*[–-]\s*(\d{{1,2}})\s+{NAME}\s+(\d{{4}})"
+    one = rf"(?i)(?<!\d)(\d{{1,2}})\s*[–-]\s*(\d{{1,2}})\s+{NAME}\s+(\d{{4}})"
+    written = F.concat(F.regexp_extract_all(head, F.lit(two), F.lit(0)), F.regexp_extract_all(head, F.lit(one), F.lit(0)))
+    found = docs.select(id_col, F.posexplode(written).alias("place", "written"))
+    part = lambda p, k: F.nullif(F.regexp_extract("written", p, k), F.lit(""))
+    both = F.col("written").rlike(two)
+    start = F.when(both, day(F.coalesce(part(two, 3), part(two, 6)), month_number(part(two, 2)), part(two, 1))).otherwise(day(part(one, 4), month_number(part(one, 3)), part(one, 1)))
+    end = F.when(both, day(part(two, 6), month_number(part(two, 5)), part(two, 4))).otherwise(day(part(one, 4), month_number(part(one, 3)), part(one, 2)))
     return found.select(id_col, "place", start.alias("start"), end.alias("end")).where("start <= end")
 
 

@@ -16,9 +16,15 @@ def words(col: str) -> Column:
     return F.filter(F.regexp_extract_all(F.lower(F.col(col)), F.lit(WORD), F.lit(0)), lambda w: ~w.rlike(r"^[0-9]{7,}$"))
 
 
-def build_postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows (term, doc_id, tf). Words are counted inside each document first, so that one row a distinct word is shuffled."""
-    return docs.select(F.col(id_col).alias("doc_id"), F.explode(words(text_col)).alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
+def words_of(terms: list[str]) -> list[str]:
+    return sorted({w for t in terms for w in t.lower().split()})
+
+
+def build_postings(docs: DataFrame, id_col: str, text_col: str, only: list[str] | None = None) -> DataFrame:
+    """Rows (term, doc_id, tf), perhaps of some terms only, which are picked before anything is shuffled; Spark counts what a task
+    reads before it sends it."""
+    own = words(text_col) if only is None else F.filter(words(text_col), lambda w: w.isin(only))
+    return docs.select(F.col(id_col).alias("doc_id"), F.explode(own).alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
 
 
 def quoted(term: str) -> str:

@@ -71,26 +71,44 @@ def _ends(usable: DataFrame) -> DataFrame:
     return usable.where("usable").groupBy("entity").agg(F.min("period").alias("begin"), F.max("period").alias("end"))
 
 
-def new_parties(index: DataFrame, usable: DataFrame, least: float = 2.0) -> DataFrame:
-    """First seen after the entity's first usable period, still there in its last one, with at least so much."""
-    return index.join(_ends(usable), "entity").where((F.col("first") > F.col("begin")) & (F.col("last") == F.col("end")) & (F.col("pct_last") >= least)).select("entity", "party", "first", F.col("pct_last").alias("pct"))
+def _around(usable: DataFrame) -> DataFrame:
+    """usable with the usability of the periods before and after, and the last period of the axis (one row, from the axis alone)."""
+    w = Window.partitionBy("entity").orderBy("period")
+    marked = usable.select("entity", "period", "usable", F.lag("usable").over(w).alias("before"), F.lead("usable").over(w).alias("next"))
+    return marked.join(F.broadcast(usable.agg(F.max("period").alias("end"))))
 
 
-def exited_parties(index: DataFrame, usable: DataFrame, least: float = 2.0) -> DataFrame:
-    """Last seen, with at least so much, before the entity's last usable period."""
-    return index.join(_ends(usable), "entity").where((F.col("last") < F.col("end")) & (F.col("pct_last") >= least)).select("entity", "party", "last", F.col("pct_last").alias("pct"))
+def new_parties(index: DataFrame, usable: DataFrame, pooled: DataFrame, least: float = 2.0) -> DataFrame:
+    """Arrived in a usable period after a usable one, and there with at least so much at the end of the axis, which is usable too;
+    without pooled parties (party)."""
+    marked = _around(usable)
+    came = marked.where("usable and before").select("entity", F.col("period").alias("first"))
+    there = marked.where("usable and period = end").select("entity", F.col("period").alias("last"))
+    own = index.join(pooled.select("party"), "party", "left_anti").where(F.col("pct_last") >= least)
+    return own.join(came, ["entity", "first"]).join(there, ["entity", "last"]).select("entity", "party", "first", F.col("pct_last").alias("pct"))
 
 
-def near_threshold(positions: DataFrame, usable: DataFrame, low: float = 4.5, high: float = 5.0) -> DataFrame:
-    ends = _ends(usable).select("entity", F.col("end").alias("period"))
-    return positions.join(ends, ["entity", "period"]).where((F.col("pct") >= low) & (F.col("pct") < high)).select("entity", "party", "period", "pct")
+def exited_parties(index: DataFrame, usable: DataFrame, pooled: DataFrame, least: float = 2.0) -> DataFrame:
+    """Last seen, with at least so much, in a usable period before a usable one; without pooled parties."""
+    left = _around(usable).where("usable and next").select("entity", F.col("period").alias("last"))
+    own = index.join(pooled.select("party"), "party", "left_anti").where(F.col("pct_last") >= least)
+    return own.join(left, ["entity", "last"]).select("entity", "party", "last", F.col("pct_last").alias("pct"))
+
+
+def near_threshold(positions: DataFrame, usable: DataFrame, pooled: DataFrame, low: float = 4.5, high: float = 5.0) -> DataFrame:
+    """Just below a threshold at the end of the axis, where that is usable; without pooled parties."""
+    there = _around(usable).where("usable and period = end").select("entity", "period")
+    own = positions.join(pooled.select("party"), "party", "left_anti").where((F.col("pct") >= low) & (F.col("pct") < high))
+    return own.join(there, ["entity", "period"]).select("entity", "party", "period", "pct")
 
 
-def entity_parties(positions: DataFrame, parties: DataFrame, entities: DataFrame) -> DataFrame:
-    """Holders that are listed entities themselves: parties (party, key), entities (entity, key) by equal keys of more than 3 signs."""
+def entity_parties(positions: DataFrame, usable: DataFrame, parties: DataFrame, entities: DataFrame) -> DataFrame:
+    """Holders at the usable end of the axis that are listed entities themselves: parties (party, key), entities (entity, key) by
+    equal keys of more than 3 signs."""
     listed = entities.where(F.length("key") > 3).select(F.col("entity").alias("is_entity"), "key")
     known = parties.where(F.length("key") > 3).join(listed, "key").select("party", "is_entity")
-    return positions.select("entity", "party").distinct().join(known, "party").where("entity != is_entity").select("entity", "party", "is_entity")
+    there = _around(usable).where("usable and period = end").select("entity", "period")
+    return positions.join(there, ["entity", "period"]).select("entity", "party", "pct").join(known, "party").where("entity != is_entity").select("entity", "party", "is_entity", "pct")
 
 
 def renames(changes: DataFrame, pooled: DataFrame, least: int = 2) -> DataFrame:

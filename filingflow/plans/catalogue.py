@@ -55,10 +55,10 @@ def d13(spark, d):
     return D.flag_stale(catalog(spark, d), 7)
 
 
-@query("D14_overlap_join", """, ranges AS (SELECT p_partkey AS range_id, DATE '1995-01-01' + CAST(p_partkey * 13 % 2000 AS INTEGER) AS low, DATE '1995-01-01' + CAST(p_partkey * 13 % 2000 + p_size % 10 AS INTEGER) AS high, (['1-URGENT','2-HIGH','3-MEDIUM','4-NOT SPECIFIED','5-LOW'])[CAST(p_partkey % 5 AS INTEGER) + 1] AS cat FROM part WHERE p_size < 4)
+@query("D14_overlap_join", """, ranges AS (SELECT p_partkey AS range_id, DATE '1995-01-01' + CAST(p_partkey * 13 % 2000 AS INTEGER) AS low, DATE '1995-01-01' + CAST(p_partkey * 13 % 2000 + p_size % 10 AS INTEGER) AS high, (['1-URGENT','2-HIGH','3-MEDIUM','4-NOT SPECIFIED','5-LOW'])[CAST(p_partkey % 5 AS INTEGER) + 1] AS cat FROM part)
 SELECT doc_id, range_id FROM catalog c JOIN ranges r ON c.cat = r.cat AND "start" <= high AND low <= "end\"""")
 def d14(spark, d):
-    p = table(spark, d, "part").where("p_size < 4")
+    p = table(spark, d, "part")
     low = F.date_add(F.lit("1995-01-01").cast("date"), (F.col("p_partkey") * 13 % 2000).cast("int"))
     cats = F.array(*map(F.lit, ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]))
     ranges = p.select(F.col("p_partkey").alias("range_id"), low.alias("low"), F.date_add(low, (F.col("p_size") % 10).cast("int")).alias("high"), F.get(cats, (F.col("p_partkey") % 5).cast("int")).alias("cat"))
@@ -70,7 +70,7 @@ def d15(spark, d):
     return D.latest_per(catalog(spark, d), "cat").select("cat", "end", "doc_id")
 
 
-@query("D16_prefer_sources", """, docs AS (SELECT doc_id, CASE cat WHEN '1-URGENT' THEN 'weekly' WHEN '2-HIGH' THEN 'daily' ELSE 'raw' END AS kind, "start", least("end", "start" + 6) AS "end" FROM catalog WHERE cust % 7 = 0),
+@query("D16_prefer_sources", """, docs AS (SELECT doc_id, CASE cat WHEN '1-URGENT' THEN 'weekly' WHEN '2-HIGH' THEN 'daily' ELSE 'raw' END AS kind, "start", least("end", "start" + 6) AS "end" FROM catalog),
 spans AS (SELECT doc_id, kind, CAST(unnest(generate_series("start", "end", INTERVAL 1 DAY)) AS DATE) AS day FROM docs),
 weekly AS (SELECT DISTINCT day FROM spans WHERE kind = 'weekly' AND doc_id IN (SELECT doc_id FROM spans GROUP BY 1 HAVING count(*) >= 3)),
 daily AS (SELECT DISTINCT doc_id FROM spans ANTI JOIN weekly USING (day) WHERE kind = 'daily'),
@@ -79,7 +79,7 @@ raw AS (SELECT DISTINCT doc_id FROM spans ANTI JOIN by_day USING (day) WHERE kin
 SELECT doc_id, kind FROM docs WHERE kind = 'weekly' OR doc_id IN (SELECT doc_id FROM daily UNION ALL SELECT doc_id FROM raw)""")
 def d16(spark, d):
     kind = F.when(F.col("cat") == "1-URGENT", "weekly").when(F.col("cat") == "2-HIGH", "daily").otherwise("raw")
-    docs = catalog(spark, d).where("cust % 7 = 0").select("doc_id", kind.alias("kind"), "start", F.least("end", F.date_add("start", 6)).alias("end"))
+    docs = catalog(spark, d).select("doc_id", kind.alias("kind"), "start", F.least("end", F.date_add("start", 6)).alias("end"))
     return D.prefer_sources(docs).select("doc_id", "kind")
 
 
@@ -89,11 +89,11 @@ def d18(spark, d):
     return D.filter_event_date(rows, "date", "dates", "1996-03-05").select("l_orderkey", "l_linenumber")
 
 
-MONTHLY = "monthly AS (SELECT c_nationkey AS entity, CAST(date_trunc('month', o_orderdate) AS DATE) AS period, max(CASE WHEN o_orderstatus = 'F' THEN 'K' ELSE 'R' END) AS source, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderpriority = '1-URGENT' GROUP BY ALL)"
+MONTHLY = "monthly AS (SELECT c_nationkey AS entity, CAST(date_trunc('month', o_orderdate) AS DATE) AS period, max(CASE WHEN o_orderstatus = 'F' THEN 'K' ELSE 'R' END) AS source, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL)"
 
 
 def _monthly(spark, d):
-    o = table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    o = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     return o.groupBy(F.col("c_nationkey").alias("entity"), F.trunc("o_orderdate", "month").alias("period")).agg(F.max(F.when(F.col("o_orderstatus") == "F", "K").otherwise("R")).alias("source"), F.count("*").alias("n"))
 
 
@@ -113,12 +113,20 @@ def d22(spark, d):
     return D.fingerprint(docs).select("doc_id", "fingerprint", F.col("state").endswith("r").alias("provisional"))
 
 
-@plain("D01_parse_name_dates", "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS \"start\", CAST(o_orderdate AS DATE) AS \"end\", 'day' AS precision FROM orders")
+@plain("D01_parse_name_dates", """WITH o AS (SELECT o_orderkey, o_orderkey % 9 AS k, CAST(CAST(o_orderdate AS DATE) + INTERVAL 240 MONTH AS DATE) AS d FROM orders),
+e AS (SELECT *, CASE WHEN k = 6 THEN date_trunc('month', d)::DATE ELSE d END AS "start", CASE WHEN k = 5 THEN least(d + 3, last_day(d)) WHEN k = 6 THEN last_day(d) WHEN k = 7 THEN d + 40 ELSE d END AS "end" FROM o)
+SELECT o_orderkey, "start", "end", CASE WHEN k = 6 THEN 'month' ELSE 'day' END AS precision FROM e WHERE k <> 8 UNION ALL SELECT o_orderkey, NULL, NULL, NULL FROM e WHERE k = 8""")
 def d01(spark, d):
     months = F.array(*map(F.lit, ["Januari", "Februari", "Maret", "April", "Mei", "Juni", "Juli", "Agustus", "September", "Oktober", "November", "Desember"]))
-    o, x = table(spark, d, "orders"), F.col("o_orderdate")
-    names = F.when(F.col("o_orderkey") % 4 == 0, F.date_format(x, "'ringkasan 'yyyy-MM-dd")).when(F.col("o_orderkey") % 4 == 1, F.date_format(x, "'laporan_'yyyyMMdd")).when(F.col("o_orderkey") % 4 == 2, F.date_format(x, "'berkas 'ddMMyyyy")).otherwise(F.concat(F.lit("catatan "), F.dayofmonth(x), F.lit(" "), F.get(months, F.month(x) - 1), F.lit(" "), F.year(x)))
-    return o.select("o_orderkey", parse_name_dates(names).alias("s")).select("o_orderkey", "s.start", "s.end", "s.precision")
+    o, x, k = table(spark, d, "orders"), F.add_months("o_orderdate", 240), F.col("o_orderkey") % 9
+    month, until = F.get(months, F.month(x) - 1), F.least(F.date_add(x, 3), F.last_day(x))
+    forms = [
+        F.date_format(x, "'ringkasan_'yyyy-MM-dd"), F.date_format(x, "'laporan_'yyyyMMdd"), F.date_format(x, "'berkas '12345678'_'ddMMyyyy"), F.concat_ws("_", F.lit("catatan"), F.dayofmonth(x), F.lower(month), F.year(x)),
+        F.concat(F.lit("sgx_january-"), F.dayofmonth(x), F.lower(month), F.year(x)), F.concat(F.lit("ki_"), F.dayofmonth(x), F.lit("-"), F.dayofmonth(until), F.lit("_"), F.substring(month, 1, 3), F.lit("_"), F.year(x)),
+        F.concat_ws("-", F.lit("arsip"), month, F.year(x)), F.concat(F.date_format(x, "'review_'yyyy-MM-dd"), F.lit("_to_"), F.date_add(x, 40)), F.concat(F.lit("catatan bebas "), F.col("o_orderkey") % 1000),
+    ]
+    named = o.select("o_orderkey", F.get(F.array(*forms), k.cast("int")).alias("name"))
+    return named.select("o_orderkey", parse_name_dates("name").alias("s")).select("o_orderkey", "s.start", "s.end", "s.precision")
 
 
 @query("D06_date_label", """, m AS (SELECT ['Januari','Februari','Maret','April','Mei','Juni','Juli','Agustus','September','Oktober','November','Desember'] AS m, ['Minggu','Senin','Selasa','Rabu','Kamis','Jumat','Sabtu'] AS w)
@@ -169,9 +177,9 @@ def q05(spark, d):
     return Q.changed_rows(new, state, "doc_id")
 
 
-@plain("Q06_complete_weeks", "SELECT CAST(date_trunc('week', day) AS DATE) AS week FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_orderpriority = '1-URGENT') GROUP BY 1 HAVING count(*) = 7")
+@plain("Q06_complete_weeks", "SELECT CAST(date_trunc('week', day) AS DATE) AS week FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders) GROUP BY 1 HAVING count(*) = 7")
 def q06(spark, d):
-    return Q.complete_weeks(table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.to_date("o_orderdate").alias("day")))
+    return Q.complete_weeks(table(spark, d, "orders").select(F.to_date("o_orderdate").alias("day")))
 
 
 @plain("Q07_filter_days", f"WITH {DAYS}, kept AS (SELECT CAST(o_custkey AS BIGINT) AS key, CAST(o_orderdate AS DATE) AS day FROM orders WHERE CAST(o_orderdate AS DATE) NOT IN (SELECT day FROM holds)) SELECT key, day, dense_rank() OVER (ORDER BY day) - 1 AS day_idx FROM kept")
@@ -180,9 +188,9 @@ def q07(spark, d):
     return Q.filter_days(index, _days(spark, d)[1]).select("key", "day", "day_idx")
 
 
-@plain("Q08_check_refs", f"WITH {DAYS} SELECT l_orderkey AS key, CAST(l_shipdate AS DATE) AS day, CAST(0 AS BIGINT) AS published FROM lineitem WHERE l_linenumber = 1 AND CAST(l_shipdate AS DATE) NOT IN (SELECT day FROM published)")
+@plain("Q08_check_refs", f"WITH {DAYS} SELECT l_orderkey AS key, CAST(l_shipdate AS DATE) AS day, CAST(0 AS BIGINT) AS published FROM lineitem WHERE CAST(l_shipdate AS DATE) NOT IN (SELECT day FROM published)")
 def q08(spark, d):
-    rows = table(spark, d, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("key"), F.to_date("l_shipdate").alias("day"))
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("key"), F.to_date("l_shipdate").alias("day"))
     return Q.check_refs(rows, _days(spark, d)[2], "key")
 
 

@@ -95,8 +95,8 @@ def x01(spark, d):
 
 @query("X02_search", r"SELECT doc_id FROM documents WHERE regexp_matches(lower(text), '(^|[^\p{L}\p{N}])(apache license|the theredthe|de la)($|[^\p{L}\p{N}])')")
 def x02(spark, d):
-    p = docs(spark, d)
-    return X.search(p, X.build_postings(p, "doc_id", "text"), "doc_id", "text", ["apache license", "the theredthe", "de la"]).select("doc_id")
+    p, terms = docs(spark, d), ["apache license", "the theredthe", "de la"]
+    return X.search(p, X.build_postings(p, "doc_id", "text", X.words_of(terms)), "doc_id", "text", terms).select("doc_id")
 
 
 @query("X03_count_hits", "SELECT doc_id, CAST(least((length(lower(text)) - length(replace(lower(text), 'tion', ''))) // 4, 999) AS INTEGER) AS hits FROM documents WHERE contains(lower(text), 'tion')")
@@ -162,11 +162,11 @@ def c04(spark, d):
     return docs(spark, d).select("doc_id", T.topic_bits("text", TOPIC_PATTERNS).alias("topics"))
 
 
-@query("C12_spelling_variants", r"""WITH t AS (SELECT DISTINCT unnest(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda x: regexp_full_match(x, '\p{L}{6,12}'))) AS token FROM benchmark), v AS (SELECT DISTINCT unnest(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda x: regexp_full_match(x, '\p{L}{6,12}'))) AS word FROM conversations)
+@query("C12_spelling_variants", r"""WITH t AS (SELECT DISTINCT unnest(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda x: regexp_full_match(x, '\p{L}{5,}'))) AS token FROM benchmark), v AS (SELECT DISTINCT unnest(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda x: regexp_full_match(x, '\p{L}{5,}'))) AS word FROM conversations)
 SELECT token, word FROM t JOIN v ON token[1] = word[1] AND token <> word AND abs(length(token) - length(word)) <= 1 WHERE (length(token) = length(word) AND len(list_filter(range(1, length(token) + 1), lambda i: token[i] <> word[i])) = 1)
   OR (length(token) <> length(word) AND len(list_filter(range(1, greatest(length(token), length(word)) + 1), lambda i: CASE WHEN length(token) > length(word) THEN token[1:i-1] || token[i+1:] = word ELSE word[1:i-1] || word[i+1:] = token END)) > 0)""")
 def c12(spark, d):
-    words = lambda t: F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\b\p{L}{6,12}\b"), F.lit(0)))
+    words = lambda t: F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\b\p{L}{5,}\b"), F.lit(0)))
     return C.spelling_variants(table(spark, d, "benchmark").select(words("t").alias("token")), table(spark, d, "conversations").select(words("t").alias("word")))
 
 
@@ -208,9 +208,9 @@ def e01(spark, d):
     return C.mentions_topk(m).select("code", "filer", "date", "ref", "relation")
 
 
-@query("E02_relation_pairs", "WITH r AS (SELECT DISTINCT l_suppkey AS party, p_brand AS entity, CASE WHEN l_suppkey % 7 = 0 THEN 'service' ELSE 'role' || (p_size % 2) END AS role FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_suppkey < 40), j AS (SELECT x.entity AS a, y.entity AS b, party, max(CASE WHEN x.role = 'service' OR y.role = 'service' THEN 0 WHEN x.role = y.role THEN 2 ELSE 1 END)::INTEGER AS tier FROM r x JOIN r y USING (party) WHERE x.entity < y.entity GROUP BY ALL) SELECT a, b, party, tier FROM j QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY tier DESC, party) <= 14")
+@query("E02_relation_pairs", "WITH r AS (SELECT DISTINCT l_suppkey AS party, p_brand AS entity, CASE WHEN l_suppkey % 7 = 0 THEN 'service' ELSE 'role' || (p_size % 2) END AS role FROM lineitem JOIN part ON l_partkey = p_partkey), j AS (SELECT x.entity AS a, y.entity AS b, party, max(CASE WHEN x.role = 'service' OR y.role = 'service' THEN 0 WHEN x.role = y.role THEN 2 ELSE 1 END)::INTEGER AS tier FROM r x JOIN r y USING (party) WHERE x.entity < y.entity GROUP BY ALL) SELECT a, b, party, tier FROM j QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY tier DESC, party) <= 14")
 def e02(spark, d):
-    r = table(spark, d, "lineitem").where("l_suppkey < 40").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    r = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
     roles = r.select(F.col("l_suppkey").alias("party"), F.col("p_brand").alias("entity"), F.when(F.col("l_suppkey") % 7 == 0, "service").otherwise(F.concat(F.lit("role"), F.col("p_size") % 2)).alias("role")).distinct()
     return C.relation_pairs(roles)
 

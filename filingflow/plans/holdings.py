@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from filingflow.functions.names import party_key
+from filingflow.functions.names import is_pooled, party_key
 from filingflow.operators import signals as K
 from filingflow.operators import structure as A
 from filingflow.operators.relational import asof_join, rank_pct, sum_strict
@@ -46,16 +46,16 @@ splits AS (SELECT s.entity, s.period, s.seller, sold, buyers, bought, all_small,
 INDEX = """,
 party_index AS (SELECT party, entity, min(period) AS first, max(period) AS last, arg_min(pct, period) AS pct_first, arg_max(pct, period) AS pct_last, max(pct) AS pct_max FROM positions GROUP BY ALL)"""
 PARTIES = SPLITS + INDEX + """,
-new_parties AS (SELECT i.entity, party, first, pct_last AS pct FROM party_index i JOIN ends e USING (entity) WHERE first > begin AND last = "end" AND pct_last >= 2),
-exited AS (SELECT i.entity, party, last, pct_last AS pct FROM party_index i JOIN ends e USING (entity) WHERE last < "end" AND pct_last >= 2),
-near AS (SELECT p.entity, party, period, pct FROM positions p JOIN ends e ON p.entity = e.entity AND p.period = e."end" WHERE pct >= 4.5 AND pct < 5)"""
+around AS (SELECT entity, period, usable, lag(usable) OVER w AS before, lead(usable) OVER w AS next, max(period) OVER () AS "end" FROM usable WINDOW w AS (PARTITION BY entity ORDER BY period)),
+open_index AS (SELECT * FROM party_index WHERE pct_last >= 2 AND party NOT IN (SELECT party FROM pooled)),
+new_parties AS (SELECT i.entity, party, first, pct_last AS pct FROM open_index i JOIN around f ON f.entity = i.entity AND f.period = first AND f.usable AND f.before JOIN around l ON l.entity = i.entity AND l.period = last AND l.period = l."end" AND l.usable),
+exited AS (SELECT i.entity, party, last, pct_last AS pct FROM open_index i JOIN around a ON a.entity = i.entity AND a.period = last AND a.usable AND a.next),
+near AS (SELECT p.entity, party, p.period, pct FROM positions p JOIN around a ON p.entity = a.entity AND p.period = a.period AND a.period = a."end" AND a.usable WHERE pct >= 4.5 AND pct < 5 AND party NOT IN (SELECT party FROM pooled))"""
 PAIRS = """,
-held AS (SELECT DISTINCT party, entity FROM recent ANTI JOIN pooled USING (party)),
+held AS (SELECT DISTINCT party, entity FROM positions ANTI JOIN pooled USING (party)),
 several AS (SELECT * FROM held WHERE party IN (SELECT party FROM held GROUP BY 1 HAVING count(*) >= 2)),
 sized AS (SELECT * FROM several WHERE entity IN (SELECT entity FROM several GROUP BY 1 HAVING count(*) <= 60)),
 pairs AS (SELECT x.party AS a, y.party AS b, count(*) AS entities FROM sized x JOIN sized y ON x.entity = y.entity AND x.party < y.party GROUP BY ALL HAVING count(*) >= 2)"""
-RECENT = """,
-recent AS (SELECT * FROM positions WHERE pct >= 25)"""
 COMPONENTS = """,
 edges AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
 reach AS (SELECT a AS node, a AS root FROM edges UNION SELECT e.b, r.root FROM reach r JOIN edges e ON e.a = r.node WHERE r.root < e.b),
@@ -66,7 +66,7 @@ last_lists AS (SELECT p.* FROM positions p JOIN ends e ON p.entity = e.entity AN
 own AS (SELECT entity, cluster, count(*) AS n, round(sum(pct), 4) AS total, CAST(sum(CASE WHEN pct < 5 THEN 1 ELSE 0 END) AS BIGINT) AS small FROM last_lists JOIN clusters USING (party) GROUP BY ALL HAVING count(*) >= 3 AND round(sum(pct), 4) >= 5),
 largest AS (SELECT own.entity, own.cluster, max(pct) AS largest_other FROM own JOIN last_lists l ON l.entity = own.entity LEFT JOIN clusters c ON c.party = l.party WHERE c.cluster IS DISTINCT FROM own.cluster GROUP BY ALL),
 cluster_positions AS (SELECT own.*, largest_other, coalesce(total > largest_other, true) AS above FROM own LEFT JOIN largest USING (entity, cluster))"""
-ALL_SIGNALS = PARTIES + RECENT + PAIRS + COMPONENTS + CLUSTER_POSITIONS + """,
+ALL_SIGNALS = PARTIES + PAIRS + COMPONENTS + CLUSTER_POSITIONS + """,
 signals AS (SELECT entity, 'transfer' AS kind, tier, seller AS party, points, NULL::DOUBLE AS pct, NULL::INTEGER AS small FROM transfers UNION ALL SELECT entity, 'split', tier, seller, NULL, NULL, CAST(all_small AS INTEGER) FROM splits
   UNION ALL SELECT entity, 'new', 'fact', party, NULL, pct, NULL FROM new_parties UNION ALL SELECT entity, 'exit', 'fact', party, NULL, pct, NULL FROM exited UNION ALL SELECT entity, 'near5', 'fact', party, NULL, pct, NULL FROM near
   UNION ALL SELECT entity, 'cluster', 'medium', cluster, CASE WHEN above THEN 3.0 ELSE 0.0 END, total, CAST(small AS INTEGER) FROM cluster_positions)"""
@@ -89,7 +89,7 @@ class Holdings:
 
     @property
     def pairs(self):
-        return K.coholding_pairs(self.positions.where("pct >= 25"), self.pooled)
+        return K.coholding_pairs(self.positions, self.pooled)
 
     def signals(self):
         # The holdings are a small aggregate that nine branches read: kept once instead of joined nine times.
@@ -97,7 +97,7 @@ class Holdings:
         usable, changes, index = self.usable.persist(), self.changes.persist(), K.party_index(self.positions)
         transfers = K.block_transfers(changes)
         cluster = K.cluster_positions(self.positions, K.clusters(self.pairs), usable)
-        return K.signals(transfers, K.block_splits(changes, transfers), K.new_parties(index, usable), K.exited_parties(index, usable), K.near_threshold(self.positions, usable), cluster)
+        return K.signals(transfers, K.block_splits(changes, transfers), K.new_parties(index, usable, self.pooled), K.exited_parties(index, usable, self.pooled), K.near_threshold(self.positions, usable, self.pooled), cluster)
 
 
 @query("A06_structure", STRUCTURE + "\nSELECT s.*, r.hhi_rank FROM structure s JOIN (SELECT entity, period, CAST(floor((200 * less + 100 * same + n) / (2 * n)) AS BIGINT) AS hhi_rank FROM (SELECT entity, period, count(*) OVER (PARTITION BY period) AS n, rank() OVER (PARTITION BY period ORDER BY hhi) - 1 AS less, count(*) OVER (PARTITION BY period, hhi) AS same FROM structure)) r USING (entity, period)")
@@ -111,11 +111,11 @@ def a01(spark, d):
 
 
 REPORTS = """,
-reports AS (SELECT entity, period, count(*) AS holders FROM positions WHERE (month(period) % 3) = 0 GROUP BY ALL)"""
+reports AS (SELECT entity, period, count(*) AS holders FROM positions GROUP BY ALL)"""
 
 
 def _reports(spark, d):
-    return positions(spark, d).where("month(period) % 3 = 0").groupBy("entity", "period").agg(F.count("*").alias("holders"))
+    return positions(spark, d).groupBy("entity", "period").agg(F.count("*").alias("holders"))
 
 
 PAIR = REPORTS + """,
@@ -198,9 +198,20 @@ def a15(spark, d):
     return asof_join(left, _prices(spark, d), ["code"], "day", "day", "close", 7).select("s_suppkey", "day", "close", "close_date")
 
 
-@plain("K01_party_key", "SELECT c_custkey, list_aggregate(list_sort(list_filter(string_split(trim(regexp_replace(upper(c_name), '[^\\p{L}\\p{N}]+', ' ', 'g')), ' '), lambda w: w <> '' AND NOT list_contains(['PT','TBK','PERSERO','CV','LTD','LIMITED','PTE','INC','CORP','CORPORATION','CO','LLC','PLC','GMBH','AG','SA','NV','BV','SDN','BHD'], w))), 'string_agg', ' ') AS key FROM customer")
+@plain("K01_party_key", """WITH n AS (SELECT c_custkey, (['The ', '', 'PT. '])[CAST(c_custkey % 3 AS INTEGER) + 1] || c_name || ([' Co.', ', Ltd', ' (Perseroan Terbatas) Tbk', ' & Sons', ''])[CAST(c_custkey % 5 AS INTEGER) + 1] AS name FROM customer)
+SELECT c_custkey, list_aggregate(list_sort(list_filter(string_split(regexp_replace(regexp_replace(upper(name), '[^A-Z0-9 ]', ' ', 'g'), '\\b(PT|TBK|PERSEROAN TERBATAS|THE|LTD|LIMITED|INC|CORP|CORPORATION|PTE|CO|LLC|SA|AG|BV|NV|PERSERO)\\b', ' ', 'g'), ' '), lambda w: w <> '')), 'string_agg', ' ') AS key FROM n""")
 def k01(spark, d):
-    return table(spark, d, "customer").select("c_custkey", party_key("c_name").alias("key"))
+    pick = lambda xs, n: F.get(F.array(*map(F.lit, xs)), (F.col("c_custkey") % n).cast("int"))
+    name = F.concat(pick(["The ", "", "PT. "], 3), "c_name", pick([" Co.", ", Ltd", " (Perseroan Terbatas) Tbk", " & Sons", ""], 5))
+    return table(spark, d, "customer").select("c_custkey", party_key(name).alias("key"))
+
+
+@plain("K02_is_pooled", """WITH n AS (SELECT s_suppkey, (['CITIBANK SINGAPORE S/A ', 'ABC NOMINEES ', 'Qq ', 'Plain ', 'THE BANK OF NEW YORK MELLON ', 'UBSX ', 'Clientship '])[CAST(s_suppkey % 7 AS INTEGER) + 1] || s_name AS name, (['Bank', 'Individual', 'Corporate', 'Pension Fund'])[CAST(s_suppkey % 4 AS INTEGER) + 1] AS cls FROM supplier)
+SELECT s_suppkey, s_suppkey % 7 IN (0, 1, 2, 4) OR cls IN ('Bank', 'Pension Fund') AS pooled FROM n""")
+def k02(spark, d):
+    pick = lambda xs, n: F.get(F.array(*map(F.lit, xs)), (F.col("s_suppkey") % n).cast("int"))
+    named = table(spark, d, "supplier").select("s_suppkey", F.concat(pick(["CITIBANK SINGAPORE S/A ", "ABC NOMINEES ", "Qq ", "Plain ", "THE BANK OF NEW YORK MELLON ", "UBSX ", "Clientship "], 7), "s_name").alias("name"), pick(["Bank", "Individual", "Corporate", "Pension Fund"], 4).alias("cls"))
+    return named.select("s_suppkey", is_pooled("name", "cls").alias("pooled"))
 
 
 @query("K03_usable_periods", USABLE + "\nSELECT entity, period, n, usable FROM usable")
@@ -222,19 +233,21 @@ def k06(spark, d):
 @query("K07_new_parties", PARTIES + "\nSELECT * FROM new_parties")
 def k07(spark, d):
     h = Holdings(spark, d)
-    return K.new_parties(K.party_index(h.positions), h.usable)
+    return K.new_parties(K.party_index(h.positions), h.usable, h.pooled)
 
 
 @query("K08_exited_parties", PARTIES + "\nSELECT * FROM exited")
 def k08(spark, d):
     h = Holdings(spark, d)
-    return K.exited_parties(K.party_index(h.positions), h.usable)
+    return K.exited_parties(K.party_index(h.positions), h.usable, h.pooled)
 
 
-@query("K09_near_threshold", PARTIES + "\nSELECT * FROM near")
+@query("K09_near_threshold", USABLE + """,
+around AS (SELECT entity, period, usable, max(period) OVER () AS "end" FROM usable)
+SELECT p.entity, party, p.period, pct FROM positions p JOIN around a ON p.entity = a.entity AND p.period = a.period AND a.period = a."end" AND a.usable WHERE pct >= 2 AND pct < 60 AND party NOT IN (SELECT party FROM pooled)""")
 def k09(spark, d):
     h = Holdings(spark, d)
-    return K.near_threshold(h.positions, h.usable)
+    return K.near_threshold(h.positions, h.usable, h.pooled, 2.0, 60.0)
 
 
 @query("K11_renames", CHANGES + """
@@ -245,17 +258,17 @@ def k11(spark, d):
     return K.renames(h.changes, h.pooled)
 
 
-@query("K12_coholding_pairs", RECENT + PAIRS + "\nSELECT * FROM pairs")
+@query("K12_coholding_pairs", PAIRS + "\nSELECT * FROM pairs")
 def k12(spark, d):
     return Holdings(spark, d).pairs
 
 
-@query("K13_clusters", RECENT + PAIRS + COMPONENTS + "\nSELECT * FROM clusters")
+@query("K13_clusters", PAIRS + COMPONENTS + "\nSELECT * FROM clusters")
 def k13(spark, d):
     return K.clusters(Holdings(spark, d).pairs)
 
 
-@query("K14_cluster_positions", USABLE + RECENT + PAIRS + COMPONENTS + CLUSTER_POSITIONS + "\nSELECT * FROM cluster_positions")
+@query("K14_cluster_positions", USABLE + PAIRS + COMPONENTS + CLUSTER_POSITIONS + "\nSELECT * FROM cluster_positions")
 def k14(spark, d):
     h = Holdings(spark, d)
     return K.cluster_positions(h.positions, K.clusters(h.pairs), h.usable)
@@ -314,10 +327,10 @@ def e05(spark, d):
     return A.latest_holders(positions(spark, d), 6).select("entity", "party", "period", "shares", "pct")
 
 
-@query("K22_find_party", "SELECT party, n_name AS name, count(DISTINCT entity) AS entities FROM positions JOIN nation ON n_nationkey = party WHERE contains(upper(n_name), 'IA') GROUP BY ALL ORDER BY entities DESC, name LIMIT 40")
+@query("K22_find_party", "SELECT party, n_name AS name, count(DISTINCT entity) AS entities FROM positions JOIN nation ON n_nationkey = party WHERE contains(upper(n_name), '1') GROUP BY ALL ORDER BY entities DESC, name LIMIT 40")
 def k22(spark, d):
     names = table(spark, d, "nation").select(F.col("n_nationkey").alias("party"), F.col("n_name").alias("name"))
-    return K.find_party(positions(spark, d), names, ["ia"])
+    return K.find_party(positions(spark, d), names, ["1"])
 
 
 @plain("K23_sum_strict", "SELECT l_suppkey, CASE WHEN count(CASE WHEN l_discount > 0 THEN l_quantity END) = count(*) THEN CAST(sum(l_quantity) AS BIGINT) END AS shares FROM lineitem GROUP BY 1")

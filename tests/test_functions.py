@@ -10,9 +10,12 @@ from filingflow.functions.names import is_company, is_pooled, party_key
 from filingflow.functions.text import affirmed, clip, clip_words, codes, html_to_text, masked, parse_local, plain_markdown, slug, strip_refs, topic_bits
 
 NAMES = [
-    ("ringkasan 2026-09-22 sampai 2026-09-24", "2026-09-22", "2026-09-24", "day"), ("harian 2026-09-22_24", "2026-09-22", "2026-09-24", "day"), ("harian 2026-09-22", "2026-09-22", "2026-09-22", "day"),
+    ("ringkasan 2026-09-22 sampai 2026-09-24", "2026-09-22", "2026-09-22", "day"), ("ringkasan 2026-09-22_to_2026-09-24", "2026-09-22", "2026-09-24", "day"), ("sbpekan_2026-09-28_2026-10-04", "2026-09-28", "2026-10-04", "day"), ("harian 2026-09-22_24", "2026-09-22", "2026-09-24", "day"), ("harian 2026-09-22", "2026-09-22", "2026-09-22", "day"),
     ("22-24 September 2026", "2026-09-22", "2026-09-24", "day"), ("catatan 3 Mei 2026", "2026-05-03", "2026-05-03", "day"), ("laporan 05Agustus2026", "2026-08-05", "2026-08-05", "day"),
     ("Kepemilikan Februari 2028", "2028-02-01", "2028-02-29", "month"), ("Juli-Agustus 2026", "2026-07-01", "2026-08-31", "month"), ("file_20260131", "2026-01-31", "2026-01-31", "day"), ("file_31012026", "2026-01-31", "2026-01-31", "day"),
+    ("ki_22-24_september_2026", "2026-09-22", "2026-09-24", "day"), ("rapat_5_agustus_2026", "2026-08-05", "2026-08-05", "day"), ("laporan_january_2026", "2026-01-01", "2026-01-31", "month"), ("review_2026-09-13_4", "2026-09-13", "2026-09-13", "day"),
+    ("Analisis_Stockbit_25-31_Agustus_2026", "2026-08-25", "2026-08-31", "day"), ("pemeriksaan_55_emiten_14_September_2026", "2026-09-14", "2026-09-14", "day"), ("Laporan_Agustus_September_2026", "2026-08-01", "2026-09-30", "month"), ("Arsip_Juli_2026", "2026-07-01", "2026-07-31", "month"),
+    ("sgx_january-20september2026", "2026-09-20", "2026-09-20", "day"), ("keterbukaan_sg_20092026_semua_kode", "2026-09-20", "2026-09-20", "day"), ("digest_2026-10-01_2026-10-02", "2026-10-01", "2026-10-02", "day"), ("rapat 3 okt 2026", "2026-10-03", "2026-10-03", "day"), ("x_99999999_20260131", "2026-01-31", "2026-01-31", "day"), ("file_19991231", None, None, None),
     ("file_20261331", None, None, None), ("31 Februari 2026 lalu", None, None, None), ("tanpa tanggal", None, None, None), (None, None, None, None),
 ]
 
@@ -68,5 +71,9 @@ def test_topic_bits(one):
 
 def test_names(one):
     assert one(party_key("x"), "PT. Maju-Jaya Abadi Tbk") == "ABADI JAYA MAJU"
-    assert one(is_pooled("x", F.lit("other"), ["custodian"]), "ABC Nominee") is True and one(is_pooled("x", F.lit(None), ["custodian"]), None) is False
+    assert one(party_key("x"), "THE BANK OF NEW YORK MELLON") == "BANK MELLON NEW OF YORK" and one(party_key("x"), "Maju (Perseroan Terbatas) Co.") == "MAJU"
+    for name in ("CITIBANK SINGAPORE S/A", "UBS AG SINGAPORE A/C CLIENTS", "THE BANK OF NEW YORK MELLON", "ABC NOMINEES", "abc nominee", "BUDI QQ ANI", "PLEDGED SHARES OF X"):
+        assert one(is_pooled("x", F.lit("Individual")), name) is True, name
+    assert one(is_pooled("x", F.lit("Mutual Funds")), "ANY") is True and one(is_pooled("x", F.lit(None)), None) is False
+    assert one(is_pooled("x", F.lit("Individual")), "UBSX CLIENTSHIP") is False
     assert one(is_company("x"), "PT Maju") is True and one(is_company("x"), "Budi") is False

@@ -84,7 +84,7 @@ def test_segments(md):
 def test_date_ranges(spark):
     t = spark.createDataFrame([(1, "Periode 22–24 September 2026 dan 1 Agustus - 5 September 2026"), (2, "30 - 31 Februari 2026"), (3, None)], "id bigint, text string")
     got = [(r.id, str(r.start), str(r.end)) for r in D.text_date_ranges(t, "id", "text").orderBy("id", "place").collect()]
-    assert got == [(1, "2026-09-22", "2026-09-24"), (1, "2026-08-01", "2026-09-05")]
+    assert got == [(1, "2026-08-01", "2026-09-05"), (1, "2026-09-22", "2026-09-24")]
     docs = spark.createDataFrame([(1, d("2026-09-01"), d("2026-09-30"), "month"), (2, d("2026-09-24"), d("2026-09-24"), "day")], "id bigint, start date, end date, precision string")
     ranges = D.text_date_ranges(t, "id", "text")
     assert [str(r.start) for r in D.refine_dates(docs, ranges, "id").orderBy("id").collect()] == ["2026-09-22", "2026-09-24"]
@@ -126,10 +126,20 @@ def test_signals(spark):
     c = K.changes(positions, usable)
     t = K.block_transfers(c).where("entity = 'E'").collect()
     assert [(r.seller, r.buyer, r.tier) for r in t] == [("seller", "buyer", "strong")]
-    index = K.party_index(positions)
-    assert {r.party for r in K.new_parties(index, usable).where("entity = 'E'").collect()} == {"buyer", "late"}
-    assert {r.party for r in K.exited_parties(index, usable).where("entity = 'E'").collect()} == {"seller"}
-    assert {r.party for r in K.near_threshold(positions, usable).collect()} == {"anchor"}
+    index, pooled = K.party_index(positions), spark.createDataFrame([("custodian",)], "party string")
+    assert {r.party for r in K.new_parties(index, usable, pooled).where("entity = 'E'").collect()} == {"buyer", "late"}
+    assert {r.party for r in K.exited_parties(index, usable, pooled).where("entity = 'E'").collect()} == {"seller"}
+    assert {r.party for r in K.near_threshold(positions, usable, pooled).collect()} == {"anchor"}
+    everyone = spark.createDataFrame([("buyer",), ("seller",), ("anchor",)], "party string")
+    assert {r.party for r in K.new_parties(index, usable, everyone).where("entity = 'E'").collect()} == {"late"}
+    assert K.exited_parties(index, usable, everyone).count() == K.near_threshold(positions, usable, everyone).count() == 0
+    # An arrival after an unusable period, an exit before one, and an unusable end say nothing.
+    bad = lambda m: usable.withColumn("usable", F.col("usable") & (F.col("period") != F.lit(m)))
+    assert {r.party for r in K.new_parties(index, bad(months[1]), pooled).where("entity = 'E'").collect()} == {"late"}
+    assert K.exited_parties(index, bad(months[2]), pooled).where("entity = 'E'").count() == 0
+    assert K.new_parties(index, bad(months[3]), pooled).count() == K.near_threshold(positions, bad(months[3]), pooled).count() == 0
+    listed = K.entity_parties(positions, usable, spark.createDataFrame([("buyer", "LISTED CORE")], "party string, key string"), spark.createDataFrame([("F", "LISTED CORE")], "entity string, key string"))
+    assert [(r.entity, r.party, r.is_entity, r.pct) for r in listed.collect()] == [("E", "buyer", "F", 12.345)]
     none = spark.createDataFrame([], "party string")
     assert [(r.old, r.new, r.entities, r.tier) for r in K.renames(c, none).collect()] == [("seller", "buyer", 2, "medium")]
     keys = spark.createDataFrame([("seller", "k"), ("buyer", "k"), ("anchor", "a"), ("late", "l")], "party string, key string")
