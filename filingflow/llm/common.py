@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy step works on; a longer text is one step of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 U64 = np.uint64
 
 
@@ -208,7 +208,7 @@ def shuffle_width(spark: SparkSession) -> int:
 
 
 #: Entries that a task gathers before it sends them off in packed rows.
-FLUSH_ENTRIES = 1_000_000
+FLUSH_ENTRIES = 500_000
 
 
 class Buckets:

@@ -31,7 +31,7 @@ BLOCK_WINDOWS = 100_000
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a shard of about 2 MB of text: its number (of the task and within it), documents, where the words of each begin, terms
+    """One row a shard of about 1 MB of text: its number (of the task and within it), documents, where the words of each begin, terms
     and their positions."""
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
