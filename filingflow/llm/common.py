@@ -86,6 +86,8 @@ def text_slices(column: pa.Array, max_bytes: int = SLICE_BYTES) -> Iterator[Text
         hi = max(lo + 1, int(np.searchsorted(at, at[lo] + max_bytes, "right")) - 1)
         yield TextSlice(lo, hi, data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
         lo = hi
+    # Workers are used again by other tasks: what Arrow holds back would add up.
+    pa.default_memory_pool().release_unused()
 
 
 class Alphabet(NamedTuple):
@@ -254,29 +256,37 @@ def dealt_out(columns: dict, buckets: int, *values: np.ndarray) -> pa.Table:
     return pa.Table.from_batches(out.flush(), schema)
 
 
-#: Bits of a filter over ids or class keys (8 MB): what isn't in it needs no shuffle; when it fills up, more rows are moved.
-FILTER_BITS = 26
+#: A filter over ids or class keys has 16 bits a key, up to 2**26 (8 MB): what isn't in it needs no shuffle; beyond, more rows are moved.
+KEY_BITS, MOST_BITS = 16, 26
 
 
 def bitmap(keys: DataFrame) -> np.ndarray:
-    """A bitmap of the low bits of a column `key`; its size doesn't depend on the rows."""
-    slot = f"pmod(key, {1 << FILTER_BITS})"
+    """A bitmap of the low bits of a column `key`; its size follows the rows up to a limit."""
+    bits = min(MOST_BITS, max(10, (KEY_BITS * keys.count()).bit_length()))
+    slot = f"pmod(key, {1 << bits})"
     words = keys.groupBy(F.expr(f"shiftright({slot}, 5)").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod({slot}, 32) as int))")).alias("bits")).toArrow()
-    out = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
+    out = np.zeros(1 << (bits - 5), np.uint32)
     out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
     return out
 
 
 def in_bitmap(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """For each key, whether it may be one of the bitmap's."""
-    slot = (keys.view(U64) % U64(1 << FILTER_BITS)).astype(np.int64)
+    slot = (keys.view(U64) % U64(len(bits) * 32)).astype(np.int64)
     return (bits[slot >> 5] >> (slot & 31).astype(np.uint32)) & 1 > 0
 
 
-def without_ids(docs: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:
-    """docs without the rows whose id is in gone (one column; a null there takes rows without id). Only rows that a bitmap of the ids
-    lets through are moved to be joined; the others stay where they are read."""
+#: Rows that a task hands back at once.
+ROWS_BACK = 500
+
+
+def without_ids(docs: DataFrame, id_col: str, gone: DataFrame, broadcast_ids: int = 1 << 20) -> DataFrame:
+    """docs without the rows whose id is in gone (one column; a null there takes rows without id). Up to broadcast_ids ids are
+    broadcast; of more, only rows that a bitmap of the ids lets through are moved to be joined. The other rows stay where they are."""
     gone = cut(gone.select(gone[gone.columns[0]].cast("bigint").alias("_gone")).distinct())
+    same = F.col(id_col).cast("bigint").eqNullSafe(F.col("_gone"))
+    if gone.limit(broadcast_ids + 1).count() <= broadcast_ids:
+        return docs.join(F.broadcast(gone), same, "left_anti")
     shared = docs.sparkSession.sparkContext.broadcast(bitmap(gone.select(F.coalesce("_gone", F.lit(0)).alias("key"))))
     at = docs.columns.index(id_col)
 
@@ -284,11 +294,15 @@ def without_ids(docs: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 ids = batch.column(at).cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False)
-                yield batch.filter(pa.array(in_bitmap(shared.value, ids) == suspects))
+                keep = in_bitmap(shared.value, ids) == suspects
+                for lo in range(0, batch.num_rows, ROWS_BACK):
+                    if keep[lo : lo + ROWS_BACK].any():
+                        yield batch.slice(lo, ROWS_BACK).filter(pa.array(keep[lo : lo + ROWS_BACK]))
+                pa.default_memory_pool().release_unused()
 
         return docs.mapInArrow(run, docs.schema)
 
-    moved = only(True).join(gone, F.col(id_col).cast("bigint").eqNullSafe(F.col("_gone")), "left_anti")
+    moved = only(True).join(gone, same, "left_anti")
     return only(False).unionByName(moved)
 
 

@@ -17,7 +17,6 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -74,18 +73,18 @@ def _term_counts(index: DataFrame, vocabulary: np.ndarray) -> dict[int, int]:
     """How often each term of a block stands in the corpus; what comes back is bounded by the block's vocabulary."""
     known = index.sparkSession.sparkContext.broadcast(vocabulary)
 
-    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(known.value), np.int64)
-        for frame in frames:
-            for terms, at in zip(frame.terms, frame.term_at):
-                terms, at = np.frombuffer(terms, U64), np.frombuffer(at, np.uint32).astype(np.int64)
+        for batch in batches:
+            for terms, at in zip(batch.column("terms"), batch.column("term_at")):
+                terms, at = np.frombuffer(terms.as_buffer(), U64), np.frombuffer(at.as_buffer(), np.uint32).astype(np.int64)
                 own = np.searchsorted(known.value, terms)
                 own[own == len(known.value)] = 0
                 hit = known.value[own] == terms if len(known.value) else np.zeros(len(terms), bool)
                 total[own[hit]] += np.diff(at)[hit]
-        yield pd.DataFrame({"term": np.flatnonzero(total), "n": total[total > 0]})
+        yield pa.RecordBatch.from_pydict({"term": np.flatnonzero(total), "n": total[total > 0]})
 
-    sums = index.select("terms", "term_at").mapInPandas(count, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
+    sums = index.select("terms", "term_at").mapInArrow(count, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
     return {r.term: r.n for r in sums.collect()}
 
 
@@ -130,19 +129,19 @@ def _in_blocks(index: DataFrame, blocks: Iterator[tuple], find, schema: str) ->
     for block in blocks:
         shared = index.sparkSession.sparkContext.broadcast(block)
 
-        def run(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             block = _Block(*shared.value)
-            for frame in frames:
-                for number, documents, *own in frame.itertuples(index=False):
-                    ids = [d["doc_id"] for d in documents]
-                    shard = _Shard(*own)
+            for batch in batches:
+                for number, documents, *own in zip(*batch.columns):
+                    shard = _Shard(*(x.as_buffer() for x in own))
                     shard.restrict(block.vocabulary)
-                    out = find(number, ids, shard, block)
-                    if len(out):
+                    out = find(number.as_py(), [d["doc_id"].as_py() for d in documents], shard, block)
+                    if out.num_rows:
                         yield out
+                pa.default_memory_pool().release_unused()
 
         # Each block's rows are written before the next one is sent.
-        parts.append(cut(index.mapInPandas(run, schema)))
+        parts.append(cut(index.mapInArrow(run, schema)))
         shared.unpersist()
     if not parts:
         return index.sparkSession.createDataFrame([], schema)
@@ -155,7 +154,7 @@ def _in_blocks(index: DataFrame, blocks: Iterator[tuple], find, schema: str) ->
 class _Shard:
     """A shard's postings as sorted keys (test term << 32 | position)."""
 
-    def __init__(self, first: bytes, terms: bytes, term_at: bytes, positions: bytes):
+    def __init__(self, first: pa.Buffer, terms: pa.Buffer, term_at: pa.Buffer, positions: pa.Buffer):
         self.first = np.frombuffer(first, np.uint32).astype(np.int64)
         self.terms, self.at = np.frombuffer(terms, U64), np.frombuffer(term_at, np.uint32).astype(np.int64)
         self.positions = np.frombuffer(positions, np.uint32)
@@ -216,28 +215,25 @@ def search(index: DataFrame, items: DataFrame, id_col: str = "item_id", text_col
     """Rows (doc_id, item_id, position) of matches: exact phrases by their first word, or with slop proximity matches by their
     rarest word, counted in words from 0. Each (window, position) gives a row; repeated windows of an item repeat."""
 
-    def find(number: int, ids, shard: _Shard, block: _Block) -> pd.DataFrame:
+    def find(number: int, ids: list, shard: _Shard, block: _Block) -> pa.RecordBatch:
         which, at = shard.exact(block) if slop is None else shard.close(block, slop)
         row = np.searchsorted(shard.first, at, "right") - 1
-        return pd.DataFrame({"doc_id": _whole([ids[r] for r in row]), "item_id": _whole([block.ids[w] for w in which]), "position": at - shard.first[row]})
+        return pa.RecordBatch.from_pydict({"doc_id": pa.array([ids[r] for r in row], pa.int64()), "item_id": pa.array([block.ids[w] for w in which], pa.int64()), "position": at - shard.first[row]})
 
     return _in_blocks(index, test_blocks(index, items, id_col, text_col, window), find, "doc_id bigint, item_id bigint, position bigint")
 
 
-def _whole(ids: list) -> pd.array:
-    return pd.array([None if i is None or i != i else int(i) for i in ids], "Int64")
-
-
 def report(index: DataFrame, items: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = 10) -> DataFrame:
     """One row a document of the index: how many of its words exact occurrences cover, and which items occur. An item without id
     counts as an item, but has no name in the digest."""
 
-    def find(number: int, ids, shard: _Shard, block: _Block) -> pd.DataFrame:
+    def find(number: int, ids: list, shard: _Shard, block: _Block) -> pa.RecordBatch:
         which, start = shard.exact(block)
         row = np.searchsorted(shard.first, start, "right") - 1
         # Of each document and item, the runs of words that its occurrences cover.
-        hits = pd.DataFrame({"shard": number, "row": row, "item": _whole([block.ids[w] for w in which]), "lo": start - shard.first[row], "n": block.size[which]})
-        return hits.drop_duplicates()
+        hits = sorted({(r, block.ids[w], lo, n) for r, w, lo, n in zip(row.tolist(), which.tolist(), (start - shard.first[row]).tolist(), block.size[which].tolist())}, key=lambda x: (x[0], x[2]))
+        columns = zip(*hits) if hits else ([], [], [], [])
+        return pa.RecordBatch.from_arrays([pa.array([number] * len(hits), pa.int64()), *(pa.array(x, pa.int64()) for x in columns)], ["shard", "row", "item", "lo", "n"])
 
     hits = _in_blocks(index, test_blocks(index, items, id_col, text_col, window), find, "shard bigint, row bigint, item bigint, lo bigint, n bigint")
     covered = F.size(F.array_distinct(F.flatten(F.transform(F.collect_set(F.struct("lo", "n")), lambda s: F.sequence(s["lo"], s["lo"] + s["n"] - 1)))))

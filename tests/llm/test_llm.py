@@ -77,6 +77,19 @@ def test_phrase_and_proximity(spark):
     assert {r.doc_id for r in decontamination.decontaminate(d, items).collect()} == {1, 2, 3}
 
 
+@pytest.mark.parametrize("most", [1 << 20, 3])
+def test_without_ids(spark, most):
+    """With more ids than are broadcast, a bitmap decides which rows are moved."""
+    from filingflow.llm.common import without_ids
+
+    d = docs(spark, [f"t{k}" for k in range(200)], [k * 37 % 997 for k in range(199)] + [None]).withColumn("_salt", F.lit(1))
+    for gone in ([5, 37, 74, 74, 12_345], [None, 0, 37, 111]):
+        kept = without_ids(d, "doc_id", spark.createDataFrame([(k,) for k in gone], "x bigint"), most)
+        assert kept.columns == d.columns
+        assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == sorted((r.doc_id is None, r.doc_id or 0) for r in d.collect() if r.doc_id not in gone)
+    assert without_ids(d.limit(0), "doc_id", spark.createDataFrame([], "x bigint"), most).count() == 0
+
+
 def slots_of(rows):
     """Which block of which source each slot of a schedule takes."""
     slots = {}
