@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy step works on; a longer text is one step of its own.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 U64 = np.uint64
 
 
@@ -61,6 +62,13 @@ def crc_mod(col: str, n: int) -> Column:
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % n
 
 
+def give_back() -> None:
+    """Workers are used again by other tasks: what Arrow and the C library hold back of freed memory would add up."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 class TextSlice(NamedTuple):
     """Rows lo..hi of an Arrow batch: the UTF-8 bytes of their texts, and where each begins (one more than rows)."""
 
@@ -86,8 +94,7 @@ def text_slices(column: pa.Array, max_bytes: int = SLICE_BYTES) -> Iterator[Text
         hi = max(lo + 1, int(np.searchsorted(at, at[lo] + max_bytes, "right")) - 1)
         yield TextSlice(lo, hi, data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
         lo = hi
-    # Workers are used again by other tasks: what Arrow holds back would add up.
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 class Alphabet(NamedTuple):
@@ -298,7 +305,7 @@ def without_ids(docs: DataFrame, id_col: str, gone: DataFrame, broadcast_ids: in
                 for lo in range(0, batch.num_rows, ROWS_BACK):
                     if keep[lo : lo + ROWS_BACK].any():
                         yield batch.slice(lo, ROWS_BACK).filter(pa.array(keep[lo : lo + ROWS_BACK]))
-                pa.default_memory_pool().release_unused()
+                give_back()
 
         return docs.mapInArrow(run, docs.schema)
 

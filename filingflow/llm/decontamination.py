@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filingflow.llm.common import ALNUM, U64, WordHasher, cut, packed, stored, text_slices, without_ids
+from filingflow.llm.common import ALNUM, U64, WordHasher, cut, give_back, packed, stored, text_slices, without_ids
 
 INDEX = "shard bigint, documents array<struct<doc_id:bigint,n_words:bigint>>, first binary, terms binary, term_at binary, positions binary"
 #: Windows that one block of test items holds, about; blocks are searched one after the other.
@@ -138,7 +138,7 @@ def _in_blocks(index: DataFrame, blocks: Iterator[tuple], find, schema: str) ->
                     out = find(number.as_py(), [d["doc_id"].as_py() for d in documents], shard, block)
                     if out.num_rows:
                         yield out
-                pa.default_memory_pool().release_unused()
+                give_back()
 
         # Each block's rows are written before the next one is sent.
         parts.append(cut(index.mapInArrow(run, schema)))
