@@ -27,6 +27,12 @@ def build_postings(docs: DataFrame, id_col: str, text_col: str, only: list[str]
     return docs.select(F.col(id_col).alias("doc_id"), F.explode(own).alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
 
 
+def vocabulary(docs: DataFrame, text_col: str) -> DataFrame:
+    """docs, one row a document: rows (word, docs), each word with the number of documents that hold it. A document gives each of its
+    words once, so tasks count before they send: what is shuffled grows with the words of a task, not with postings. Null has no words."""
+    return docs.select(F.explode(F.array_distinct(words(text_col))).alias("word")).groupBy("word").agg(F.count("*").alias("docs"))
+
+
 def quoted(term: str) -> str:
     return "".join("\\" + c if not c.isalnum() and not c.isspace() else c for c in term)
 

@@ -112,8 +112,7 @@ def x04(spark, d):
 @query("X09_nearest_terms")
 def x09(spark, d):
     terms = table(spark, d, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{6,}"), F.lit(0))).alias("term")).distinct()
-    vocabulary = X.build_postings(docs(spark, d), "doc_id", "text").groupBy(F.col("term").alias("word")).agg(F.count("*").alias("docs"))
-    return X.nearest_terms(terms, vocabulary)
+    return X.nearest_terms(terms, X.vocabulary(docs(spark, d), "text"))
 
 
 @query("X10_longest_known_phrase")

@@ -208,6 +208,14 @@ def test_usage_is_empty_safe(spark):
     assert U.usage_totals(u, 0).first().n == 0 and U.usage_by_mode(q, u, 0).count() == 0 and U.top_terms(q).count() == 0
 
 
+def test_vocabulary_counts_documents(spark):
+    t = spark.createDataFrame([(1, "Rights rights issue 1234567"), (2, "issue"), (3, None), (4, "")], "doc_id bigint, text string")
+    assert sorted(rows(X.vocabulary(t, "text"))) == [("issue", 2), ("rights", 1)]
+    postings = X.build_postings(t, "doc_id", "text").groupBy("term").agg(F.count("*"))
+    assert sorted(rows(postings)) == sorted(rows(X.vocabulary(t, "text")))
+    assert rows(X.vocabulary(t.limit(0), "text")) == []
+
+
 def test_nearest_terms_over_the_whole_vocabulary(spark, tmp_path):
     """The nearest word stands in one document only; the keys by which words meet lose no pair against brute force."""
     import random
