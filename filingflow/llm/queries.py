@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filingflow.llm import decontamination, jaccard_join, langid, mixing, pii, quality, secret_scan, substring_dedup, topk, wrapper
+from filingflow.llm import collocations, decontamination, jaccard_join, langid, mixing, pii, quality, ranked_search, secret_scan, substring_dedup, token_files, topk, wrapper
 from filingflow.llm.common import crc_mod, table
 
 
@@ -58,13 +58,29 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_passages", "top_passage")
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = token_files.scratch(spark)
+    token_files.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_files.report(spark.read.parquet(path))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.top_collocations(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_mixing, op3_top_k, op4_language, op5_main_text, op6_jaccard_join, op7_secrets, op8_repeats, op9_personal_data, op10_quality, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_mixing, op3_top_k, op4_language, op5_main_text, op6_jaccard_join, op7_secrets, op8_repeats, op9_personal_data, op10_quality, op11_token_files, op12_ranked_search, op13_collocations, pipeline)}
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -105,4 +121,28 @@ words AS (SELECT doc_id, j, w[j] AS x FROM doc, unnest(range(1, len(w) + 1)) AS
 out AS (SELECT doc_id, unnest(g) AS j FROM gone),
 kept AS (SELECT words.doc_id, string_agg(x, ' ' ORDER BY words.j) AS t FROM words LEFT JOIN out ON words.doc_id = out.doc_id AND words.j = out.j WHERE out.j IS NULL GROUP BY words.doc_id)
 SELECT doc_id, len(w) AS n_words, coalesce(len(g), 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM doc LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)""",
+    "op12_ranked_search": rf"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce({_LOWER}, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+q AS (SELECT row_number() OVER () AS q, item_id, regexp_extract_all(coalesce({_LOWER}, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM benchmark),
+s AS (SELECT count(*) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_words FROM t WHERE len(w) > 0),
+tf AS (SELECT r, x, count(*) AS tf FROM (SELECT r, unnest(w) AS x FROM t) GROUP BY r, x),
+weight AS (SELECT x, CAST(floor(1000 * ln(CAST(2 * (SELECT n_docs FROM s) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf GROUP BY x),
+m AS (SELECT r, doc_id, 100 - 25 + (25 * len(w) * n_docs) // n_words AS m FROM t, s WHERE len(w) > 0),
+qt AS (SELECT q, x, count(*) AS k FROM (SELECT q, unnest(w) AS x FROM q) GROUP BY q, x),
+score AS (SELECT q, r, CAST(sum(k * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score FROM qt JOIN weight USING (x) JOIN tf USING (x) JOIN m USING (r) GROUP BY q, r),
+ranked AS (SELECT q, doc_id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS k FROM score JOIN m USING (r) WHERE score > 0)
+SELECT item_id, CAST(k AS INTEGER) AS rank, doc_id, score FROM ranked JOIN q USING (q) WHERE k <= 20""",
+    "op13_collocations": rf"""
+WITH piece AS (SELECT row_number() OVER () AS p, lang, regexp_extract_all(x, '[^\x20\x09]+') AS w
+               FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS x FROM documents WHERE text IS NOT NULL)),
+f AS (SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase, w[i : i + k - 1] AS ws, count(*) AS a
+      FROM piece, unnest(range(1, 4)) AS u(k), unnest(range(1, len(w) - k + 2)) AS v(i) GROUP BY ALL),
+total AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+cand AS (SELECT lang, k, phrase, ws, CAST(a AS BIGINT) AS a FROM f WHERE k > 1 AND a >= 10),
+parts AS (SELECT c.lang, c.phrase, c.ws, c.k AS words, c.a, j, CAST(x.a AS BIGINT) AS l, CAST(y.a AS BIGINT) AS r, CAST((CAST(1000000 AS HUGEINT) * c.a * c.a) // (CAST(x.a AS HUGEINT) * y.a) AS BIGINT) AS score
+          FROM cand c, unnest(range(1, c.k)) AS u(j) JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.ws[1 : j], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.ws[j + 1 : c.k], ' ')),
+cuts AS (SELECT * FROM parts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+inside AS (SELECT lang, array_to_string(ws[i : i + 1], ' ') AS phrase, max(a) AS longer FROM cand, unnest(range(1, 3)) AS u(i) WHERE k = 3 GROUP BY ALL),
+kept AS (SELECT c.* FROM cuts c LEFT JOIN inside i ON i.lang = c.lang AND i.phrase = c.phrase WHERE i.longer IS NULL OR c.words = 3 OR 100 * i.longer < 50 * c.a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept) JOIN total USING (lang) WHERE rank <= 2000""",
 }
