@@ -117,14 +117,6 @@ def relation_class(text: Column | str, rules: list[tuple[str, str]] = RELATIONS)
     return F.coalesce(out, F.lit("lain"))
 
 
-def scan_mentions(records: DataFrame, id_col: str, codes: DataFrame) -> DataFrame:
-    """Other codes in a code's section: in brackets, or in capitals where the sentence has a relation; one row a (code, document, line)."""
-    r = records.where("code is not null").withColumn("relation", relation_class("content"))
-    found = r.select(id_col, "ordinal", F.col("code").alias("filer"), "content", "relation", F.explode(F.regexp_extract_all("content", F.lit(r"\(?\b[A-Z]{4}\b\)?"), F.lit(0))).alias("t"))
-    m = found.withColumn("code", F.regexp_extract("t", r"([A-Z]{4})", 1)).where((F.col("code") != F.col("filer")) & (F.col("t").startswith("(") | (F.col("relation") != "lain")))
-    return first_per(m.join(F.broadcast(codes.select("code")), "code"), ["code", id_col, "ordinal"], [F.desc("t")]).select("code", "filer", id_col, "ordinal", "relation", F.substring(squash("content"), 1, 160).alias("snippet"))
-
-
 def name_keys(names: DataFrame) -> DataFrame:
     """names (code, name): core words without legal forms; two words and eight signs at least, else no key."""
     core = F.filter(F.split(norm_text("name"), " "), lambda w: ~w.isin("pt", "tbk", "persero", "cv"))

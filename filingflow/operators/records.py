@@ -153,13 +153,6 @@ def outline(lines: DataFrame, id_col: str, cap: int) -> DataFrame:
     return kept.withColumn("bytes", F.sum(F.octet_length("content")).over(w)).where(F.col("bytes") <= cap).drop("past")
 
 
-def chunk_text(docs: DataFrame, id_col: str, text_col: str, n: int = 22_000) -> DataFrame:
-    """Parts of at most n signs with their place and offset."""
-    size = F.length(text_col)
-    d = docs.where(size > 0).select(id_col, text_col, F.explode(F.sequence(F.lit(0), F.floor((size - 1) / n))).alias("part"))
-    return d.select(id_col, "part", (F.col("part") * n).alias("offset"), F.substring(F.col(text_col), (F.col("part") * n + 1).cast("int"), F.lit(n)).alias("content"))
-
-
 def merge_equal_context(records: DataFrame, id_col: str) -> DataFrame:
     """Consecutive records of one context as one."""
     w = Window.partitionBy(id_col).orderBy("ordinal")

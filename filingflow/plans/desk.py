@@ -252,11 +252,6 @@ def c02(spark, d):
     return C.parse_claims(docs, "doc_id", "text", "date").select("fid", "text", "code")
 
 
-@query("C05_scan_mentions", "SELECT other AS code, code AS filer, doc_id, e AS ordinal, CASE WHEN e % 5 = 3 THEN 'kreditur' ELSE 'transaksi_saham' END AS relation, text AS snippet FROM ev WHERE ((e % 5 = 3 AND e % 2 = 1) OR e % 5 = 4) AND other IN (SELECT code FROM known)")
-def c05(spark, d):
-    return C.scan_mentions(records(spark, d), "doc_id", known(spark, d))
-
-
 @query("C06_relation_class", "SELECT e, CASE e % 5 WHEN 3 THEN 'kreditur' WHEN 4 THEN 'transaksi_saham' ELSE 'lain' END AS relation FROM ev")
 def c06(spark, d):
     return events(spark, d).select("e", C.relation_class("text").alias("relation"))

@@ -64,27 +64,6 @@ def s14(spark, d):
     return S.split_bytes(docs(spark, d), "doc_id", "text", 1000)
 
 
-@query("R01_partition_records")
-def r01(spark, d):
-    return R.partition_records(docs(spark, d), "doc_id", "text")
-
-
-@query("R02_annotate_records")
-def r02(spark, d):
-    return R.annotate_records(R.partition_records(docs(spark, d), "doc_id", "text"), "doc_id").select("doc_id", "ordinal", "section_id", F.array_join("codes", ",").alias("codes"), "event_date")
-
-
-@query("R03_check_lossless", "SELECT doc_id, true AS lossless FROM documents")
-def r03(spark, d):
-    p = docs(spark, d)
-    return R.check_lossless(p, R.partition_records(p, "doc_id", "text"), "doc_id", "text").select("doc_id", "lossless")
-
-
-@query("R11_chunk_text", "SELECT doc_id, CAST(k AS BIGINT) AS part, CAST(k * 500 AS BIGINT) AS \"offset\", substr(text, CAST(k * 500 + 1 AS BIGINT), 500) AS content FROM documents, unnest(range(0, CAST(ceil(length(text) / 500.0) AS BIGINT))) u(k)")
-def r11(spark, d):
-    return R.chunk_text(docs(spark, d), "doc_id", "text", 500).select("doc_id", F.col("part").cast("bigint"), F.col("offset").cast("bigint"), "content")
-
-
 POSTINGS = r"postings AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM documents) WHERE NOT regexp_full_match(term, '[0-9]{7,}') GROUP BY ALL)"
 
 
