@@ -15,7 +15,9 @@ go as the ranking says: score, count, then the phrase by its bytes. Products bey
 
 from __future__ import annotations
 
+import atexit
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,12 +25,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from filingflow.llm.common import FLUSH_ENTRIES, SPACE, U64, Buckets, TextSlice, WordHasher, Words, bitmap, bucket_schema, cut, give_back, in_bitmap, mixed, packed, shuffle_width, stored, text_slices, unpacked
+from filingflow.llm.common import FLUSH_ENTRIES, SPACE, U64, Buckets, TextSlice, WordHasher, Words, bitmap, bucket_schema, cut, give_back, in_bitmap, mixed, packed, removed, shared_dir, shuffle_width, stored, text_slices, unpacked
 
 #: Pieces end at these bytes; words at these or a space or tab.
 PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 #: Occurrences that one bucket of counts gets, about. Text of a shard, about.
 BUCKET_ROWS, SHARD_BYTES = 1 << 20, 1 << 22
+#: Counted words that a task holds before it sends them off.
+HELD_WORDS = 600_000
 COUNTS = {"keys": np.uint64, "counts": np.uint32}
 #: A shard: keys of the words of each phrase that stands in it, the number of the phrase at each occurrence in order of place, and whether
 #: an occurrence begins one place after the one before, in the same piece.
@@ -116,12 +120,13 @@ def word_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
                 text = pa.Array.from_buffers(pa.large_string(), 2 * len(first), [None, pa.py_buffer(offsets), pa.py_buffer(reader.fold[s.data])]).take(pa.array(np.arange(len(first)) * 2)).cast(pa.string())
                 held.append(pa.RecordBatch.from_arrays([batch.column(1).slice(s.lo, s.hi - s.lo).take(pa.array(row[first])), text, pa.array(own.view(np.int64)), pa.array(count)], ["lang", "word", "key", "n"]))
                 n += len(first)
-                if n >= 4 * FLUSH_ENTRIES:
+                if n >= HELD_WORDS:
                     out = summed()
                     held, n = [out], out.num_rows
-                    if n >= 2 * FLUSH_ENTRIES:
+                    if n >= HELD_WORDS // 2:
                         yield from _small(out)
                         held, n = [], 0
+                    give_back()
         if held:
             yield from _small(summed())
         give_back()
@@ -240,40 +245,48 @@ def extended(relation: DataFrame, k: int, frequent: DataFrame) -> DataFrame:
     return relation.mapInArrow(run, RELATION)
 
 
-def phrases_of(relation: DataFrame, k: int) -> DataFrame:
+def phrases_of(relation: DataFrame, k: int, n_rows: int) -> DataFrame:
     """Rows (key, words, firsts, rests, inside) of the distinct phrases of a relation: keys of the words; of the first j words and of those
     after them for j = 1 to k - 1; of all shorter phrases of two words or more in them."""
-    schema = "key bigint, words array<bigint>, firsts array<bigint>, rests array<bigint>, inside array<bigint>"
+    columns = {"keys": np.uint64} | {f"w{j}": np.uint64 for j in range(k)}
+    buckets = max(shuffle_width(relation.sparkSession), -(-n_rows // BUCKET_ROWS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
+        out, held, n = Buckets(buckets, columns), [], 0
 
         def distinct() -> Iterator[pa.RecordBatch]:
             words = np.concatenate(held)
-            _, first, _ = _counted(_key(words))
-            for lo in range(0, len(first), 20_000):
-                w = words[first[lo : lo + 20_000]]
-                lists = [
-                    [w[:, j] for j in range(k)],
-                    [_key(w[:, :j]) for j in range(1, k)],
-                    [_key(w[:, j:]) for j in range(1, k)],
-                    [_key(w[:, i : i + m]) for m in range(2, k) for i in range(k - m + 1)],
-                ]
-                columns = [pa.ListArray.from_arrays(np.arange(len(w) + 1, dtype=np.int32) * len(x), np.column_stack(x).reshape(-1).view(np.int64)) if x else pa.array([[]] * len(w), pa.list_(pa.int64())) for x in lists]
-                yield pa.RecordBatch.from_arrays([pa.array(_key(w).view(np.int64)), *columns], ["key", "words", "firsts", "rests", "inside"])
+            keys, first, _ = _counted(_key(words))
+            out.add(keys, *words[first].T)
+            yield from out.flush()
 
         for batch in batches:
             for row in batch.column(0):
                 held.append(np.frombuffer(row.as_buffer(), U64).reshape(-1, k))
                 n += len(held[-1])
-                if n >= 2 * FLUSH_ENTRIES:
+                if n >= FLUSH_ENTRIES:
                     yield from distinct()
                     held, n = [], 0
         if n:
             yield from distinct()
         give_back()
 
-    return relation.select("phrases").mapInArrow(run, schema).dropDuplicates(["key"])
+    def once(group: pa.Table) -> pa.Table:
+        keys, *words = unpacked(group, columns)
+        keys, first, _ = _counted(keys)
+        w = np.column_stack(words)[first]
+        lists = {
+            "words": [w[:, j] for j in range(k)],
+            "firsts": [_key(w[:, :j]) for j in range(1, k)],
+            "rests": [_key(w[:, j:]) for j in range(1, k)],
+            "inside": [_key(w[:, i : i + m]) for m in range(2, k) for i in range(k - m + 1)],
+        }
+        made = {c: pa.ListArray.from_arrays(np.arange(len(w) + 1, dtype=np.int32) * len(x), np.column_stack(x).reshape(-1).view(np.int64)) if x else pa.array([[]] * len(w), pa.list_(pa.int64())) for c, x in lists.items()}
+        give_back()
+        return pa.table({"key": keys.view(np.int64)} | made)
+
+    schema = "key bigint, words array<bigint>, firsts array<bigint>, rests array<bigint>, inside array<bigint>"
+    return relation.select("phrases").mapInArrow(run, bucket_schema(columns)).groupBy("bucket").applyInArrow(once, schema)
 
 
 def _scored(docs: DataFrame, max_words: int, least: int, inside_percent: int, text_col: str, lang_col: str) -> tuple[DataFrame, DataFrame]:
@@ -283,16 +296,24 @@ def _scored(docs: DataFrame, max_words: int, least: int, inside_percent: int, te
     frequent = words.where(F.col("n") >= least)
     n_rows = frequent.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
     known = frequent.select("key", "n", "lang")
-    relation, found = stored(occurrences(docs, frequent, text_col, lang_col), "occurrences"), []
+    spark, base, found = docs.sparkSession, f"{shared_dir(docs.sparkSession).rstrip('/')}/filingflow-occurrences-{uuid.uuid4().hex}", []
+    atexit.register(removed, spark, base)
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{base}/{name}")
+        return spark.read.parquet(f"{base}/{name}")
+
+    relation = kept(occurrences(docs, frequent, text_col, lang_col), "R1")
     for k in range(1, max_words):
         counts = cut(phrase_counts(relation, k, n_rows, least))
-        relation = stored(extended(relation, k, counts), "occurrences")
-        found.append(phrases_of(relation, k + 1).join(counts.withColumnRenamed("n", "a"), "key"))
+        relation = kept(extended(relation, k, counts), f"R{k + 1}")
+        removed(spark, f"{base}/R{k}")
+        found.append(kept(phrases_of(relation, k + 1, n_rows).join(counts.withColumnRenamed("n", "a"), "key"), f"candidates{k + 1}"))
         known = known.unionByName(counts.select("key", "n", F.lit(None).cast("string").alias("lang")))
+    removed(spark, f"{base}/R{max_words}")
     candidates = found[0]
     for x in found[1:]:
         candidates = candidates.unionByName(x)
-    candidates = stored(candidates, "candidates")
     cuts = candidates.select("key", "words", "a", F.posexplode(F.arrays_zip("firsts", "rests")).alias("k", "c"))
     cuts = cuts.select("key", "words", "a", "k", F.col("c.firsts").alias("first"), F.col("c.rests").alias("rest"))
     parts = cuts.join(known.select(F.col("key").alias("first"), F.col("n").alias("l"), "lang"), "first").join(known.select(F.col("key").alias("rest"), F.col("n").alias("r")), "rest")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,53 +21,6 @@ def uncovered_signals(signals: DataFrame, answers: DataFrame, key: str) -> DataF
     return j.where(~told).select(key, "id")
 
 
-PARTY_IDS = "entity string, period date, name string, party_id long"
-
-
-class PartyIds:
-    """What the periods of an entity have said so far: the id of each name, the last key and total of each id, and tainted ids."""
-
-    def __init__(self, names: dict[str, int], last: dict[int, tuple[str, float]], tainted: set[int]):
-        self.names, self.last, self.tainted = names, last, tainted
-
-    def take(self, frame: pd.DataFrame) -> pd.DataFrame:
-        """The ids of more periods."""
-        names, last, tainted, out = self.names, self.last, self.tainted, []
-        for _, rows in frame.sort_values(["period", "name"]).groupby("period", sort=True):
-            here = set(rows["name"])
-            gone = {i: v for i, v in last.items() if not any(names.get(n) == i for n in here)}
-            unknown = [r for r in rows.itertuples() if r.name not in names]
-            fits = {r.name: [i for i, (key, total) in gone.items() if key == r.key or (total == r.total and total)] for r in unknown}
-            claims: dict[int, int] = {}
-            for f in fits.values():
-                for i in f:
-                    claims[i] = claims.get(i, 0) + 1
-            for r in unknown:
-                f = fits[r.name]
-                if len(f) == 1 and claims[f[0]] == 1 and f[0] not in tainted:
-                    names[r.name] = f[0]
-                else:
-                    names[r.name] = max([*names.values(), *last, -1]) + 1
-                    last[names[r.name]] = ("", 0.0)
-                    tainted |= set(f) | ({names[r.name]} if f else set())
-            for r in rows.itertuples():
-                last[names[r.name]] = (r.key, r.total)
-                out.append((r.entity, r.period, r.name, names[r.name]))
-        return pd.DataFrame(out, columns=["entity", "period", "name", "party_id"])
-
-
-def assign_party_ids(history: DataFrame) -> DataFrame:
-    """history (entity, period, name, total, pct): one id a party over an entity's periods. An exact name keeps its id; else a name
-    that alone has the same key or the same total as one that left gets that one's; what fits several gets an id of its own and
-    taints, so that later names that fit it get their own too. The state of an entity is its list of names."""
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        return PartyIds({}, {}, set()).take(frame)
-
-    keyed = history.select("entity", "period", "name", F.col("total").cast("double").alias("total"), party_key("name").alias("key"))
-    return keyed.groupBy("entity").applyInPandas(run, PARTY_IDS)
-
-
 def trust_flags(reports: DataFrame, harmless: list[str]) -> DataFrame:
     """reports (entity, period, validation, issues): comparable if valid or all issues are harmless; conflict if one says so."""
     ok = (F.col("validation") == "ok") | F.forall("issues", lambda i: i.isin(harmless))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from filingflow.operators import parties as I
 from filingflow.operators import reports as P
 from filingflow.plans.registry import Registry
 from filingflow.plans.tables import POSITIONS, positions, table
@@ -57,10 +58,23 @@ def a14(spark, d):
     return P.in_range(table(spark, d, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("date")), "date", "1997-01-01", "1997-06-30").select("o_orderkey", "inside")
 
 
-@query("K24_assign_party_ids")
+#: Spellings of a nation's name in a period: in some periods two at a time for one nation in five, which puts what follows in doubt.
+SPELLINGS = """, spelled AS (SELECT entity, period, party, unnest(CASE WHEN party % 5 = 0 AND month(period) = 7 AND year(period) = 1997 THEN ['PT ' || n_name, n_name || ' (PERSERO) TBK'] ELSE [CASE month(period) % 3 WHEN 0 THEN 'PT. ' || n_name WHEN 1 THEN n_name || ' Tbk' ELSE 'A/C ' || n_name END] END) AS name, month(period) % 3 = 2 AS account FROM positions JOIN nation ON n_nationkey = party),
+split AS (SELECT entity, period, party, name, party % 5 = 0 AND month(period) = 7 AND year(period) = 1997 AS twice, CASE WHEN account AND NOT (party % 5 = 0 AND month(period) = 7 AND year(period) = 1997) THEN 'a' ELSE 'n' END AS kind FROM spelled)"""
+
+
+@query("K24_assign_party_ids", f"""{SPELLINGS}, once AS (SELECT *, max(CASE WHEN twice THEN period END) OVER (PARTITION BY entity, party, kind) AS split_at, max(CASE WHEN twice THEN 1 ELSE 0 END) OVER (PARTITION BY entity, party, kind) AS ever FROM split),
+numbered AS (SELECT *, CASE WHEN kind = 'a' OR ever = 0 OR period < split_at THEN 0 WHEN twice THEN 100 + dense_rank() OVER (PARTITION BY entity, party, kind, period ORDER BY name) WHEN min(period) OVER (PARTITION BY entity, party, name) < split_at THEN 0 WHEN name LIKE 'PT. %' THEN 300 ELSE 400 END AS number FROM once),
+first AS (SELECT entity, party, kind, number, min({{'period': period, 'name': name}}) AS x FROM numbered GROUP BY ALL),
+ids AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY x.period, x.name) - 1 AS party_id FROM first)
+SELECT n.entity, n.period, n.name, CAST(party_id AS BIGINT) AS party_id, kind = 'n' AND ever = 1 AND period >= split_at AS ambiguous FROM numbered n JOIN ids USING (entity, party, kind, number)""")
 def k24(spark, d):
-    names = table(spark, d, "nation").select(F.col("n_nationkey").alias("party"), F.col("n_name").alias("name"))
-    return P.assign_party_ids(positions(spark, d).join(names, "party").select("entity", "period", "name", F.col("shares").alias("total"), "pct"))
+    names = table(spark, d, "nation").select(F.col("n_nationkey").alias("party"), F.col("n_name").alias("n"))
+    month, two = F.month("period"), (F.col("party") % 5 == 0) & (F.month("period") == 7) & (F.year("period") == 1997)
+    one = F.when(month % 3 == 0, F.concat(F.lit("PT. "), "n")).when(month % 3 == 1, F.concat("n", F.lit(" Tbk"))).otherwise(F.concat(F.lit("A/C "), "n"))
+    both = F.array(F.concat(F.lit("PT "), "n"), F.concat("n", F.lit(" (PERSERO) TBK")))
+    history = positions(spark, d).join(names, "party").select("entity", "period", F.explode(F.when(two, both).otherwise(F.array(one))).alias("name"))
+    return I.assign_party_ids(history)
 
 
 QUERIES = query.queries | plain.queries

@@ -8,7 +8,6 @@ from filingflow.operators import lookup as K
 from filingflow.operators import reports as P
 from filingflow.operators.html_records import html_records
 from filingflow.sources.files import entity_codes
-from filingflow.streaming.parties import party_ids_stream
 
 
 def test_lookup(spark):
@@ -27,18 +26,6 @@ def test_html_records(spark):
     assert all(html[r.offset :].startswith(r.content) and r.id == 1 for r in rows)
 
 
-def test_party_ids_stream(spark, tmp_path):
-    names = [("2026-01-01", "Budi Santoso", 10), ("2026-01-01", "PT Maju", 20), ("2026-02-01", "Santoso Budi", 11), ("2026-02-01", "Maju Baru", 20), ("2026-03-01", "Budi Santoso", 12), ("2026-03-01", "Lain", 5)]
-    rows = [("E", dt.date.fromisoformat(p), n, t, 1.0) for p, n, t in names]
-    history = spark.createDataFrame(rows, "entity string, period date, name string, total bigint, pct double")
-    (tmp_path / "in").mkdir()
-    seen = spark.readStream.schema(history.schema).parquet(str(tmp_path / "in"))
-    for k in (1, 2, 3):
-        history.where(F.month("period") == k).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        party_ids_stream(seen).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect())) == sorted(map(tuple, P.assign_party_ids(history).collect()))
-
-
 def test_entity_codes(spark):
     found = entity_codes(spark.createDataFrame([("A",), ("B",)], "entity string"), spark.createDataFrame([(["B", "C"],), (None,)], "codes array<string>"))
     assert sorted(r.code for r in found.collect()) == ["A", "B", "C"]

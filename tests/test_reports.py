@@ -9,12 +9,6 @@ def d(s):
     return dt.date.fromisoformat(s)
 
 
-def test_party_ids(spark):
-    rows = [("E", d("2026-01-01"), "Budi Santoso", 10, 1.0), ("E", d("2026-01-01"), "PT Maju", 20, 2.0), ("E", d("2026-02-01"), "Santoso Budi", 11, 1.0), ("E", d("2026-02-01"), "Maju Baru", 20, 2.0), ("E", d("2026-03-01"), "Budi Santoso", 12, 1.0), ("E", d("2026-03-01"), "Lain", 5, 1.0)]
-    got = {(r.period.month, r.name): r.party_id for r in P.assign_party_ids(spark.createDataFrame(rows, "entity string, period date, name string, total bigint, pct double")).collect()}
-    assert got[1, "Budi Santoso"] == got[2, "Santoso Budi"] == got[3, "Budi Santoso"] and got[1, "PT Maju"] == got[2, "Maju Baru"] and got[3, "Lain"] not in (got[1, "PT Maju"], got[1, "Budi Santoso"])
-
-
 def test_blocks_and_written(spark):
     rows = [("E", d("2026-01-01"), "a", 60, 100, 60.0), ("E", d("2026-01-01"), "b", 39, 100, 39.0), ("E", d("2026-01-01"), "c", 1, 100, 1.0), ("F", d("2026-01-01"), "a", None, 100, 50.0)]
     h = spark.createDataFrame(rows, "entity string, period date, party string, shares bigint, total bigint, pct double")
