@@ -197,14 +197,6 @@ def nearest_support(claims: DataFrame, disclosures: DataFrame, days: int = 45) -
     return nearest_join(claims, disclosures, ["entity", "topic"], "fid", "date", "disclosed", days, "ref")
 
 
-def named_parties(claims: DataFrame, parties: DataFrame, most: int = 10) -> DataFrame:
-    """claims (fid, text), parties (party, name): parties named by a word of four letters and more that at most so many names have."""
-    word = lambda c: F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(c)), F.lit(r"\p{L}{4,}"), F.lit(0)))).alias("w")
-    p = parties.select("party", word("name"))
-    rare = p.groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") <= most).select("w")
-    return claims.select("fid", word("text")).join(p.join(rare, "w", "left_semi"), "w").select("fid", "party").distinct()
-
-
 def trend(observations: DataFrame, keys: list[str], period: str, value: str, k: int = 3) -> DataFrame:
     """Direction over the last k observations of each key."""
     last = first_per(observations, keys, [F.desc(period)], k)

@@ -311,21 +311,6 @@ def l01(spark, d):
     return C.eligible_claims(c, known(spark, d)).select("fid")
 
 
-@query("L03_nearest_mention", """, a AS (SELECT e AS fid, u % 40 AS entity, day AS date FROM ev WHERE t = 'view'), b AS (SELECT e AS ref, u % 40 AS entity, day + CAST(e % 400 AS INTEGER) AS disclosed FROM ev WHERE e % 5 = 4)
-SELECT fid, entity, date, ref, disclosed, abs(disclosed - date)::INTEGER AS gap FROM a JOIN b USING (entity) WHERE abs(disclosed - date) <= 180 QUALIFY row_number() OVER (PARTITION BY fid ORDER BY abs(disclosed - date), disclosed, ref) = 1""")
-def l03(spark, d):
-    e = events(spark, d)
-    mine = e.where("t = 'view'").select(F.col("e").alias("fid"), (F.col("u") % 40).alias("entity"), F.lit("t").alias("topic"), F.col("day").alias("date"))
-    mentions = e.where("e % 5 = 4").select((F.col("u") % 40).alias("entity"), F.lit("t").alias("topic"), F.date_add("day", (F.col("e") % 400).cast("int")).alias("disclosed"), F.col("e").alias("ref"))
-    return C.nearest_support(mine, mentions, 180).select("fid", "entity", "date", "ref", "disclosed", "gap")
-
-
-@query("L04_named_parties", "SELECT DISTINCT e AS fid, p.u AS party FROM ev JOIN (SELECT DISTINCT u, code FROM ev) p ON contains(text, p.code)")
-def l04(spark, d):
-    e = events(spark, d)
-    return C.named_parties(e.select(F.col("e").alias("fid"), "text"), e.select(F.col("u").alias("party"), F.concat(F.lit("Dividend Maju "), "code").alias("name")).distinct())
-
-
 @query("L06_fallback_verdicts", "SELECT e AS fid, CASE WHEN e % 7 = 1 THEN 'other_topic' WHEN day > DATE '2024-01-20' THEN 'not_checkable' ELSE 'no_basis' END AS verdict FROM ev WHERE e % 3 <> 0")
 def l06(spark, d):
     e = events(spark, d).select(F.col("e").alias("fid"), F.col("day").alias("date"))

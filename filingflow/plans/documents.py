@@ -158,15 +158,6 @@ def c14(spark, d):
     return table(spark, d, "customer").select("c_custkey", is_company("c_name").alias("company"))
 
 
-@query("L02_nearest_support", """WITH a AS (SELECT event_id AS fid, user_id AS entity, CAST(ts AS DATE) AS date FROM events WHERE event_type = 'error'), b AS (SELECT event_id AS ref, user_id AS entity, CAST(ts AS DATE) AS disclosed FROM events WHERE event_type = 'purchase')
-SELECT fid, entity, date, ref, disclosed, gap FROM (SELECT a.*, ref, disclosed, abs(date_diff('day', date, disclosed))::INTEGER AS gap, row_number() OVER (PARTITION BY fid ORDER BY abs(date_diff('day', date, disclosed)), disclosed, ref) AS k FROM a JOIN b USING (entity) WHERE abs(date_diff('day', date, disclosed)) <= 5) WHERE k = 1""")
-def l02(spark, d):
-    e = table(spark, d, "events")
-    claims = e.where("event_type = 'error'").select(F.col("event_id").alias("fid"), F.col("user_id").alias("entity"), F.lit("t").alias("topic"), F.to_date("ts").alias("date"))
-    disclosures = e.where("event_type = 'purchase'").select(F.col("user_id").alias("entity"), F.lit("t").alias("topic"), F.to_date("ts").alias("disclosed"), F.col("event_id").alias("ref"))
-    return C.nearest_support(claims, disclosures, 5).select("fid", "entity", "date", "ref", "disclosed", "gap")
-
-
 @query("L05_trend", "WITH m AS (SELECT user_id, event_type, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY day DESC) AS k FROM m), g AS (SELECT user_id, event_type, arg_min(n, day) AS \"from\", arg_max(n, day) AS \"to\", max(day) AS observed FROM r WHERE k <= 3 GROUP BY ALL) SELECT *, CASE WHEN \"to\" > \"from\" THEN 'up' WHEN \"to\" < \"from\" THEN 'down' ELSE 'flat' END AS direction FROM g")
 def l05(spark, d):
     m = table(spark, d, "events").groupBy("user_id", "event_type", F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))

@@ -3,6 +3,9 @@ run the same operators on a file stream."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import functions as F
 
 from filingflow.plans.registry import Registry
@@ -48,4 +51,39 @@ def w08(spark, d):
     return W.match_streams(a, b, "user_id", "t1", "t2", 2).select("a_id", "b_id")
 
 
+def _stream(spark, d):
+    """The event table as a stream of files, and a new folder for its checkpoint and target."""
+    e, sc = table(spark, d, "events"), spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-checkpoint-")
+    return spark.readStream.schema(e.schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parq*"), f"{base.rstrip('/')}/filingflow-stream-{uuid.uuid4().hex}"
+
+
+@query("W03_daily_budget", """WITH RECURSIVE e AS (SELECT user_id, event_id, CAST(ts AS DATE) AS day, "value" AS v, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY epoch_ms(ts), event_id) AS n FROM events),
+r AS (SELECT user_id, event_id, day, n, v <= 150 AS admitted, CASE WHEN v <= 150 THEN v ELSE 0 END AS used FROM e WHERE n = 1
+  UNION ALL SELECT e.user_id, e.event_id, e.day, e.n, used + v <= 150, CASE WHEN used + v <= 150 THEN used + v ELSE used END FROM r JOIN e ON e.user_id = r.user_id AND e.day = r.day AND e.n = r.n + 1)
+SELECT CAST(user_id AS VARCHAR) AS key, event_id, CAST(day AS VARCHAR) AS day, admitted, used FROM r""")
+def w03(spark, d):
+    return W.daily_budget(_events(spark, d), "user_id", "ts", "event_id", "value", 150.0)
+
+
+@query("W06_ingest", "SELECT user_id, event_type AS fingerprint FROM events GROUP BY ALL")
+def w06(spark, d):
+    """The table comes twice, by two streams; the second adds nothing."""
+    for k in range(2):
+        stream, folder = _stream(spark, d)
+        target = folder if not k else target
+        rows = stream.select("user_id", F.col("event_type").alias("fingerprint"))
+        W.ingest(rows, f"{target}/table", f"{folder}/checkpoint", "user_id", first_batch=W.last_batch(spark, f"{target}/table")).awaitTermination()
+    return spark.read.parquet(f"{target}/table").select("user_id", "fingerprint")
+
+
+@query("W07_fold_stream", "SELECT user_id, event_type, arg_min(event_id, (ts, event_id)) AS event_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first, count(*) - 1 AS dups FROM events GROUP BY ALL")
+def w07(spark, d):
+    stream, folder = _stream(spark, d)
+    rows = stream.withColumn("ts", F.col("ts").cast("timestamp"))
+    W.fold_stream(rows, f"{folder}/table", f"{folder}/checkpoint", ["user_id", "event_type"], "ts", "event_id").awaitTermination()
+    found = W.folded(spark.read.parquet(f"{folder}/table"), ["user_id", "event_type"], "ts", "event_id")
+    return found.select("user_id", "event_type", "event_id", _text("ts").alias("first"), "dups")
+
+
 QUERIES, SQL = query.queries, query.sql

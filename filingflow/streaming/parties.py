@@ -26,7 +26,7 @@ class _Parties(StatefulProcessor):
         self.spellings = handle.getMapState("spellings", "name string", "party long, doubt boolean", **ttl)
         self.count = handle.getValueState("parties", "n long", **ttl)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         known = {n[0]: (int(v[0]), bool(v[1])) for n, v in self.spellings.iterator()} if self.spellings.exists() else {}
         state = Spellings(known, int(self.count.get()[0]) if self.count.exists() else 0)
         frame, out = pd.concat(list(rows)), []

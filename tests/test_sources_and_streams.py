@@ -82,7 +82,3 @@ def test_streams(spark, stream, tmp_path):
     want = a.alias("a").join(b.alias("b"), (F.col("a.user_id") == F.col("b.user_id")) & (F.abs(F.unix_micros("a.ts") - F.unix_micros("b.ts")) <= 2 * 86_400_000_000)).count()
     assert matched.count() == want
     assert W.retain(e, "ts", 10, F.lit("2024-01-31").cast("timestamp")).count() < e.count()
-    docs = lambda: s().select("event_id", F.col("event_type").alias("fingerprint"))
-    for k in range(2):
-        W.ingest(docs(), str(tmp_path / "target"), str(tmp_path / f"cp{k}"), "event_id").awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "target")).count() == e.count()
