@@ -90,17 +90,22 @@ def parse_local(col: Column | str) -> Column:
 
 
 # Fixed value: phrases that deny what follows them in a clause.
-NEGATION = r"(?i)\b(tidak|bukan|belum|tanpa|no|not|never|without|deny|denies|denied|membantah|kein|keine|nicht|pas|sans|sin|nunca)\b"
+NEGATION = r"(?i)\b(tidak ada|tidak terdapat|belum ada|tanpa adanya|tidak mengindikasikan|tidak menunjukkan|tidak mengungkapkan|tidak disebutkan|tidak dilaporkan|tidak diumumkan|belum merencanakan|tidak merencanakan|tidak berencana|belum berencana|none)\b"
 
 
 def clauses(col: Column | str) -> Column:
-    return F.split(_c(col), r"[;:.](?=\s)|\n")
+    """Parts of a text: a clause ends at ; : or . before white space."""
+    return F.split(_c(col), r"[;:.]\s")
+
+
+def affirms(clause: Column, pattern: str, negation: str = NEGATION) -> Column:
+    """Whether a clause holds the pattern with no negation before it."""
+    return clause.rlike(pattern) & ~F.regexp_extract(clause, f"(?is)^(.*?)(?:{pattern})", 1).rlike(negation)
 
 
 def affirmed(col: Column | str, pattern: str, negation: str = NEGATION) -> Column:
-    """Whether a clause holds the pattern with no negation before it in that clause."""
-    before = lambda c: F.regexp_extract(c, f"(?is)^(.*?)(?:{pattern})", 1)
-    return F.coalesce(F.exists(clauses(col), lambda c: c.rlike(pattern) & ~before(c).rlike(negation)), F.lit(False))
+    """Whether some clause of a text affirms the pattern; a null text affirms nothing."""
+    return F.coalesce(F.exists(clauses(col), lambda c: affirms(c, pattern, negation)), F.lit(False))
 
 
 def topic_bits(col: Column | str, topics: list[str]) -> Column:

@@ -57,32 +57,6 @@ def round_robin_budget(df: DataFrame, key: str, day: str, order: list[str], size
     return _picked(df, key, pick)
 
 
-def digest_plan(segments: DataFrame, key: str, budget: int) -> DataFrame:
-    """segments (key, day, kind: head, issuer or aux, tier, bytes, part): heads up to 60 % of the budget, newest first; then what is
-    left in turn over the days, first tier before second."""
-    heads = prefix_budget(segments.where("kind = 'head'"), key, [F.desc("day"), F.asc("part")], "bytes", budget * 6 // 10).drop("used")
-    used = heads.groupBy(key).agg(F.sum("bytes").alias("used"))
-    rest = segments.where("kind != 'head'").join(used, key, "left").withColumn("used", F.coalesce("used", F.lit(0)))
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        left, chosen = budget - int(frame["used"].iloc[0]), []
-        for _, tier in sorted(frame.fillna({"tier": 9}).groupby("tier"), key=lambda x: x[0]):
-            queues = [list(g.sort_values("part")["bytes"].items()) for _, g in sorted(tier.groupby("day"), key=lambda x: x[0], reverse=True)]
-            while queues:
-                after = []
-                for q in queues:
-                    i, n = q.pop(0)
-                    if n <= left:
-                        chosen.append(i)
-                        left -= n
-                        if q:
-                            after.append(q)
-                queues = after
-        return frame.loc[chosen].drop(columns="used")
-
-    return heads.unionByName(rest.groupBy(key).applyInPandas(run, segments.schema))
-
-
 def lead_text(lines: DataFrame, id_col: str, findings: str, opening: int = 1100, k: int = 5) -> DataFrame:
     """Lines of the opening within so many bytes, and the first k finding lines after it."""
     w = Window.partitionBy(id_col).orderBy("line")

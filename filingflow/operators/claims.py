@@ -6,29 +6,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from filingflow.functions.text import affirmed, norm_text, squash
+from filingflow.functions.text import affirms, clauses, norm_text, squash
 from filingflow.operators.records import lines, with_headings
 from filingflow.operators.relational import first_per, fold_duplicates, nearest_join
+from filingflow.operators.rules import ACTION_PATTERNS, FIRM, GROUP_PATTERNS, NAME_STOP, PARTY_AFTER, PARTY_ROLE, PERSON_ROLE, QUESTION_PATTERNS, RIGHTS_ALONE, SERVICE_ROLE, TITLE
 
-# Types of corporate action, topics of claims in bit order, kinds of claims, ranks of verdicts.
-ACTIONS = [
-    ("rights_issue", r"(?i)\b(rights? issue|hmetd|pmhmetd)\b"), ("private_placement", r"(?i)\b(private placement|pmthmetd|tanpa hmetd)\b"), ("stock_split", r"(?i)\b(stock split|pemecahan saham)\b"),
-    ("buyback", r"(?i)\b(buy ?back|pembelian kembali)\b"), ("tender_offer", r"(?i)\b(tender offer|penawaran tender)\b"), ("go_private", r"(?i)\b(go private|delisting sukarela)\b"),
-    ("acquisition", r"(?i)\b(akuisisi|acquisition|pengambilalihan)\b"), ("control_change", r"(?i)\b(perubahan pengendali|change of control)\b"), ("business_change", r"(?i)\b(perubahan kegiatan usaha|change of business)\b"),
-    ("merger", r"(?i)\b(merger|penggabungan)\b"), ("dividend", r"(?i)\b(dividen|dividend)\b"), ("bonus_shares", r"(?i)\b(saham bonus|bonus shares?)\b"),
-]
-TOPICS = ["rights_issue", "private_placement", "tender_offer", "akuisisi_pengendali", "merger", "buyback", "stock_split", "dividen", "suspensi_uma", "go_private", "kontrak", "kepemilikan", "pailit", "rups"]
+ACTIONS = ACTION_PATTERNS
+# Ranks of verdicts, official kinds, the line of a claim.
 VERDICT_RANK = {"supported": 0, "contradicted": 1, "recorded": 2, "not_checkable": 3, "other_topic": 4, "no_basis": 5}
 OFFICIAL = ["digest", "ki", "bei"]
-RELATIONS = [("kreditur", r"(?i)\b(kredit\w*|pinjaman|bank pemberi|lender)\b"), ("transaksi_saham", r"(?i)(?=.*\bsaham\b).*\b(jual|beli|akuisisi|transaksi|pengalihan)\w*"), ("anak_usaha", r"(?i)\b(anak usaha|entitas anak|subsidiary)\b"), ("afiliasi", r"(?i)\b(afiliasi|affiliate\w*)\b")]
 CLAIM = r"^\s*-\s*\[([A-Z])\]\s*(.*?)\s*—\s*@(\S+)\s+(\d{1,2}[:.]\d{2})(.*?)\((F\d+)\)"
 
 
 def classify_actions(df: DataFrame, text_col: str, rules: list[tuple[str, str]] = ACTIONS) -> DataFrame:
-    """Types whose pattern is affirmed, as an array. What names a placement without rights is no rights issue."""
-    found = F.array_compact(F.array(*(F.when(affirmed(text_col, p), F.lit(name)) for name, p in rules)))
-    bare = affirmed(F.regexp_replace(F.col(text_col), r"(?i)tanpa hmetd", " "), dict(rules).get("rights_issue", "(?!)"))
-    return df.withColumn("types", F.when(bare, found).otherwise(F.array_except(found, F.array(F.lit("rights_issue")))))
+    """Types that some clause of a text affirms, as an array in the rules' order. What names a placement without rights is no rights issue
+    unless a rights issue is named in other words too. A text is cut into clauses once."""
+    each = lambda c: F.array_compact(F.array(*(F.when(affirms(c, p), F.lit(name)) for name, p in rules)))
+    found = F.array_intersect(F.array(*(F.lit(name) for name, _ in rules)), F.flatten(F.transform(clauses(F.coalesce(text_col, F.lit(""))), each)))
+    placed = F.array_contains(found, "private_placement") & ~F.col(text_col).rlike(RIGHTS_ALONE)
+    return df.withColumn("types", F.when(placed, F.array_except(found, F.array(F.lit("rights_issue")))).otherwise(found))
 
 
 def digest_events(docs: DataFrame, id_col: str, text_col: str, factual: str, rules: list[tuple[str, str]] = ACTIONS) -> DataFrame:
@@ -83,8 +79,10 @@ def screen(events: DataFrame, types: list[str], start: str | None = None, end: s
     return g.join(shown, "entity").orderBy(F.desc("official"), F.desc("last"), "entity")
 
 
-def query_types(queries: DataFrame, id_col: str, text_col: str, rules: list[tuple[str, str]] = ACTIONS) -> DataFrame:
-    return queries.select(id_col, F.explode(F.array_compact(F.array(*(F.when(F.col(text_col).rlike(p), F.lit(n)) for n, p in rules)))).alias("type"))
+def query_types(queries: DataFrame, id_col: str, text_col: str, rules: list[tuple[str, str]] = ACTIONS, more: dict[str, str] = QUESTION_PATTERNS) -> DataFrame:
+    """Types that a question names, denied or not; questions have patterns of their own besides."""
+    named = lambda n, p: F.col(text_col).rlike(p) | F.col(text_col).rlike(more[n]) if n in more else F.col(text_col).rlike(p)
+    return queries.select(id_col, F.explode(F.array_compact(F.array(*(F.when(named(n, p), F.lit(n)) for n, p in rules)))).alias("type"))
 
 
 def parse_claims(docs: DataFrame, id_col: str, text_col: str, date_col: str, cross: str = r"(?i)^lintas emiten") -> DataFrame:
@@ -109,35 +107,50 @@ def fold_claims(claims: DataFrame) -> DataFrame:
     return fold_duplicates(claims.withColumn("norm", norm_text("text")), ["code", "norm"], [F.asc("date"), F.asc("fid")], "fid").drop("norm")
 
 
-def relation_class(text: Column | str, rules: list[tuple[str, str]] = RELATIONS) -> Column:
-    c = F.col(text) if isinstance(text, str) else text
-    out = F.lit(None).cast("string")
-    for name, p in rules:
-        out = F.coalesce(out, F.when(c.rlike(p), F.lit(name)))
-    return F.coalesce(out, F.lit("lain"))
-
-
 def name_keys(names: DataFrame) -> DataFrame:
     """names (code, name): core words without legal forms; two words and eight signs at least, else no key."""
     core = F.filter(F.split(norm_text("name"), " "), lambda w: ~w.isin("pt", "tbk", "persero", "cv"))
     return names.withColumn("key", F.array_join(core, " ")).where((F.size(core) >= 2) & (F.length("key") >= 8))
 
 
-def role_mentions(texts: DataFrame, id_col: str, text_col: str, roles: list[str]) -> DataFrame:
-    """'role Name Name' in sentences, titles dropped."""
-    pattern = r"(?i:\b(" + "|".join(roles) + r"))\s+(?:(?:Bapak|Ibu|Dr|Ir|Mr|Mrs)\.?\s+)?([A-Z][\w'-]+(?:\s+[A-Z][\w'-]+){1,3})"
-    m = texts.select(id_col, F.explode(F.regexp_extract_all(F.col(text_col), F.lit(pattern), F.lit(0))).alias("s"))
-    return m.select(id_col, F.lower(F.regexp_extract("s", pattern, 1)).alias("role"), F.regexp_extract("s", pattern, 2).alias("name")).distinct()
+def _pairs(text: Column, pattern: str) -> Column:
+    """All matches of a pattern with two groups, as (first, second)."""
+    return F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).alias("first"), F.regexp_extract_all(text, F.lit(pattern), F.lit(2)).alias("second"))
+
+
+def clean_name(name: Column) -> Column:
+    """A name without its title, marks at the end, and words at the end that are no names."""
+    bare = F.regexp_replace(F.regexp_replace(F.trim(name), r"[.,;]+$", ""), TITLE, "")
+    return F.regexp_replace(bare, r"(?:(?:^|\s+)(?:" + "|".join(NAME_STOP) + r"))+$", "")
+
+
+def role_mentions(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows (id, role, name, kind) of sentences that name a role. Persons have two words at least, none of them a legal form or a word that
+    is no name; parties too, beside PT, and may stand before or after their role; services (registrars BAE, auditors KAP) are firms. Each
+    row once; null texts have none."""
+    text, stop = F.coalesce(F.col(text_col), F.lit("")), F.array(*map(F.lit, NAME_STOP))
+    forms = [("person", PERSON_ROLE, 1), ("party", PARTY_ROLE, 1), ("party", PARTY_AFTER, 2), ("service", SERVICE_ROLE, 1)]
+    told = lambda kind, k: lambda x: F.struct(F.lit(kind).alias("form"), x["first" if k == 1 else "second"].alias("role"), x["second" if k == 1 else "first"].alias("name"))
+    found = F.concat(*(F.transform(_pairs(text, p), told(kind, k)) for kind, p, k in forms))
+    r = texts.select(id_col, F.explode(found).alias("x")).select(id_col, "x.form", "x.role", clean_name(F.col("x.name")).alias("name"))
+    words = F.split("name", r"\s+")
+    bare = F.filter(words, lambda w: ~w.isin("PT", "PT."))
+    person = (F.size(words) >= 2) & (F.size(F.array_intersect(words, F.concat(stop, F.array(F.lit("PT"), F.lit("PT."))))) == 0)
+    party = (F.size(bare) >= 2) & ~F.array_contains(stop, F.get(bare, F.lit(0)))
+    service = (F.col("name") != "") & ~F.array_contains(stop, F.get(words, F.lit(0)))
+    ok = F.when(F.col("form") == "person", person).when(F.col("form") == "party", party).otherwise(service)
+    role = F.when(F.col("form") == "service", F.when(F.col("role").isin("BAE", "Biro Administrasi Efek"), "BAE").otherwise("KAP")).otherwise(F.regexp_replace(F.lower("role"), r" \d$", ""))
+    kind = F.when(F.col("form") == "person", "person").when((F.col("form") == "service") | F.col("name").rlike(FIRM), "firm").otherwise("person")
+    return r.where(ok).select(id_col, role.alias("role"), "name", kind.alias("kind")).distinct()
 
 
 def group_aliases(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """'bagian dari X Group', 'grup X', 'milik X': members and owners of named groups."""
-    forms = [("member", r"bagian (?:dari )?((?:[A-Z][\w&'-]*\s+){1,3}Group)"), ("member", r"\b[Gg]rup\s+([A-Z][\w&'-]+(?:\s+[A-Z][\w&'-]+){0,2})"), ("owner", r"milik\s+([A-Z][\w&'-]+(?:\s+[A-Z][\w&'-]+){0,2})"), ("owner", r"dikendalikan(?: oleh)?\s+([A-Z][\w&'-]+(?:\s+[A-Z][\w&'-]+){0,2})")]
-    out = None
-    for kind, p in forms:
-        r = texts.select(id_col, F.lit(kind).alias("kind"), F.explode(F.regexp_extract_all(F.col(text_col), F.lit(p), F.lit(1))).alias("alias"))
-        out = r if out is None else out.unionByName(r)
-    return out.withColumn("alias", squash("alias")).distinct()
+    """Rows (id, kind, group, name) of texts that say who belongs to a group, or who owns it. Names of two signs are none."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    told = lambda g, kind: lambda x: F.struct(F.lit(kind).alias("kind"), x["first" if g == 1 else "second"].alias("group"), clean_name(x["second" if g == 1 else "first"]).alias("name"))
+    found = F.concat(*(F.transform(_pairs(text, p), told(g, kind)) for p, g, kind in GROUP_PATTERNS))
+    r = texts.select(id_col, F.explode(found).alias("x")).select(id_col, "x.kind", "x.group", "x.name")
+    return r.where(~F.col("group").isin(NAME_STOP) & (F.length("name") >= 3)).distinct()
 
 
 def build_entities(positions: DataFrame, roles: DataFrame, k: int = 8) -> DataFrame:

@@ -94,18 +94,6 @@ def check_lossless(docs: DataFrame, records: DataFrame, id_col: str, text_col: s
     return both.select(id_col, F.coalesce("records", F.lit(0)).alias("records"), (F.sha2(F.coalesce("joined", F.lit("")), 256) == F.sha2(F.coalesce(text_col, F.lit("")), 256)).alias("lossless"))
 
 
-def segment_daily(docs: DataFrame, id_col: str, text_col: str, appendix: str = r"(?i)lampiran|appendix") -> DataFrame:
-    """Parts of a daily file: preamble before any heading, head (the H1), issuer (a heading with a code, H2 tier 1, deeper tier 2),
-    appendix, aux (other headings), each with its bytes."""
-    h = with_headings(lines(docs, id_col, text_col), id_col)
-    w = Window.partitionBy(id_col).orderBy("line")
-    h = h.withColumn("part", F.sum(F.col("level").isNotNull().cast("int")).over(w))
-    g = h.groupBy(id_col, "part").agg(F.min("level").alias("level"), F.min_by("title", "line").alias("title"), F.sum(F.octet_length("content")).alias("bytes"))
-    code = F.nullif(F.regexp_extract("title", r"^(?:\d+\.\s*)?([A-Z]{4})\b", 1), F.lit(""))
-    kind = F.when(F.col("level").isNull(), "preamble").when(F.col("level") == 1, "head").when(code.isNotNull(), "issuer").when(F.col("title").rlike(appendix), "appendix").otherwise("aux")
-    return g.select(id_col, "part", kind.alias("kind"), code.alias("code"), F.when(kind == "issuer", F.when(F.col("level") <= 2, 1).otherwise(2)).alias("tier"), "bytes")
-
-
 def section_facts(docs: DataFrame, id_col: str, text_col: str, labels: dict[str, str]) -> DataFrame:
     """Under each heading with a code, the first line of each label (name -> pattern)."""
     h = with_headings(lines(docs, id_col, text_col), id_col).withColumn("code", F.nullif(F.regexp_extract("section", r"^([A-Z]{4})\b", 1), F.lit(""))).where("code is not null")

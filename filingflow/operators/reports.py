@@ -113,15 +113,20 @@ def compare_reports(a: DataFrame, b: DataFrame) -> DataFrame:
     return exact.unionByName(by_name).unionByName(only(rest_a, "a", "b")).unionByName(only(rest_b, "b", "a"))
 
 
+# Words of a name that spellings of one holder may differ in.
+SPELLING_NOISE = ["PT", "TBK", "PERSERO", "LTD", "LIMITED", "PTE", "INC", "CO", "CORP", "DRS", "DRA", "IR", "DR", "SE", "SH"]
+
+
 def match_variants(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(name, shares) left over of two lists: pairs with equal keys, or equal shares and a common word, if unique both ways."""
-    def words(col: str) -> Column:
-        return F.split(party_key(col), " ")
-
-    x = a.select(F.col("name").alias("name_a"), F.col("shares").alias("shares_a"), party_key("name").alias("key_a"))
-    y = b.select(F.col("name").alias("name_b"), F.col("shares").alias("shares_b"), party_key("name").alias("key_b"))
-    by_key = x.join(y, F.col("key_a") == F.col("key_b")).select("name_a", "name_b")
-    by_shares = x.join(y, F.col("shares_a") == F.col("shares_b")).where(F.size(F.array_intersect(words("name_a"), words("name_b"))) > 0).select("name_a", "name_b")
-    pairs = by_key.union(by_shares).distinct()
+    """(name, shares) of holders left over in two lists: pairs that are one holder in two spellings, if each fits the other alone. A pair
+    fits by equal words in any order, or by equal shares and a word in common, one of which may be the beginning of the other where both
+    have four signs at least. Without shares above 0 they fit by words only."""
+    words = lambda c: F.filter(F.split(F.upper(F.col(c)), "[^A-Z0-9]+"), lambda w: (w != "") & ~w.isin(SPELLING_NOISE))
+    side = lambda df, s: df.select(F.col("name").alias(f"name_{s}"), "shares", F.array_sort(words("name")).alias(f"words_{s}"), F.array_join(F.array_sort(words("name")), " ").alias("key"))
+    x, y = side(a, "a"), side(b, "b")
+    meets = lambda t, u: (t == u) | ((F.length(t) >= 4) & (F.length(u) >= 4) & (t.startswith(u) | u.startswith(t)))
+    by_words = x.drop("shares").join(y.drop("shares"), "key").select("name_a", "name_b")
+    by_shares = x.drop("key").join(y.drop("key"), "shares").where("shares > 0").where(F.exists("words_a", lambda t: F.exists("words_b", lambda u: meets(t, u)))).select("name_a", "name_b")
+    pairs = by_words.union(by_shares).distinct()
     once = lambda c: pairs.groupBy(c).agg(F.count("*").alias("n")).where("n = 1").select(c)
     return pairs.join(once("name_a"), "name_a", "left_semi").join(once("name_b"), "name_b", "left_semi").select("name_a", "name_b")

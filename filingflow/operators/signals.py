@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from filingflow.operators.relational import components, first_per
+from filingflow.operators.relational import checkpointed, components, first_per
 
 # Weights, ranks of kinds and of tiers.
 WEIGHTS = {"transfer": 3.0, "split": 5.0, "cluster": 2.0}
@@ -121,17 +121,25 @@ def renames(changes: DataFrame, pooled: DataFrame, least: int = 2) -> DataFrame:
 
 
 def merge_variants(positions: DataFrame, keys: DataFrame, axis: DataFrame) -> DataFrame:
-    """Rows (entity, party, merged): spellings of one key in an entity whose series follow each other without a gap, with shares
-    within 0.1 % or percent within 0.05, become the earliest of their chain. keys: (party, key)."""
+    """Rows (entity, party, merged): spellings of one key in an entity whose series follow each other without a gap, with shares within
+    0.1 % or percent within 0.05, become the earliest of their chain. keys: (party, key). Where several spellings fit one end or one
+    beginning, the first by name is taken; a series is continued once and continues one. So links are a function, and the head of a
+    chain is found by doubling: as many joins as the logarithm of the number of periods. The axis is numbered by one window: it is as
+    long as there are periods."""
     place = axis.withColumn("place", F.row_number().over(Window.orderBy("period")))
-    p = positions.join(F.broadcast(place), "period").join(keys, "party")
-    s = p.groupBy("entity", "key", "party").agg(F.min("place").alias("a"), F.max("place").alias("b"), F.min_by("shares", "place").alias("shares_a"), F.max_by("shares", "place").alias("shares_b"), F.min_by("pct", "place").alias("pct_a"), F.max_by("pct", "place").alias("pct_b"))
-    x, y = s.alias("x"), s.alias("y")
-    near = (F.abs(F.col("y.shares_a") - F.col("x.shares_b")) * 1000 <= F.col("x.shares_b")) | (F.abs(F.col("y.pct_a") - F.col("x.pct_b")) <= 0.05)
-    links = x.join(y, (F.col("x.entity") == F.col("y.entity")) & (F.col("x.key") == F.col("y.key")) & (F.col("y.a") == F.col("x.b") + 1)).where(near & (F.col("x.party") != F.col("y.party")))
-    name = lambda t: F.struct(F.col(f"{t}.entity").alias("entity"), F.col(f"{t}.a").alias("a"), F.col(f"{t}.party").alias("party"))
-    chains = components(links.select(name("x").alias("a"), name("y").alias("b")))
-    return s.select("entity", "party").join(chains.select("node.entity", "node.party", F.col("root.party").alias("merged")), ["entity", "party"], "left").withColumn("merged", F.coalesce("merged", "party"))
+    p = positions.join(place, "period").join(keys, "party")
+    ends = {f"{c}_{side}": f(c, "place") for c in ("shares", "pct") for side, f in (("a", F.min_by), ("b", F.max_by))}
+    s = p.groupBy("entity", "key", "party").agg(F.min("place").alias("a"), F.max("place").alias("b"), *(x.alias(n) for n, x in ends.items()))
+    x = s.select("entity", "key", F.col("party").alias("before"), (F.col("b") + 1).alias("a"), F.col("shares_b").alias("s0"), F.col("pct_b").alias("p0"))
+    y = s.select("entity", "key", "party", "a", F.col("shares_a").alias("s1"), F.col("pct_a").alias("p1"))
+    near = (F.abs(F.col("s1") - F.col("s0")) * 1000 <= F.greatest("s0", F.lit(1))) | (F.abs(F.col("p1") - F.col("p0")) <= 0.05)
+    fits = x.join(y, ["entity", "key", "a"]).where(near & (F.col("before") != F.col("party")))
+    first = first_per(first_per(fits, ["entity", "before"], [F.asc("party")]), ["entity", "party"], [F.asc("before")])
+    heads = checkpointed(first.select("entity", "party", F.col("before").alias("head")))
+    for _ in range(max(1, axis.count()).bit_length()):
+        jump = heads.select("entity", F.col("party").alias("head"), F.col("head").alias("further"))
+        heads = checkpointed(heads.join(jump, ["entity", "head"], "left").select("entity", "party", F.coalesce("further", "head").alias("head")))
+    return s.select("entity", "party").join(heads, ["entity", "party"], "left").select("entity", "party", F.coalesce("head", "party").alias("merged"))
 
 
 def coholding_pairs(positions: DataFrame, pooled: DataFrame, most: int = 60, least: int = 2) -> DataFrame:

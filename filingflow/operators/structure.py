@@ -3,9 +3,10 @@ pct); a party that is not listed is not observed, which is not the same as zero.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from filingflow.functions.text import parse_local
 from filingflow.operators.relational import first_per, rank_pct
 
 
@@ -120,9 +121,21 @@ def latest_holders(positions: DataFrame, k: int) -> DataFrame:
     return first_per(positions.join(last, ["entity", "period"]), ["entity"], [F.desc("pct"), F.asc("party")], k)
 
 
+def natural_key(text: Column) -> Column:
+    """Parts of a text that compare as a reader would: runs of digits by their value, letters without case and marks."""
+    plain = F.translate(F.lower(text), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
+    value = lambda p: F.regexp_replace(p, "^0+(?=.)", "")
+    return F.transform(F.regexp_extract_all(plain, F.lit(r"([0-9]+|[^0-9]+)"), F.lit(1)), lambda p: F.when(p.rlike("^[0-9]"), F.concat(F.lpad(F.length(value(p)).cast("string"), 9, "0"), value(p))).otherwise(p))
+
+
+def smart_order(column: str, tie: str, descending: bool = False) -> list[Column]:
+    """Order of a column of mixed cells: numbers, as they are written here, by value and before texts, texts in natural order; the other
+    way round if descending. Empty cells are last either way, and equal cells stay in order of the tie."""
+    cell = F.trim(F.col(column).cast("string"))
+    number, turned = parse_local(cell), F.desc if descending else F.asc
+    empty = F.coalesce(cell == "", F.lit(True))
+    return [F.asc(empty), turned(number.isNull()), turned(number), turned(F.when(number.isNull() & ~empty, natural_key(cell))), F.asc(tie)]
+
+
 def sort_smart(df: DataFrame, column: str, tie: str, descending: bool = False) -> DataFrame:
-    """Numbers before texts, numbers by value, empty cells last either way."""
-    number = F.col(column).try_cast("double")
-    empty = F.col(column).isNull() | (F.trim(F.col(column).cast("string")) == "")
-    by = (F.desc, F.desc) if descending else (F.asc, F.asc)
-    return df.orderBy(empty, number.isNull(), by[0](number), by[1](F.lower(F.col(column).cast("string"))), tie)
+    return df.orderBy(*smart_order(column, tie, descending))

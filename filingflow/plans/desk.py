@@ -10,8 +10,10 @@ from filingflow.functions import text as T
 from filingflow.operators import audit as V
 from filingflow.operators import budget as B
 from filingflow.operators import claims as C
+from filingflow.operators import mentions as M
 from filingflow.operators import records as R
 from filingflow.operators import search as X
+from filingflow.operators.verdicts import topic_bits
 from filingflow.plans.registry import Registry
 from filingflow.plans.tables import table
 
@@ -29,7 +31,7 @@ def code(x) -> F.Column:
 
 
 PROSE = "A line of prose that is long enough to say what this day was about."
-EVENTS = f"""ev AS (SELECT *, CASE e % 5 WHEN 0 THEN t || ' dividend of the year' WHEN 1 THEN t || ' no rights issue planned says user' || (u + 2) WHEN 2 THEN t || ' buyback and merger with ' || other WHEN 3 THEN t || ' loan from lender ' || CASE WHEN e % 2 = 1 THEN other ELSE code END ELSE t || ' PT Maju' || (e % 3) || ' Tbk (' || other || ') akuisisi saham' END AS text
+EVENTS = f"""ev AS (SELECT *, CASE e % 5 WHEN 0 THEN t || ' cash dividend of the year' WHEN 1 THEN t || ' tidak ada rights issue planned says user' || (u + 2) WHEN 2 THEN t || ' buyback and merger with ' || other WHEN 3 THEN t || ' loan pinjaman from lender ' || CASE WHEN e % 2 = 1 THEN other ELSE code END ELSE t || ' PT Maju' || (e % 3) || ' Tbk (' || other || ') akuisisi saham' END AS text
   FROM (SELECT event_id AS e, user_id AS u, CAST(ts AS DATE) AS day, ts, event_type AS t, user_id * 100 + day(ts) AS doc_id, {code_sql('user_id')} AS code, {code_sql('user_id + 1')} AS other, CASE event_type WHEN 'purchase' THEN 'R' WHEN 'error' THEN 'K' ELSE 'M' END AS kind, 'F' || event_id AS fid FROM events)),
 bullets AS (SELECT *, '- [' || kind || '] ' || text || ' — @user' || u || ' ' || strftime(ts, '%H:%M') || ' dari ' || (1 + e % 4) || ' akun, ' || (e % 3) || ' balasan' || CASE WHEN e % 6 = 0 THEN ' gap' ELSE '' END || ' (' || fid || ')' AS line FROM ev),
 known AS (SELECT DISTINCT code FROM ev),
@@ -44,8 +46,8 @@ def events(spark, d) -> DataFrame:
     e = e.withColumn("doc_id", F.col("u") * 100 + F.dayofmonth("day")).withColumn("code", code(F.col("u"))).withColumn("other", code(F.col("u") + 1))
     e = e.withColumn("kind", F.when(F.col("t") == "purchase", "R").when(F.col("t") == "error", "K").otherwise("M")).withColumn("fid", F.concat(F.lit("F"), "e"))
     k = F.col("e") % 5
-    said = F.when(k == 0, " dividend of the year").when(k == 1, F.concat(F.lit(" no rights issue planned says user"), F.col("u") + 2)).when(k == 2, F.concat(F.lit(" buyback and merger with "), "other"))
-    said = said.when(k == 3, F.concat(F.lit(" loan from lender "), F.when(F.col("e") % 2 == 1, F.col("other")).otherwise(F.col("code")))).otherwise(F.concat(F.lit(" PT Maju"), F.col("e") % 3, F.lit(" Tbk ("), "other", F.lit(") akuisisi saham")))
+    said = F.when(k == 0, " cash dividend of the year").when(k == 1, F.concat(F.lit(" tidak ada rights issue planned says user"), F.col("u") + 2)).when(k == 2, F.concat(F.lit(" buyback and merger with "), "other"))
+    said = said.when(k == 3, F.concat(F.lit(" loan pinjaman from lender "), F.when(F.col("e") % 2 == 1, F.col("other")).otherwise(F.col("code")))).otherwise(F.concat(F.lit(" PT Maju"), F.col("e") % 3, F.lit(" Tbk ("), "other", F.lit(") akuisisi saham")))
     return e.withColumn("text", F.concat("t", said))
 
 
@@ -92,11 +94,6 @@ def s10(spark, d):
     return table(spark, d, "orders").select("o_orderkey", T.parse_local(forms).alias("value"))
 
 
-@query("R04_segment_daily", "SELECT doc_id, CAST(1 AS BIGINT) AS part, 'head' AS kind, NULL AS code, CAST(NULL AS INTEGER) AS tier, CAST(strlen(head) AS BIGINT) AS bytes FROM heads UNION ALL SELECT doc_id, 2, 'issuer', code, 1, CAST(strlen(title) + sum(strlen(line) + 1) AS BIGINT) FROM heads JOIN bullets USING (doc_id, day, code) GROUP BY doc_id, code, title")
-def r04(spark, d):
-    return R.segment_daily(daily(spark, d), "doc_id", "text")
-
-
 @query("R05_section_facts", "SELECT doc_id, code, arg_min(line, e) FILTER (t = 'purchase') AS bought, arg_min(line, e) FILTER (t = 'error') AS failed FROM bullets GROUP BY ALL")
 def r05(spark, d):
     return R.section_facts(daily(spark, d), "doc_id", "text", {"bought": r"\] purchase", "failed": r"\] error"})
@@ -254,7 +251,7 @@ def c02(spark, d):
 
 @query("C06_relation_class", "SELECT e, CASE e % 5 WHEN 3 THEN 'kreditur' WHEN 4 THEN 'transaksi_saham' ELSE 'lain' END AS relation FROM ev")
 def c06(spark, d):
-    return events(spark, d).select("e", C.relation_class("text").alias("relation"))
+    return events(spark, d).select("e", M.relation_of(F.col("text")).alias("relation"))
 
 
 @plain("C07_name_keys", "SELECT s_suppkey AS code, CASE WHEN s_suppkey % 2 = 0 THEN 'supplier ' || lpad(CAST(s_suppkey AS VARCHAR), 9, '0') || ' abadi' END AS key FROM supplier WHERE s_suppkey % 2 = 0")
@@ -263,20 +260,45 @@ def c07(spark, d):
     return C.name_keys(table(spark, d, "supplier").select(F.col("s_suppkey").alias("code"), name.alias("name"))).select("code", "key")
 
 
-@query("C08_role_mentions", "SELECT e, CASE WHEN e % 2 = 0 THEN 'direktur' ELSE 'komisaris' END AS role, 'Budi Santoso' || e % 7 AS name FROM ev WHERE e % 3 <> 2")
+MARKED = "substr('ABCDEFG', CAST(e % 7 + 1 AS BIGINT), 1) || 'x'"
+
+
+def _marked():
+    return F.concat(F.substring(F.lit("ABCDEFG"), (F.col("e") % 7 + 1).cast("int"), F.lit(1)), F.lit("x"))
+
+
+@query("C08_role_mentions", f"""SELECT e, (['direktur utama', 'pembeli', 'penjual', 'BAE'])[CAST(e % 4 + 1 AS BIGINT)] AS role, CASE e % 4 WHEN 0 THEN 'Budi Santoso' || {MARKED} WHEN 3 THEN 'PT Adimitra ' || {MARKED} || ' Transferindo' ELSE 'PT Maju ' || {MARKED} || ' Jaya' END AS name, CASE WHEN e % 4 = 0 THEN 'person' ELSE 'firm' END AS kind FROM ev WHERE e % 5 <> 4""")
 def c08(spark, d):
-    e = F.col("e")
-    said = F.concat(F.lit("menurut "), F.when(e % 3 == 2, "pegawai").when(e % 2 == 0, "Direktur").otherwise("komisaris"), F.when(e % 4 == 0, " Bapak").otherwise(""), F.lit(" Budi Santoso"), e % 7, F.lit(" kemarin"))
-    return C.role_mentions(events(spark, d).select("e", said.alias("text")), "e", "text", ["direktur", "komisaris"])
+    e, x, lit = F.col("e"), _marked(), F.lit
+    said = F.when(e % 5 == 4, "menurut Direktur Keuangan Kepatuhan dan Pembeli Utama Lama").when(e % 4 == 0, F.concat(lit("menurut Direktur Utama baru Ir. Budi Santoso"), x, lit(" Tbk."))).when(e % 4 == 1, F.concat(lit("oleh Pembeli: PT Maju "), x, lit(" Jaya.")))
+    said = said.when(e % 4 == 2, F.concat(lit("oleh PT Maju "), x, lit(" Jaya (Penjual 2)"))).otherwise(F.concat(lit("melalui Biro Administrasi Efek PT Adimitra "), x, lit(" Transferindo Indonesia, kini")))
+    return C.role_mentions(events(spark, d).select("e", said.alias("text")), "e", "text")
 
 
-@query("C09_group_aliases", "SELECT e, CASE WHEN e % 3 < 2 THEN 'member' ELSE 'owner' END AS kind, CASE e % 3 WHEN 0 THEN 'Maju' || e % 5 || ' Group' ELSE 'Maju' || e % 5 END AS alias FROM ev")
+@query("C09_group_aliases", f"""SELECT e, CASE WHEN e % 4 = 3 THEN 'owner' ELSE 'member' END AS kind, CASE WHEN e % 4 < 2 THEN 'Rimau' ELSE 'Arsari' END AS "group", (['Maju ', 'Maju ', 'Nusantara ', 'Hasyim '])[CAST(e % 4 + 1 AS BIGINT)] || {MARKED} AS name FROM ev""")
 def c09(spark, d):
-    e = F.col("e")
-    said = F.concat(F.when(e % 3 == 0, "ia bagian dari Maju").when(e % 3 == 1, "ia anggota grup Maju").otherwise("ia milik Maju"), e % 5, F.when(e % 3 == 0, " Group").otherwise(""), F.lit(" sejak lama"))
+    e, x, lit = F.col("e"), _marked(), F.lit
+    said = F.when(e % 4 == 0, F.concat(lit("oleh PT Maju "), x, lit(", disebut bagian Rimau Group"))).when(e % 4 == 1, F.concat(lit("dan Rimau Group melalui PT Maju "), x, lit(", kemarin")))
+    said = said.when(e % 4 == 2, F.concat(lit("oleh Nusantara "), x, lit(" (Grup Arsari)"))).otherwise(F.concat(lit("kata grup Arsari milik Hasyim "), x, lit(" sendiri")))
     return C.group_aliases(events(spark, d).select("e", said.alias("text")), "e", "text")
 
 
+SAID = [("ada rights issue", 1), ("private placement segera", 2), ("tender wajib", 4), ("backdoor", 8), ("penggabungan usaha", 16), ("buy back", 32), ("stock split", 64), ("dividen jumbo", 128), ("kena suspensi", 256), ("delisting", 512), ("kontrak baru", 1024),
+    ("crossing besar", 2048), ("pkpu", 4096), ("RUPSLB besok", 8192), ("tender proyek jalan", 0), ("Grup PP dan TO", 4), ("penambahan modal tanpa HMETD", 3)]
+
+
+@query("C04_topic_bits", f"SELECT e, CAST(({[bits for _, bits in SAID]})[CAST(e % {len(SAID)} + 1 AS BIGINT)] AS BIGINT) AS topics FROM ev")
+def c04(spark, d):
+    said = F.get(F.array(*(F.lit(text) for text, _ in SAID)), (F.col("e") % len(SAID)).cast("int"))
+    return events(spark, d).select("e", topic_bits(said).alias("topics"))
+
+
+@query("N01_affirmed", "SELECT e, e % 4 IN (1, 3) AS affirmed FROM ev")
+def n01(spark, d):
+    forms = ["tidak ada rencana rights issue", "tidak ada rencana; namun rights issue jalan", "belum ada. Perseroan tidak berencana buyback atau rights issue", "rights issue disetujui, tidak ada keberatan"]
+    return events(spark, d).select("e", T.affirmed(F.get(F.array(*map(F.lit, forms)), (F.col("e") % 4).cast("int")), r"(?i)rights issue").alias("affirmed"))
+
+
 ENTITIES = """roles AS (SELECT DISTINCT u % 30 AS name, u % 11 AS code, t AS role, day AS date FROM ev),
 united AS (SELECT u % 30 AS name, u % 11 AS code, 'holder' AS role, max(day) AS date FROM ev GROUP BY ALL UNION SELECT * FROM roles),
 entities AS (SELECT * FROM united QUALIFY row_number() OVER (PARTITION BY name, code ORDER BY date DESC, role) <= 8)"""

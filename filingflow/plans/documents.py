@@ -120,11 +120,6 @@ def x18(spark, d):
     return X.negated_only(docs(spark, d).withColumnRenamed("text", "content"), "doc_id", r"(?i)\bque\b")
 
 
-@query("N01_affirmed")
-def n01(spark, d):
-    return docs(spark, d).select("doc_id", T.affirmed("text", r"(?i)\bder\b").alias("affirmed"))
-
-
 @query("C03_fold_duplicates", "SELECT text, min(doc_id) AS doc_id, count(*) - 1 AS n_dups FROM documents GROUP BY 1")
 def c03(spark, d):
     from filingflow.operators.relational import fold_duplicates
@@ -135,11 +130,6 @@ def c03(spark, d):
 TOPIC_PATTERNS = ["(?i)license", "(?i)password|token", "(?i)@[a-z0-9]", "(?i)\\|", "(?i)!!", "(?i)stupid|worthless|pathetic"]
 
 
-@query("C04_topic_bits", "SELECT doc_id, CAST(0 AS BIGINT)" + "".join(f" + CASE WHEN regexp_matches(text, '{p}') THEN {1 << i} ELSE 0 END" for i, p in enumerate(TOPIC_PATTERNS)) + " AS topics FROM documents")
-def c04(spark, d):
-    return docs(spark, d).select("doc_id", T.topic_bits("text", TOPIC_PATTERNS).alias("topics"))
-
-
 @query("C12_spelling_variants", r"""WITH t AS (SELECT DISTINCT unnest(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda x: regexp_full_match(x, '\p{L}{5,}'))) AS token FROM benchmark), v AS (SELECT DISTINCT unnest(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda x: regexp_full_match(x, '\p{L}{5,}'))) AS word FROM conversations)
 SELECT token, word FROM t JOIN v ON token[1] = word[1] AND token <> word AND abs(length(token) - length(word)) <= 1 WHERE (length(token) = length(word) AND len(list_filter(range(1, length(token) + 1), lambda i: token[i] <> word[i])) = 1)
   OR (length(token) <> length(word) AND len(list_filter(range(1, greatest(length(token), length(word)) + 1), lambda i: CASE WHEN length(token) > length(word) THEN token[1:i-1] || token[i+1:] = word ELSE word[1:i-1] || word[i+1:] = token END)) > 0)""")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from filingflow.operators import digest as D
 from filingflow.operators import mentions as M
 from filingflow.operators import sections as S
 from filingflow.plans.desk import EVENTS, PROSE, events, known
@@ -91,6 +92,42 @@ def r11_passages(spark, d):
     return S.passages(r, 2000).select("doc", "passage", "line", "section_id", "context", "content")
 
 
+FILES = """, child AS (SELECT b.*, row_number() OVER (PARTITION BY doc_id ORDER BY e) AS k, '### ' || other || ' — E' || chr(10) || '- ' || text || chr(10) AS body, other IN (SELECT code FROM known) AS is_known FROM bullets b),
+file AS (SELECT doc_id, day, code, u, any_value(is_known) AS is_known, count(*) AS n, string_agg(line || chr(10), '' ORDER BY e) AS bullets, string_agg(body, '' ORDER BY e) AS bodies FROM child GROUP BY ALL)
+SELECT CAST(doc_id AS VARCHAR) AS doc, place, kind, code, tier, parent, CAST(strlen(text) AS INTEGER) AS size FROM (
+  SELECT doc_id, 1 AS place, 'pre' AS kind, NULL AS code, NULL AS tier, NULL AS parent, '# Daily ' || day || chr(10) || chr(10) AS text FROM file
+  UNION ALL SELECT doc_id, 2, 'head', NULL, NULL, NULL, '## Sorotan' || chr(10) || 'hot' || chr(10) FROM file
+  UNION ALL SELECT doc_id, 3, 'issuer', code, 1, NULL, '## ' || code || ' — PT ' || code || ' Tbk' || chr(10) || chr(10) || bullets FROM file WHERE u % 2 = 0
+  UNION ALL SELECT doc_id, 4 - u % 2, CASE WHEN is_known THEN 'intro' ELSE 'aux' END, NULL, NULL, NULL, '## Emiten lain' || chr(10) || 'opening' || chr(10) || CASE WHEN is_known THEN '' ELSE bodies END FROM file
+  UNION ALL SELECT doc_id, 4 - u % 2 + k, 'issuer', other, 2 - u % 2, 4 - u % 2, body FROM child WHERE is_known
+  UNION ALL SELECT doc_id, 5 - u % 2 + CASE WHEN is_known THEN n ELSE 0 END, 'appendix', NULL, NULL, NULL, '## Lampiran: semua' || chr(10) || '- a' || chr(10) FROM file)"""
+
+
+def _segments(spark, d) -> DataFrame:
+    """Segments of a file for each user and day; every other user's has a section of its own before the container of others."""
+    e = events(spark, d)
+    bullet = F.concat(F.lit("- ["), "kind", F.lit("] "), "text", F.lit(" — @user"), "u", F.lit(" "), F.date_format("ts", "HH:mm"), F.lit(" dari "), 1 + F.col("e") % 4, F.lit(" akun, "), F.col("e") % 3, F.lit(" balasan"), F.when(F.col("e") % 6 == 0, " gap").otherwise(""), F.lit(" ("), "fid", F.lit(")\n"))
+    body = F.concat(F.lit("### "), "other", F.lit(" — E\n- "), "text", F.lit("\n"))
+    g = e.groupBy("doc_id", "day", "code", "u").agg(F.array_sort(F.collect_list(F.struct("e", bullet.alias("bullet"), body.alias("body")))).alias("x"))
+    joined = lambda c: F.array_join(F.transform("x", lambda v: v[c]), "")
+    own = F.when(F.col("u") % 2 == 0, F.concat(F.lit("## "), "code", F.lit(" — PT "), "code", F.lit(" Tbk\n\n"), joined("bullet"))).otherwise("")
+    text = F.concat(F.lit("# Daily "), F.col("day").cast("string"), F.lit("\n\n## Sorotan\nhot\n"), own, F.lit("## Emiten lain\nopening\n"), joined("body"), F.lit("## Lampiran: semua\n- a\n"))
+    return D.daily_segments(g.select(F.col("doc_id").cast("string").alias("doc"), text.alias("text")), known(spark, d))
+
+
+@query("R04_segment_daily", FILES)
+def r04(spark, d):
+    return D.sized(_segments(spark, d)).select("doc", "place", "kind", "code", "tier", "parent", "size")
+
+
+@query("B04_digest_plan")
+def b04(spark, d):
+    """Each user asks for all of their days; summaries of even days are read beside their details."""
+    days = events(spark, d).select(F.col("doc_id").cast("string").alias("doc"), F.col("u").alias("request"), "day").distinct()
+    s = D.sized(_segments(spark, d)).join(days, "doc").withColumn("cat", F.lit("bei")).withColumn("head_only", F.dayofmonth("day") % 2 == 0)
+    return D.digest_plan(s, 2500)
+
+
 MENTIONS = """, said AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY e) + 4 AS line, CASE WHEN u % 3 = 0 THEN 'keterbukaan-informasi' ELSE 'bei-detail' END AS cat, e % 8 AS k FROM ev),
 found AS (SELECT other AS code, day AS date, code AS filer, CAST(doc_id AS VARCHAR) AS doc, CAST(line AS INTEGER) AS line,
   CASE k WHEN 0 THEN 'lain' WHEN 1 THEN 'lain' WHEN 2 THEN 'kreditur' WHEN 5 THEN 'transaksi_saham' END AS relation,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from filingflow.functions.text import parse_local
@@ -57,14 +57,15 @@ def resolve_backrefs(reports: DataFrame) -> DataFrame:
 
 
 def compress_repeats(reports: DataFrame) -> DataFrame:
-    """The inverse: a list equal to the last one stored before becomes its number."""
-    from pyspark.sql import Window
-
+    """The inverse of resolve_backrefs: reports (entity, idx, holders) as (entity, idx, ref, holders). A list equal to the last one that
+    was stored, which is the last one that differs from the list before it, becomes that one's number; rows without a list between don't
+    matter and stay without."""
     w = Window.partitionBy("entity").orderBy("idx")
-    known = reports.where("holders is not null").withColumn("hash", F.sha2(F.to_json("holders"), 256))
-    same = F.coalesce(F.lag("hash").over(w) == F.col("hash"), F.lit(False))
-    first = F.last(F.when(~F.col("same"), F.col("idx")), ignorenulls=True).over(w)
-    return known.withColumn("same", same).select("entity", "idx", F.when(F.col("same"), first).alias("ref"), F.when(~F.col("same"), F.col("holders")).alias("holders"))
+    digest = F.when(F.col("holders").isNotNull(), F.sha2(F.to_json("holders"), 256))
+    before = F.last("_digest", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    r = reports.withColumn("_digest", digest).withColumn("_same", F.coalesce(before == F.col("_digest"), F.lit(False)))
+    stored = F.last(F.when(F.col("holders").isNotNull() & ~F.col("_same"), F.col("idx")), ignorenulls=True).over(w)
+    return r.select("entity", "idx", F.when(F.col("_same"), stored).alias("ref"), F.when(~F.col("_same"), F.col("holders")).alias("holders"))
 
 
 def read_prices(spark: SparkSession, path: str) -> DataFrame:
