@@ -130,25 +130,3 @@ def filter_event_date(df: DataFrame, date: str, mentions: str, wanted: str) -> D
     """Rows without a date, of the date, or that mention it."""
     d = F.lit(wanted).cast("date")
     return df.where(F.col(date).isNull() | (F.col(date) == d) | F.coalesce(F.array_contains(mentions, d), F.lit(False)))
-
-
-def date_mentions(df: DataFrame, id_col: str, text_col: str, year: int) -> DataFrame:
-    """Dates that a text mentions: ISO, D/M/YYYY or D/M, and day with month name (perhaps misspelled by one letter, in names of six
-    letters and more that begin alike) with or without a year; a missing year is the given one."""
-    text = F.col(text_col)
-    iso = F.transform(F.regexp_extract_all(text, F.lit(r"\b\d{4}-\d{2}-\d{2}\b"), F.lit(0)), lambda s: F.try_to_date(s, "yyyy-MM-dd"))
-    slashed = F.transform(F.regexp_extract_all(text, F.lit(r"(?<![\d/])\d{1,2}/\d{1,2}(?:/\d{4})?(?![\d/])"), F.lit(0)), lambda s: day(F.coalesce(F.nullif(F.get(F.split(s, "/"), 2), F.lit("")), F.lit(str(year))), F.get(F.split(s, "/"), 1), F.get(F.split(s, "/"), 0)))
-    from_marks = df.select(id_col, F.explode(F.array_compact(F.concat(iso, slashed))).alias("date"))
-    worded = df.select(id_col, F.explode(F.regexp_extract_all(text, F.lit(r"(?i)(?<![\d/-])\d{1,2}\s+\p{L}{3,10}\b(?:\s+\d{4})?"), F.lit(0))).alias("s"))
-    part = lambda k: F.nullif(F.regexp_extract("s", r"^(\d{1,2})\s+(\p{L}+)(?:\s+(\d{4}))?", k), F.lit(""))
-    named = worded.select(id_col, part(1).alias("d"), F.lower(part(2)).alias("w"), F.coalesce(part(3), F.lit(str(year))).alias("y"))
-    months = _months(df)
-    near = (F.col("w") == F.col("month")) | ((F.length("w") >= 6) & (F.length("month") >= 6) & (F.substring("w", 1, 3) == F.substring("month", 1, 3)) & (F.levenshtein("w", "month") <= 1))
-    from_words = named.join(F.broadcast(months), near).select(id_col, day(F.col("y"), F.col("number"), F.col("d")).alias("date"))
-    return from_marks.unionByName(from_words.where("date is not null")).distinct()
-
-
-def _months(df: DataFrame) -> DataFrame:
-    from filingflow.functions.dates import MONTHS
-
-    return df.sparkSession.createDataFrame(sorted(MONTHS.items()), "month string, number int")

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from filingflow.functions.dates import LOCAL_MONTHS
 from filingflow.operators import reports as P
 from filingflow.operators import signals as K
 from filingflow.operators import structure as A
+from filingflow.operators.mentioned_dates import date_mentions
 from filingflow.plans.registry import Registry
 from filingflow.plans.tables import POSITIONS, positions, table
 from filingflow.sources import files as S
@@ -71,4 +73,23 @@ def a16(spark, d):
     return c.select("c_custkey", place(False).alias("up"), place(True).alias("down"))
 
 
+ASKED = """WITH o AS (SELECT o_orderkey, o_orderkey % 8 AS k, CAST(o_orderdate + INTERVAL 240 MONTH AS DATE) AS x FROM orders),
+s AS (SELECT o_orderkey, x AS a, x AS b FROM o WHERE k < 4 UNION ALL SELECT o_orderkey, make_date(2015, month(x), 5), make_date(2015, month(x), 5) FROM o WHERE k = 4 UNION ALL SELECT o_orderkey, make_date(2015, month(x), 10), make_date(2015, month(x), 10) FROM o WHERE k = 4
+  UNION ALL SELECT o_orderkey, make_date(year(x), month(x), 3), make_date(year(x), month(x), 17) FROM o WHERE k = 5 UNION ALL SELECT o_orderkey, x, x + 40 FROM o WHERE k = 6 UNION ALL SELECT o_orderkey, DATE '2016-05-09', DATE '2016-05-15' FROM o WHERE k = 7)
+SELECT o_orderkey, a AS "from", b AS "to" FROM s"""
+
+
+@plain("D17_date_mentions", ASKED)
+def d17(spark, d):
+    """Questions about the date of an order: written in six ways, with misspelled months, lists, ranges and weeks."""
+    x, k, lit = F.add_months("o_orderdate", 240), F.col("o_orderkey") % 8, F.lit
+    month = F.get(F.array(*map(F.lit, LOCAL_MONTHS)), F.month(x) - 1)
+    wrong = F.concat(month, F.when(F.length(month) >= 6, F.substring(month, -1, 1)).otherwise(""))
+    full = lambda c, m: F.concat_ws(" ", F.dayofmonth(c), m, F.year(c))
+    said = F.when(k == 0, F.concat(lit("tanggal "), x.cast("string"))).when(k == 1, F.concat_ws("/", F.dayofmonth(x), F.month(x), F.year(x))).when(k == 2, F.concat(lit("ada apa "), full(x, wrong), lit("?")))
+    said = said.when(k == 3, F.concat(month, lit(" "), F.dayofmonth(x), lit(", "), F.year(x))).when(k == 4, F.concat(lit("5 dan 10 "), month)).when(k == 5, F.concat(lit("dari 3-17 "), month, lit(" "), F.year(x)))
+    said = said.when(k == 6, F.concat(x.cast("string"), lit(" sampai tanggal "), F.date_add(x, 40).cast("string"))).otherwise("apa saja minggu lalu")
+    return date_mentions(table(spark, d, "orders").select("o_orderkey", said.alias("text")), "o_orderkey", "text", 2015, "2016-05-18")
+
+
 QUERIES, SQL = query.queries | plain.queries, query.sql | plain.sql
