@@ -1,12 +1,12 @@
-"""Selection of material under size budgets. Order-dependent picks run in Arrow workers, one request at a time; a request's material
-is bounded by what one answer may look at, and requests are many."""
+"""Selection of material under size budgets. Picks that depend on all picks before are state that streams over sorted partitions."""
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from filingflow.operators.packing import with_state
 
 
 def prefix_budget(df: DataFrame, key: str, order: list[Column], size: str, budget: int) -> DataFrame:
@@ -16,45 +16,44 @@ def prefix_budget(df: DataFrame, key: str, order: list[Column], size: str, budge
     return df.withColumn("used", total).withColumn("_n", F.row_number().over(w)).where((F.col("used") <= budget) | (F.col("_n") == 1)).drop("_n")
 
 
-def _picked(df: DataFrame, key: str, pick) -> DataFrame:
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        return frame[pick(frame)]
+class _Budget:
+    """What is left of a key's budget, days that have ended, and the batch that is being filled."""
 
-    return df.groupBy(key).applyInPandas(run, df.schema)
+    def __init__(self, left: int):
+        self.left, self.ended, self.batch, self.used = left, set(), 0, 0
 
+    def takes(self, n: int | None) -> bool:
+        ok = n is not None and n <= self.left
+        self.left -= n if ok else 0
+        return ok
 
-def greedy_budget(df: DataFrame, key: str, order: list[str], size: str, budget: int) -> DataFrame:
-    """Rows in order that still fit; rows that don't are skipped and smaller ones after them may follow."""
+    def takes_of(self, n: int | None, day) -> bool:
+        if day in self.ended:
+            return False
+        if not (ok := self.takes(n)):
+            self.ended.add(day)
+        return ok
 
-    def pick(frame: pd.DataFrame) -> list[bool]:
-        out, left = {}, budget
-        for i, n in frame.sort_values(order)[size].items():
-            out[i] = n <= left
-            left -= n if out[i] else 0
-        return [out[i] for i in frame.index]
+    def packs(self, n: int | None, most: int) -> int:
+        n = n or 0
+        if self.used and self.used + n > most:
+            self.batch, self.used = self.batch + 1, 0
+        self.used += n
+        return self.batch
 
-    return _picked(df, key, pick)
+
+def greedy_budget(df: DataFrame, key: str, order: list[str], size: str, budget: int) -> DataFrame:
+    """Rows in order that still fit; rows that don't are skipped and smaller ones after them may follow. A row without size never fits."""
+    picked = with_state(df, [key], [F.asc(c) for c in order], [size], lambda: _Budget(budget), lambda s, n: s.takes(n), "_ok", pa.bool_())
+    return picked.where("_ok").drop("_ok")
 
 
 def round_robin_budget(df: DataFrame, key: str, day: str, order: list[str], size: str, budget: int) -> DataFrame:
-    """Newest days first, one row a day in each round; a day ends with its first row that doesn't fit."""
-
-    def pick(frame: pd.DataFrame) -> list[bool]:
-        queues = [list(g.sort_values(order)[size].items()) for _, g in sorted(frame.groupby(day), key=lambda x: x[0], reverse=True)]
-        chosen, left = set(), budget
-        while queues:
-            rest = []
-            for q in queues:
-                i, n = q.pop(0)
-                if n <= left:
-                    chosen.add(i)
-                    left -= n
-                    if q:
-                        rest.append(q)
-            queues = rest
-        return [i in chosen for i in frame.index]
-
-    return _picked(df, key, pick)
+    """Newest days first, one row a day in each round; a day ends with its first row that doesn't fit. That is the order of (place in the
+    day, day falling), in which one pass decides."""
+    turn = F.row_number().over(Window.partitionBy(key, day).orderBy(*order))
+    picked = with_state(df.withColumn("_turn", turn), [key], [F.asc("_turn"), F.desc(day)], [size, day], lambda: _Budget(budget), lambda s, n, d: s.takes_of(n, d), "_ok", pa.bool_())
+    return picked.where("_ok").drop("_ok", "_turn")
 
 
 def lead_text(lines: DataFrame, id_col: str, findings: str, opening: int = 1100, k: int = 5) -> DataFrame:
@@ -66,19 +65,8 @@ def lead_text(lines: DataFrame, id_col: str, findings: str, opening: int = 1100,
 
 
 def pack_batches(df: DataFrame, key: str, order: list[str], size: str, most: int) -> DataFrame:
-    """Batches of rows in order, of at most so many bytes; a row that is larger is a batch of its own."""
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(order)
-        batch, used, out = 0, 0, []
-        for n in frame[size]:
-            if used and used + n > most:
-                batch, used = batch + 1, 0
-            used += n
-            out.append(batch)
-        return frame.assign(batch=out)
-
-    return df.groupBy(key).applyInPandas(run, T.StructType([*df.schema.fields, T.StructField("batch", T.LongType())]))
+    """Batches of rows in order, of at most so many bytes; a row that is larger is a batch of its own, one without size takes none."""
+    return with_state(df, [key], [F.asc(c) for c in order], [size], lambda: _Budget(0), lambda s, n: s.packs(n, most), "batch", pa.int64())
 
 
 def order_by_source(df: DataFrame, kind: str, ranks: dict[str, int], date: str) -> DataFrame:

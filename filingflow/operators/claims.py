@@ -180,7 +180,7 @@ def spelling_variants(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
 def name_like(texts: DataFrame, text_col: str) -> DataFrame:
     """Words that stand with a capital twice at least, and at least as often as without."""
-    t = texts.select(F.explode(F.regexp_extract_all(F.col(text_col), F.lit(r"\b\p{L}{2,}\b"), F.lit(0))).alias("t"))
+    t = texts.select(F.explode(F.regexp_extract_all(F.col(text_col), F.lit(r"(?U)\b\p{L}{2,}\b"), F.lit(0))).alias("t"))
     capital = F.col("t").rlike(r"^\p{Lu}").cast("bigint")
     g = t.groupBy(F.lower("t").alias("token")).agg(F.sum(capital).alias("capital"), F.sum(1 - capital).alias("lower"))
     return g.where((F.col("capital") >= 2) & (F.col("capital") >= F.col("lower")))

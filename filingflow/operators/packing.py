@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -37,3 +37,26 @@ def with_packs(df: DataFrame, keys: list[str], order: list[str], size: str, gap:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers)], [*columns, out])
 
     return rows.mapInArrow(run, df.withColumn(out, F.lit(0)).schema)
+
+
+def with_state(df: DataFrame, keys: list[str], order: list[Column], reads: list[str], start: Callable[[], object], step: Callable, out: str, kind: pa.DataType) -> DataFrame:
+    """Adds step(state, *values of reads) for each row, in order within its key; a key begins with start(). As in with_packs, rows of a key
+    are in one partition in order and pass through one batch at a time, so only the state is held."""
+    columns = df.columns
+    at = {c: columns.index(c) for c in [*keys, *reads]}
+    rows = df.repartition(*keys).sortWithinPartitions(*keys, *order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, state = None, None
+        for batch in batches:
+            own = zip(*(batch.column(at[k]).to_pylist() for k in keys))
+            values = zip(*(batch.column(at[c]).to_pylist() for c in reads))
+            made = []
+            for key, row in zip(own, values):
+                if state is None or key != last:
+                    last, state = key, start()
+                made.append(step(state, *row))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, kind)], [*columns, out])
+
+    like = {pa.bool_(): F.lit(True), pa.int64(): F.lit(0).cast("bigint")}[kind]
+    return rows.mapInArrow(run, df.withColumn(out, like).schema)

@@ -115,9 +115,12 @@ def x17(spark, d):
     return X.rare_terms(table(spark, d, "benchmark"), "item_id", "text", X.build_postings(docs(spark, d), "doc_id", "text"))
 
 
-@query("X18_negated_only")
+@query("X18_negated_only", "SELECT user_id * 100 + day(ts) AS doc_id, count(*) AS hits FROM events WHERE event_type <> 'view' GROUP BY 1 HAVING bool_and(event_id % 3 = 0)")
 def x18(spark, d):
-    return X.negated_only(docs(spark, d).withColumnRenamed("text", "content"), "doc_id", r"(?i)\bque\b")
+    """Records of a user's day: some name a rights issue, others deny it, others speak of something else."""
+    denied = F.when(F.col("event_type") == "view", "laporan biasa").when(F.col("event_id") % 3 == 0, "tidak ada rencana rights issue").otherwise("ada rights issue; tidak ada keberatan")
+    records = table(spark, d, "events").select((F.col("user_id") * 100 + F.dayofmonth("ts")).alias("doc_id"), denied.alias("content"))
+    return X.negated_only(records, "doc_id", r"(?i)rights issue")
 
 
 @query("C03_fold_duplicates", "SELECT text, min(doc_id) AS doc_id, count(*) - 1 AS n_dups FROM documents GROUP BY 1")
@@ -138,14 +141,17 @@ def c12(spark, d):
     return C.spelling_variants(table(spark, d, "benchmark").select(words("t").alias("token")), table(spark, d, "conversations").select(words("t").alias("word")))
 
 
-@query("C13_name_like")
+@query("C13_name_like", r"""WITH t AS (SELECT unnest(list_filter(regexp_extract_all(text, '[\p{L}\p{N}_]+'), lambda x: regexp_full_match(x, '\p{L}{2,}'))) AS t FROM documents), g AS (SELECT lower(t) AS token, sum(CASE WHEN regexp_matches(t, '^\p{Lu}') THEN 1 ELSE 0 END) AS capital, sum(CASE WHEN regexp_matches(t, '^\p{Lu}') THEN 0 ELSE 1 END) AS lower FROM t GROUP BY 1)
+SELECT token, CAST(capital AS BIGINT) AS capital, CAST(lower AS BIGINT) AS lower FROM g WHERE capital >= 2 AND capital >= lower""")
 def c13(spark, d):
     return C.name_like(docs(spark, d), "text")
 
 
-@query("C14_is_company")
+@query("C14_is_company", "SELECT c_custkey, c_custkey % 3 <> 2 AS company FROM customer")
 def c14(spark, d):
-    return table(spark, d, "customer").select("c_custkey", is_company("c_name").alias("company"))
+    k = F.col("c_custkey") % 3
+    name = F.when(k == 0, F.concat(F.lit("PT "), "c_name")).when(k == 1, "Maju Jaya Abadi Sentosa").otherwise("Budi Santoso")
+    return table(spark, d, "customer").select("c_custkey", is_company(name).alias("company"))
 
 
 @query("L05_trend", "WITH m AS (SELECT user_id, event_type, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY day DESC) AS k FROM m), g AS (SELECT user_id, event_type, arg_min(n, day) AS \"from\", arg_max(n, day) AS \"to\", max(day) AS observed FROM r WHERE k <= 3 GROUP BY ALL) SELECT *, CASE WHEN \"to\" > \"from\" THEN 'up' WHEN \"to\" < \"from\" THEN 'down' ELSE 'flat' END AS direction FROM g")
@@ -220,18 +226,26 @@ def b01(spark, d):
     return B.prefix_budget(docs(spark, d).select("doc_id", "source", "n_chars"), "source", [F.desc("doc_id")], "n_chars", 20000).select("doc_id", "source", "used")
 
 
-@query("B02_greedy_budget")
+@query("B02_greedy_budget", """WITH RECURSIVE t AS (SELECT conv_id, turn, length(text) AS size, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations),
+r AS (SELECT conv_id, turn, size, n, size <= 600 AS ok, CASE WHEN size <= 600 THEN 600 - size ELSE 600 END AS rest FROM t WHERE n = 1 UNION ALL SELECT t.conv_id, t.turn, t.size, t.n, t.size <= rest, CASE WHEN t.size <= rest THEN rest - t.size ELSE rest END FROM r JOIN t ON t.conv_id = r.conv_id AND t.n = r.n + 1)
+SELECT conv_id, turn, CAST(size AS INTEGER) AS size FROM r WHERE ok""")
 def b02(spark, d):
     return B.greedy_budget(table(spark, d, "conversations").select("conv_id", "turn", F.length("text").alias("size")), "conv_id", ["turn"], "size", 600)
 
 
-@query("B03_round_robin_budget")
+@query("B03_round_robin_budget", """WITH RECURSIVE e AS (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, event_id, event_id % 50 + 1 AS size, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY event_id) AS turn FROM events),
+t AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY turn, day DESC) AS n FROM e),
+r AS (SELECT user_id, n, event_id, day, size, size <= 500 AS ok, CASE WHEN size <= 500 THEN 500 - size ELSE 500 END AS rest, CASE WHEN size <= 500 THEN [] ELSE [day] END AS ended FROM t WHERE n = 1
+  UNION ALL SELECT t.user_id, t.n, t.event_id, t.day, t.size, t.size <= rest AND NOT list_contains(ended, t.day), CASE WHEN t.size <= rest AND NOT list_contains(ended, t.day) THEN rest - t.size ELSE rest END, CASE WHEN t.size <= rest OR list_contains(ended, t.day) THEN ended ELSE list_append(ended, t.day) END FROM r JOIN t ON t.user_id = r.user_id AND t.n = r.n + 1)
+SELECT user_id, day, event_id, size FROM r WHERE ok""")
 def b03(spark, d):
     e = table(spark, d, "events").select("user_id", F.to_date("ts").cast("string").alias("day"), "event_id", (F.col("event_id") % 50 + 1).alias("size"))
     return B.round_robin_budget(e, "user_id", "day", ["event_id"], "size", 500)
 
 
-@query("B06_pack_batches")
+@query("B06_pack_batches", """WITH RECURSIVE t AS (SELECT user_id, event_id, event_id % 50 + 1 AS size, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+r AS (SELECT user_id, event_id, size, n, 0 AS batch, size AS used FROM t WHERE n = 1 UNION ALL SELECT t.user_id, t.event_id, t.size, t.n, CASE WHEN used > 0 AND used + t.size > 120 THEN batch + 1 ELSE batch END, CASE WHEN used > 0 AND used + t.size > 120 THEN t.size ELSE used + t.size END FROM r JOIN t ON t.user_id = r.user_id AND t.n = r.n + 1)
+SELECT user_id, event_id, size, CAST(batch AS BIGINT) AS batch FROM r""")
 def b06(spark, d):
     e = table(spark, d, "events").select("user_id", "event_id", (F.col("event_id") % 50 + 1).alias("size"))
     return B.pack_batches(e, "user_id", ["event_id"], "size", 120)

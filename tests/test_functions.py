@@ -60,7 +60,7 @@ def test_text_kit(one):
     assert one(codes("x"), "BBCA and TLKM, BBCA ABCDE") == ["BBCA", "TLKM"]
 
 
-@pytest.mark.parametrize("text,hit", [("rights issue planned", True), ("no rights issue", False), ("not sold; rights issue", True), ("tidak ada dividen. rights issue naik", True), ("", False), (None, False)])
+@pytest.mark.parametrize("text,hit", [("rights issue planned", True), ("belum berencana rights issue", False), ("tidak ada dividen; rights issue", True), ("rights issue, tidak ada lagi", True), ("tidak ada dividen. rights issue naik", True), ("", False), (None, False)])
 def test_affirmed(one, text, hit):
     assert one(affirmed("x", r"(?i)rights issue"), text) is hit
 

@@ -148,7 +148,7 @@ def test_structure(spark):
 
 
 def test_search(spark):
-    t = spark.createDataFrame([(1, "Rights issue of BBCA"), (2, "rights of others; no rights issue"), (3, "arights issue"), (4, None)], "doc_id bigint, text string")
+    t = spark.createDataFrame([(1, "Rights issue of BBCA"), (2, "rights of others; tidak ada rights issue"), (3, "arights issue"), (4, None)], "doc_id bigint, text string")
     p = X.build_postings(t, "doc_id", "text")
     assert {r.doc_id for r in X.search(t, p, "doc_id", "text", ["rights issue"]).collect()} == {1, 2}
     assert {r.doc_id for r in X.search(t, p, "doc_id", "text", [], ["BBCA"]).collect()} == {1}
