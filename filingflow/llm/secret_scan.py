@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import codecs
 import json
 import re
 import zlib
@@ -33,6 +34,7 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*+[:=]\x
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 CHECKED = re.compile(r"(?:gh[pousr]|npm)_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
 JWT = re.compile(r"(eyJ[A-Za-z0-9_-]*)\.(eyJ[A-Za-z0-9_-]*)\.[A-Za-z0-9_-]*")
+JWT_RUN = re.compile(r"[A-Za-z0-9_-]*")
 PEM = re.compile(r"-----BEGIN ([A-Z ]*)PRIVATE KEY-----[A-Za-z0-9+/=\s]*+-----END \1PRIVATE KEY-----")
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 HEX_RUN = 32
@@ -47,9 +49,12 @@ def checksum62(payload: str) -> str:
     return out
 
 
-def _is_json(part: str) -> bool:
+def _is_json(text: str, start: int, end: int) -> bool:
+    """Whether a part of a text is the base64 of a JSON object. What is no UTF-8 at its beginning needs no look at the rest."""
     try:
-        return isinstance(json.loads(base64.urlsafe_b64decode(part + "=" * (-len(part) % 4))), dict)
+        head = text[start : min(end, start + 64)]
+        codecs.getincrementaldecoder("utf-8")().decode(base64.urlsafe_b64decode(head[: len(head) // 4 * 4]))
+        return isinstance(json.loads(base64.urlsafe_b64decode(text[start:end] + "=" * ((start - end) % 4))), dict)
     except (ValueError, binascii.Error):
         return False
 
@@ -92,7 +97,7 @@ class Scanner:
                 last = m.end()
                 if m.end(2) - m.start(2) >= 8:
                     found.append((start, "assign", last))
-        ends = dict.fromkeys(KINDS, 0)
+        ends, header, token = dict.fromkeys(KINDS, 0), 0, 0
         for end, (size, kind) in self.exact.iter(text):
             start = end + 1 - size
             if start < ends[kind]:
@@ -103,8 +108,17 @@ class Scanner:
                     if m.end() - start >= 16:
                         found.append((start, kind, m.end()))
                 continue
-            m = {"github": CHECKED, "npm": CHECKED, "jwt": JWT, "pem": PEM}[kind].match(text, start)
-            if m and (kind not in ("github", "npm") or checksum62(m[1]) == m[2]) and (kind != "jwt" or _is_json(m[1])):
+            if kind == "jwt":
+                if start >= header:
+                    # Every beginning on one run of signs is followed by the same parts.
+                    m = JWT.match(text, start)
+                    header, token = (m.end(1), m.end()) if m else (JWT_RUN.match(text, start).end(), 0)
+                if token and _is_json(text, start, header):
+                    ends[kind] = token
+                    found.append((start, kind, token))
+                continue
+            m = (PEM if kind == "pem" else CHECKED).match(text, start)
+            if m and (kind == "pem" or checksum62(m[1]) == m[2]):
                 ends[kind] = m.end()
                 found.append((start, kind, m.end()))
         found += [(a, "hex", b) for a, b in self.hex_runs(text)]
