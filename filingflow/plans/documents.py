@@ -201,16 +201,28 @@ def _answers(spark, d):
     return table(spark, d, "conversations").where("role = 'assistant'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("answer_id"), "conv_id", "text")
 
 
-@query("V03_extract_numbers")
+SAID = """WITH o AS (SELECT o_orderkey, o_orderkey % 6 AS k, CAST(o_orderkey % 500 + 2000 AS VARCHAR) AS n FROM orders)"""
+
+
+def _said(spark, d):
+    """Answers with numbers in several spellings, and what their sources say."""
+    k, n = F.col("o_orderkey") % 6, (F.col("o_orderkey") % 500 + 2000).cast("int")
+    answer = F.when(k == 0, "total 1.250 saham").when(k == 1, F.concat(F.lit("total "), n)).when(k == 2, "sekitar 98 saja").when(k == 3, "nilai 5,5 juta").when(k == 4, "nilai 7,25 miliar").otherwise("tanpa angka")
+    source = F.when(k == 0, "1250 lembar").when(k == 1, F.concat(n + 5, F.lit(" lembar"))).when(k == 2, "100 lembar").when(k == 3, "5500000").when(k == 4, "7000000000").otherwise("12")
+    o = table(spark, d, "orders")
+    return V.extract_numbers(o.select("o_orderkey", answer.alias("text")), "o_orderkey", "text"), V.extract_numbers(o.select("o_orderkey", source.alias("text")), "o_orderkey", "text")
+
+
+@query("V03_extract_numbers", f"""{SAID}, r AS (SELECT o_orderkey, unnest(CASE k WHEN 0 THEN [{{'w': '1.250', 'v': 1250.0, 'u': 1.0, 'a': false}}, {{'w': '1.250', 'v': 1.25, 'u': 0.001, 'a': false}}] WHEN 1 THEN [{{'w': n, 'v': CAST(n AS DOUBLE), 'u': 1.0, 'a': false}}] WHEN 2 THEN [{{'w': '98', 'v': 98.0, 'u': 1.0, 'a': true}}]
+  WHEN 3 THEN [{{'w': '5,5', 'v': 55000000.0, 'u': 1000000.0, 'a': false}}, {{'w': '5,5', 'v': 5500000.0, 'u': 100000.0, 'a': false}}] WHEN 4 THEN [{{'w': '7,25', 'v': 725000000000.0, 'u': 1000000000.0, 'a': false}}, {{'w': '7,25', 'v': 7250000000.0, 'u': 10000000.0, 'a': false}}] ELSE [] END) AS x FROM o)
+SELECT o_orderkey, CAST(0 AS INTEGER) AS place, x.w AS written, CAST(x.v AS DOUBLE) AS value, CAST(x.u AS DOUBLE) AS unit, x.a AS approximate FROM r""")
 def v03(spark, d):
-    return V.extract_numbers(docs(spark, d), "doc_id", "text").select("doc_id", "place", "written", "value", "unit")
+    return _said(spark, d)[0].select("o_orderkey", "place", "written", F.round("value", 6).alias("value"), F.round("unit", 6).alias("unit"), "approximate")
 
 
-@query("V04_unsupported_numbers")
+@query("V04_unsupported_numbers", f"{SAID} SELECT o_orderkey, CASE k WHEN 1 THEN n ELSE '7,25' END AS written FROM o WHERE k IN (1, 4)")
 def v04(spark, d):
-    c = table(spark, d, "conversations")
-    numbers = lambda role: V.extract_numbers(c.where(F.col("role") == role), "conv_id", "text")
-    return V.unsupported_numbers(numbers("assistant"), numbers("user"), "conv_id")
+    return V.unsupported_numbers(*_said(spark, d), "o_orderkey").select("o_orderkey", "written").distinct()
 
 
 @query("E08_uncovered_claims", r"""WITH u AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(text), '\p{L}{4,}')) AS own FROM conversations WHERE role = 'user'), a AS (SELECT conv_id, list_distinct(regexp_extract_all(lower(coalesce(string_agg(text, ' '), '')), '\p{L}{4,}')) AS said FROM conversations WHERE role = 'assistant' GROUP BY 1)
