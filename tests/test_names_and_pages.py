@@ -1,11 +1,6 @@
-"""Name lookup, HTML records and party ids over a stream, on small fixtures."""
-
-import datetime as dt
-
-from pyspark.sql import functions as F
+"""Name lookup and HTML records on small fixtures."""
 
 from filingflow.operators import lookup as K
-from filingflow.operators import reports as P
 from filingflow.operators.html_records import html_records
 from filingflow.sources.files import entity_codes
 
