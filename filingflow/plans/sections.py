@@ -132,7 +132,7 @@ MENTIONS = """, said AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER
 found AS (SELECT other AS code, day AS date, code AS filer, CAST(doc_id AS VARCHAR) AS doc, CAST(line AS INTEGER) AS line,
   CASE k WHEN 0 THEN 'lain' WHEN 1 THEN 'lain' WHEN 2 THEN 'kreditur' WHEN 5 THEN 'transaksi_saham' END AS relation,
   CASE k WHEN 0 THEN 'Induk PT Maju Tbk (' || other || ') hadir ' || e || '.' WHEN 1 THEN 'harga saham ' || lower(other) || ' naik ' || e WHEN 2 THEN other || ' menerima pinjaman ' || e ELSE 'Karya n' || (u + 1) || ' menjual saham ' || e END AS snippet
-  FROM said WHERE k IN (0, 1, 5) OR (k = 2 AND cat = 'bei-detail'))
+  FROM said WHERE k IN (0, 1) OR (k = 2 AND cat = 'bei-detail') OR (k = 5 AND u + 1 IN (SELECT u FROM ev)))
 SELECT * FROM found WHERE code IN (SELECT code FROM known)"""
 
 
