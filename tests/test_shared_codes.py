@@ -17,7 +17,7 @@ def many_users(tmp_path_factory, sf):
     return str(d)
 
 
-@pytest.mark.parametrize("name", ["C05_scan_mentions", "X06_prune_comentions", "L05_trend_check"])
+@pytest.mark.parametrize("name", ["C05_scan_mentions", "X06_prune_comentions", "L05_trend_check", "L06_check_claims"])
 def test_codes_of_several_users(spark, many_users, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{many_users}/events.parquet'")
