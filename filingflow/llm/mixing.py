@@ -8,16 +8,17 @@ repeats with the period, hence a document's slot follows from its block number a
 
 No row is dropped: whole periods run while every source can fill its part; then one closing period with what the short sources have
 left (its shares are those of what it holds), and the others go on with their own weights. A source without weight comes after all
-others, as a mixture of its own. Beyond `max_sources` sources, bundles of sources are scheduled as one each, and a bundle's slots are
-dealt out among its sources by a schedule of their own, made in Spark: a source is then less than one block from its share of the
-bundle, and the bundle less than one block from its share of all. Equal source names are one source; null is a source of its own. Null and empty texts take no room
-and stand where the block before them ends. Rows of one id stand together. Weights of absent sources have no effect.
+others, as a mixture of its own. Sources go round `max_sources` bundles (those without weight round as many others), the bundles are
+scheduled, and a bundle's slots are dealt out among its sources by a schedule of their own, made in Spark; that is one rule for any
+number of sources. A source is less than one block from its share of the bundle, and the bundle less than one block from its share of
+all; alone in its bundle, as each is until there are more sources than bundles, a source is less than one block off. Equal source
+names are one source; null is a source of its own. Null and empty texts take no room and stand where the block before them ends. Rows
+of one id stand together. Weights of absent sources have no effect.
 """
 
 from __future__ import annotations
 
 import heapq
-from math import ceil, isqrt
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -25,10 +26,9 @@ from pyspark.sql import functions as F
 
 from filingflow.llm.common import cut
 
-#: Sources that one schedule holds; its size grows with their square.
+#: Bundles of sources that one schedule holds; its size grows with their square.
 MAX_SOURCES = 2000
-#: Slots of the schedule's table that are broadcast; beyond, the table is joined with its hot sources salted.
-BROADCAST_SLOTS = 1 << 20
+#: Tasks among which a source's rows are dealt out where plans are joined.
 SALT = 64
 
 
@@ -111,6 +111,8 @@ PLAN = "parts array<struct<first:bigint,n:bigint,slot:bigint,share:bigint,total:
 
 def plan_rows(blocks: dict[str, int], weights: dict[str, float], period: int) -> list[tuple]:
     """schedule() as one row (source, blocks, parts) a source."""
+    if len(blocks) == 1:
+        return [(s, n, [(0, n, 0, 1, 1, [0])]) for s, n in blocks.items()]
     parts: dict[str, list] = {s: [] for s in blocks}
     for s, *part in schedule(blocks, weights, period):
         parts[s].append(tuple(part))
@@ -124,11 +126,22 @@ def slot_of(parts: str, block: Column) -> Column:
     return p["slot"] + F.floor(i / p["share"]).cast("bigint") * p["total"] + F.get(p["at"], (i % p["share"]).cast("int"))
 
 
-def bundled(sizes: DataFrame, period: int, max_sources: int) -> tuple[DataFrame, DataFrame]:
-    """sizes: rows (source, blocks, weight) of many sources. Plans of the sources within their bundles, rows (source, bundle, n_blocks,
-    parts), and of the bundles, rows (bundle, outer). Each bundle is scheduled in a task."""
-    n = sizes.count()
-    held = sizes.withColumn("bundle", F.pmod(F.xxhash64("source"), F.lit(min(max_sources, isqrt(n) + 1))).cast("int"))
+def numbered(sizes: DataFrame, hex_digits: int = 3) -> DataFrame:
+    """sizes with n: numbers from 0 in md5 order, those of sources with and without weight apart. Parts of the digests are counted first,
+    then each is numbered on its own, so no task holds all sources."""
+    s = sizes.withColumn("none", F.col("weight") <= 0).withColumn("h", F.md5(F.col("source").cast("binary"))).withColumn("part", F.substring("h", 1, hex_digits))
+    ahead = Window.partitionBy("none").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = s.groupBy("none", "part").agg(F.count("*").alias("here")).select("none", "part", F.coalesce(F.sum("here").over(ahead), F.lit(0)).alias("start"))
+    own = F.row_number().over(Window.partitionBy("none", "part").orderBy("h", "source")) - 1
+    return s.withColumn("own", own).join(starts, ["none", "part"]).select("source", "blocks", "weight", "none", (F.col("start") + F.col("own")).alias("n"))
+
+
+def bundled(sizes: DataFrame, period: int, max_sources: int) -> tuple[DataFrame, DataFrame, int]:
+    """sizes: rows (source, blocks, weight). Plans of the sources within their bundles, rows (source, bundle, n_blocks, parts), of the
+    bundles, rows (bundle, outer), and how many bundles there are. There are max_sources bundles of sources with weight, and as many
+    without, and sources go round them: as long as there are no more sources than bundles, each has a bundle of its own. Each bundle
+    is scheduled in a task."""
+    held = cut(numbered(sizes).select("source", "blocks", "weight", (F.col("n") % max_sources + F.when(F.col("none"), max_sources).otherwise(0)).cast("int").alias("bundle")))
 
     def inner(table: pa.Table) -> pa.Table:
         names, own = table.column("source").to_pylist(), dict(zip(table.column("source").to_pylist(), table.column("weight").to_pylist()))
@@ -138,9 +151,9 @@ def bundled(sizes: DataFrame, period: int, max_sources: int) -> tuple[DataFrame,
         return pa.table({"source": [r[0] for r in rows], "bundle": pa.array([table.column("bundle")[0].as_py()] * len(rows), pa.int32()), "n_blocks": pa.array([r[1] for r in rows], pa.int64()), "parts": pa.array(parts, kind)})
 
     plans = held.groupBy("bundle").applyInArrow(inner, f"source string, bundle int, n_blocks bigint, {PLAN}")
-    own = {str(r.bundle): r for r in held.groupBy("bundle").agg(F.sum("blocks").alias("blocks"), F.sum("weight").alias("weight")).collect()}
+    own = {r.name: r for r in held.groupBy("bundle").agg(F.min("source").alias("name"), F.sum("blocks").alias("blocks"), F.sum("weight").alias("weight")).collect()}
     outer = plan_rows({k: r.blocks for k, r in own.items()}, {k: r.weight for k, r in own.items()}, period)
-    return plans, sizes.sparkSession.createDataFrame([(int(k), parts) for k, _, parts in outer], f"bundle int, {PLAN.replace('parts', 'outer', 1)}")
+    return plans, sizes.sparkSession.createDataFrame([(own[k].bundle, parts) for k, _, parts in outer], f"bundle int, {PLAN.replace('parts', 'outer', 1)}"), len(own)
 
 
 def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block_chars: int = 1 << 16, period: int = 1000, temperature: float = 0.5, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", hex_digits: int = 3, max_sources: int = MAX_SOURCES) -> DataFrame:
@@ -154,24 +167,14 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block_c
         given = spark.createDataFrame([("-" if s is None else f"={s}", float(w)) for s, w in weights.items()], "source string, given double")
         sizes = sizes.join(given, "source", "left").select("source", "blocks", F.coalesce("given", F.lit(0.0)).alias("weight"))
     ordered = source_order(docs, id_col, source_col, text_col, hex_digits).withColumn("block", F.floor(F.col("before") / F.lit(block_chars)).cast("bigint"))
-    few = sizes.limit(max_sources + 1).collect()
-    if len(few) <= max_sources:
-        rows = plan_rows({r.source: r.blocks for r in few}, {r.source: r.weight for r in few}, period)
-        plan, slots = spark.createDataFrame(rows, f"source string, n_blocks bigint, {PLAN}"), sum(len(p[5]) for r in rows for p in r[2])
-        outer = None
-    else:
-        plan, outer = bundled(sizes, period, max_sources)
-        slots = BROADCAST_SLOTS + 1
-    if slots <= BROADCAST_SLOTS:
-        joined = ordered.join(F.broadcast(plan), "source")
+    plan, outer, bundles = bundled(sizes, period, max_sources)
+    if bundles < max_sources:  # Each source has a bundle of its own, and the plans are small: the rows are the same, only the join isn't salted.
+        joined = ordered.join(F.broadcast(plan.join(outer, "bundle")), "source")
     else:
         salt = lambda df: df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-        joined = ordered.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALT)).cast("int")).join(salt(plan), ["source", "salt"])
-        joined = joined.join(salt(outer), ["bundle", "salt"]) if outer is not None else joined
+        joined = ordered.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALT)).cast("int")).join(salt(plan), ["source", "salt"]).join(salt(outer), ["bundle", "salt"])
     block = F.least("block", F.col("n_blocks") - 1)
-    placed = joined.withColumn("offset", F.col("before") - block * block_chars).withColumn("block", block).withColumn("slot", slot_of("parts", F.col("block")))
-    if outer is not None:
-        placed = placed.withColumn("slot", slot_of("outer", F.col("slot")))
+    placed = joined.withColumn("offset", F.col("before") - block * block_chars).withColumn("block", block).withColumn("slot", slot_of("outer", slot_of("parts", F.col("block"))))
     return placed.select(
         F.col("id").alias("doc_id"), F.when(F.col("source") != "-", F.substring("source", 2, 1 << 30)).alias("source"), F.col("size").alias("n_chars"), "block", "slot", (F.col("slot") * block_chars + F.col("offset")).alias("position")
     )
