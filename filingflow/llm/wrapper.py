@@ -3,7 +3,8 @@
 Pages of one host are aligned as trees: simple tree matching pairs the nodes of two trees in order, and a merged tree keeps for each
 node on how many pages it stands and which texts stood in it on every one of these. What stays the same is template, varying slots are
 content. Each task merges the pages that it reads, then Spark merges the trees of a host in three rounds by groups of tasks, so that no
-task holds a host's pages; nodes of few pages are folded into their parents, which bounds a tree. Of each page, the blocks that are
+task holds a host's pages. A tree keeps every node, also those of few pages, since more may follow; it grows with what is different in
+a host's pages. Of each page, the blocks that are
 neither template nor furniture (menus, page headers and footers, sidebars, notices, adverts, forms, comments, by tag, role or name) are
 taken, in whole and in page order. Where an article or main element holds most of them, it is the content, its own header included, and
 in it only whole names such as "comments" or "ad" mark furniture.
@@ -247,10 +248,6 @@ def simple_tree_matching(a: list, b: list) -> tuple[int, list[tuple[int, int]]]:
     return best[m][n] + 1, pairs[::-1]
 
 
-#: From so many pages on, a node that stands on less than this share of its tree's pages is dropped from the tree.
-MANY_PAGES, LEAST_SHARE = 32, 1 / 8
-
-
 def merged(a: list, b: list, same_page: bool = False) -> list:
     """Two aligned trees as one: of matched nodes the texts that both have (on one page: that either has) stay, others are kept in
     order."""
@@ -263,8 +260,6 @@ def merged(a: list, b: list, same_page: bool = False) -> list:
         i, j = x + 1, y + 1
     common = sorted(set(a[COMMON]) | set(b[COMMON])) if same_page else sorted(set(a[COMMON]) & set(b[COMMON]))
     pages = max(a[PAGES], b[PAGES]) if same_page else a[PAGES] + b[PAGES]
-    if pages >= MANY_PAGES:
-        kids = [k for k in kids if k[PAGES] >= pages * LEAST_SHARE]
     return [a[LABEL], pages, common, _folded(kids) if same_page else kids]
 
 

@@ -1,6 +1,6 @@
-"""Mixing follows one rule for any number of sources."""
+"""Mixing follows one rule for any number of sources; templates keep nodes that come late."""
 
-from filingflow.llm import mixing
+from filingflow.llm import mixing, wrapper
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -22,3 +22,12 @@ def test_one_more_source_than_bundles_moves_few(spark):
         slots.setdefault(r.source, set()).add(r.slot)
     far = [s for s, x in slots.items() if any(abs((k + 1) - (slot + 1) / 21) >= 1.2 for k, slot in enumerate(sorted(x)) if slot < 2000)]
     assert len(far) <= 2
+
+
+def test_a_node_that_comes_late_keeps_its_pages():
+    page = lambda more: ["html", 1, [], [["body", 1, [], [["p", 1, [1], []]] + ([["div", 1, [7], []]] if more else [])]]]
+    tree = page(False)
+    for k in range(1, 65):
+        tree = wrapper.merged(tree, page(k >= 32))
+    div = wrapper.below(wrapper.below(wrapper.below(0, "html"), "body"), "div")
+    assert [div, 7, 33] in wrapper.template_texts(tree)
