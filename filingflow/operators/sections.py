@@ -69,9 +69,10 @@ def _blocks(gap: Column) -> Column:
     whole = lambda b: F.array(F.struct(F.lit("context").alias("kind"), plain(b).alias("content")))
 
     def items(block: Column) -> Column:
-        pieces = F.filter(F.split(block, ITEM_CUT), lambda p: p != "")
-        kind = lambda p: F.when((F.size(pieces) > 1) & p.rlike(rf"^(?:{ITEM})"), "list_item").otherwise("context")
-        return F.transform(pieces, lambda p: F.struct(kind(p).alias("kind"), p.alias("content")))
+        # The pieces of a block are bound once, so that a list costs in proportion to its items.
+        kind = lambda p, n: F.when((n > 1) & p.rlike(rf"^(?:{ITEM})"), "list_item").otherwise("context")
+        bound = F.array(F.filter(F.split(block, ITEM_CUT), lambda p: p != ""))
+        return F.flatten(F.transform(bound, lambda pieces: F.transform(pieces, lambda p: F.struct(kind(p, F.size(pieces)).alias("kind"), p.alias("content")))))
 
     each = F.transform(F.filter(cut, lambda b: plain(b) != ""), lambda b: F.when(F.length(plain(b)) > LIST_SPLIT, items(b)).otherwise(whole(b)))
     return F.flatten(each)
