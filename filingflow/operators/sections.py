@@ -115,29 +115,46 @@ def csv_rows(text: str) -> list[str]:
 
 
 def _parsed(docs: DataFrame) -> DataFrame:
-    """HTML and CSV documents: rows (doc, place, kind, content); what lies between the records of a page is a gap."""
+    """HTML and CSV documents: rows (doc, format, place, kind, content); what lies between the records of a page is a gap."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
             for doc, kind, text in frame.itertuples(index=False):
                 if kind == "csv":
-                    rows += [(doc, k, "row", r) for k, r in enumerate(csv_rows(text))]
+                    rows += [(doc, kind, k, "row", r) for k, r in enumerate(csv_rows(text))]
                     continue
                 cursor, place = 0, 0
                 for a, b, tag in [*outermost(text), (len(text), len(text), "end")]:
                     for part, name in ((text[cursor:a], "gap"), (text[a:b], tag)):
                         if part:
-                            rows.append((doc, place, name, part))
+                            rows.append((doc, kind, place, name, part))
                             place += 1
                     cursor = b
-            yield pd.DataFrame(rows, columns=["doc", "group", "kind", "content"])
+            yield pd.DataFrame(rows, columns=["doc", "format", "group", "kind", "content"])
 
-    rows = docs.where(F.col("text") != "").select("doc", "kind", "text").mapInPandas(run, "doc string, group int, kind string, content string")
+    rows = docs.where(F.col("text") != "").select("doc", "kind", "text").mapInPandas(run, "doc string, format string, group int, kind string, content string")
     whole = F.array(F.struct("kind", "content"))
     blocks = F.transform(F.split(F.regexp_replace("content", r"(\n\s*\n)|(?<=\n)(?=\|)", f"$1{CUT}"), CUT), lambda b: F.struct(F.lit("context").alias("kind"), b.alias("content")))
-    each = rows.select("doc", "group", F.posexplode(F.when(F.col("kind") == "gap", F.filter(blocks, lambda b: b["content"] != "")).otherwise(whole)).alias("place", "r"))
-    return each.select("doc", F.struct("group", "place").alias("place"), "r.kind", "r.content")
+    each = rows.select("doc", "format", "group", F.posexplode(F.when(F.col("kind") == "gap", F.filter(blocks, lambda b: b["content"] != "")).otherwise(whole)).alias("place", "r"))
+    return each.select("doc", "format", F.struct("group", "place").alias("place"), "r.kind", "r.content")
+
+
+def _pieces(docs: DataFrame, codes: DataFrame) -> DataFrame:
+    """Rows (doc, format, place, kind, content) of documents; in order of place the contents of a document are its text."""
+    d = docs.select(F.col("doc").cast("string").alias("doc"), "kind", F.col("text").cast("string").alias("text"))
+    md = _markdown(d.where("kind = 'md'"), codes).withColumn("format", F.lit("md"))
+    return md.unionByName(_parsed(d.where("kind in ('html', 'csv')")))
+
+
+def _numbered(pieces: DataFrame) -> DataFrame:
+    """Adds ordinal, line, start and end to pieces."""
+    w = Window.partitionBy("doc").orderBy("place")
+    earlier = w.rowsBetween(Window.unboundedPreceding, -1)
+    breaks = F.length("content") - F.length(F.replace("content", F.lit("\n"), F.lit("")))
+    start = F.coalesce(F.sum(F.length("content")).over(earlier), F.lit(0)).cast("bigint")
+    out = pieces.withColumn("ordinal", F.row_number().over(w)).withColumn("line", (F.coalesce(F.sum(breaks).over(earlier), F.lit(0)) + 1).cast("int")).withColumn("start", start)
+    return out.select("doc", "ordinal", "kind", "line", "start", (F.col("start") + F.length("content")).alias("end"), "content", "format", "place")
 
 
 def partition_documents(docs: DataFrame, codes: DataFrame) -> DataFrame:
@@ -147,14 +164,7 @@ def partition_documents(docs: DataFrame, codes: DataFrame) -> DataFrame:
     between. CSV: one record a row, quoted line ends inside. line counts from 1, start and end in signs. A null or empty text has no
     record; documents need distinct names. Texts don't hold the noncharacters U+FDD1
     to U+FDD3."""
-    d = docs.select(F.col("doc").cast("string").alias("doc"), "kind", F.col("text").cast("string").alias("text"))
-    both = _markdown(d.where("kind = 'md'"), codes).unionByName(_parsed(d.where("kind in ('html', 'csv')")))
-    w = Window.partitionBy("doc").orderBy("place")
-    earlier = w.rowsBetween(Window.unboundedPreceding, -1)
-    breaks = F.length("content") - F.length(F.replace("content", F.lit("\n"), F.lit("")))
-    start = F.coalesce(F.sum(F.length("content")).over(earlier), F.lit(0)).cast("bigint")
-    out = both.withColumn("ordinal", F.row_number().over(w)).withColumn("line", (F.coalesce(F.sum(breaks).over(earlier), F.lit(0)) + 1).cast("int")).withColumn("start", start)
-    return out.select("doc", "ordinal", "kind", "line", "start", (F.col("start") + F.length("content")).alias("end"), "content")
+    return _numbered(_pieces(docs, codes)).drop("format", "place")
 
 
 def annotate_documents(records: DataFrame, docs: DataFrame, codes: DataFrame) -> DataFrame:
@@ -163,20 +173,41 @@ def annotate_documents(records: DataFrame, docs: DataFrame, codes: DataFrame) ->
     section_id (from content and place). The head of a table is its first row in Markdown, the last row with th in HTML, the first row in
     CSV; it ends with the table or at a heading."""
     r = records.join(docs.select(F.col("doc").cast("string").alias("doc"), F.col("kind").alias("format")), "doc")
+    return _named(_annotated(r, "ordinal").drop("format"), records, codes, "ordinal")
+
+
+def annotated_documents(docs: DataFrame, codes: DataFrame, named: bool = True) -> DataFrame:
+    """annotate_documents of the records of partition_documents. Places and contexts come from one sort of the contents, and known codes
+    from the records before it; without the column codes (named=False) documents are partitioned once."""
+    pieces = _pieces(docs, codes)
+    r = _annotated(_numbered(pieces), "place").drop("format")
+    return (_named(r, pieces, codes, "place") if named else r).drop("place")
+
+
+def _named(r: DataFrame, records: DataFrame, codes: DataFrame, place: str) -> DataFrame:
+    """Adds to annotated records the known codes that stand in them. Few words are known, so they are held by key while contents pass."""
+    words = records.select("doc", place, F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"(?U)\b([A-Z0-9]{2,8})\b"), F.lit(1)))).alias("code"))
+    known = words.where(F.col("code").rlike("[A-Z]")).join(codes.select("code").distinct(), "code", "left_semi").groupBy("doc", place).agg(F.array_sort(F.collect_list("code")).alias("codes"))
+    return r.join(known.hint("shuffle_hash"), ["doc", place], "left").withColumn("codes", F.coalesce("codes", F.array().cast("array<string>")))
+
+
+def _annotated(r: DataFrame, place: str) -> DataFrame:
+    """Adds all of annotate_documents but codes to records with their document's format, by windows in order of place alone."""
     md, html = F.col("format") == "md", F.col("format") == "html"
     tag = r"(?is)^<h([1-6])\b[^>]*>(.*?)</h\1>"
     level = F.when(md, F.nullif(F.length(F.regexp_extract("content", HEADING, 1)), F.lit(0))).when(html, F.regexp_extract("content", tag, 1).try_cast("int"))
     title = F.when(md, F.regexp_extract("content", HEADING, 2)).otherwise(F.regexp_extract("content", tag, 2))
-    w = Window.partitionBy("doc").orderBy("ordinal")
+    w = Window.partitionBy("doc").orderBy(place)
     r = r.withColumn("_level", level).withColumn("_title", title)
     chain = [F.last(F.when(F.col("_level") <= k, F.struct((F.col("_level") == k).alias("here"), "_title")), ignorenulls=True).over(w) for k in range(1, 7)]
     r = r.withColumns({f"_open{k}": x for k, x in enumerate(chain)})
     row, stripped = F.ltrim("content").startswith("|"), F.trim(F.regexp_replace("content", r"^\s+|\s+$", ""))
     ends = F.col("_level").isNotNull() | (md & (stripped != "") & ~row) | (html & F.lower("content").contains("</table"))
-    ends_before = F.coalesce(F.sum((F.col("_level").isNotNull() | (md & (stripped != "") & ~row)).cast("int")).over(w), F.lit(0)) + F.coalesce(F.sum((html & F.lower("content").contains("</table")).cast("int")).over(w), F.lit(0))
-    r = r.withColumn("_table", ends_before)
-    own = Window.partitionBy("doc", "_table").orderBy("ordinal")
-    head = F.when(md, F.first(F.when(row, stripped), ignorenulls=True).over(own)).when(html, F.last(F.when((F.col("kind") == "tr") & F.col("content").rlike(r"(?i)<th\b"), stripped), ignorenulls=True).over(own))
+    # A table's head is the last that began since a table ended; in Markdown a row begins one if no row came since.
+    in_table = F.last(F.when(md & row, True).when(ends, False), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    r = r.withColumn("_in_table", F.coalesce(in_table, F.lit(False)))
+    begins = (md & row & ~F.col("_in_table")) | (html & (F.col("kind") == "tr") & F.col("content").rlike(r"(?i)<th\b"))
+    head = F.last(F.when(begins, F.struct(stripped.alias("head"))).when(ends, F.struct(F.lit(None).cast("string").alias("head"))), ignorenulls=True).over(w)["head"]
     head = F.coalesce(head, F.when(F.col("format") == "csv", F.first(F.regexp_replace(stripped, "^\ufeff", "")).over(w)))
     head = F.when(html & ends, None).otherwise(head)
     opened = [F.when(F.col(f"_open{k}.here"), F.col(f"_open{k}._title")) for k in range(6)]
@@ -184,10 +215,7 @@ def annotate_documents(records: DataFrame, docs: DataFrame, codes: DataFrame) ->
     event = F.when((F.col("kind") == "tr") | row, F.nullif(F.regexp_extract(plain, r"^\s*\|?\s*(20\d{2}-\d{2}-\d{2})(?=[ T|\s]|$)", 1), F.lit("")))
     r = r.withColumn("context", F.array_join(F.array_compact(F.array(*opened, head)), "\n")).withColumn("event_date", event)
     r = r.withColumn("dates", F.array_sort(F.array_distinct(F.regexp_extract_all(plain, F.lit(r"\b(20\d{2}-\d{2}-\d{2})\b"), F.lit(1)))))
-    r = r.withColumn("section_id", F.concat(F.substring(F.sha2("content", 256), 1, 24), F.lit("-"), F.col("start"))).drop("_level", "_title", "_table", "format", *(f"_open{k}" for k in range(6)))
-    words = r.select("doc", "ordinal", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"(?U)\b([A-Z0-9]{2,8})\b"), F.lit(1)))).alias("code"))
-    known = words.where(F.col("code").rlike("[A-Z]")).join(codes.select("code").distinct(), "code", "left_semi").groupBy("doc", "ordinal").agg(F.array_sort(F.collect_list("code")).alias("codes"))
-    return r.join(known, ["doc", "ordinal"], "left").withColumn("codes", F.coalesce("codes", F.array().cast("array<string>")))
+    return r.withColumn("section_id", F.concat(F.substring(F.sha2("content", 256), 1, 24), F.lit("-"), F.col("start"))).drop("_level", "_title", "_in_table", *(f"_open{k}" for k in range(6)))
 
 
 def document_parts(records: DataFrame, docs: DataFrame, n: int = 22_000) -> DataFrame:

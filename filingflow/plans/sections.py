@@ -57,7 +57,7 @@ def r01(spark, d):
 SELECT CAST(doc_id AS VARCHAR) AS doc, CAST(ordinal AS INTEGER) AS ordinal, context, event_date, substr(sha256(content), 1, 24) AS digest, coalesce(codes, '') AS codes FROM records LEFT JOIN named USING (doc_id, ordinal)""")
 def r02(spark, d):
     docs = reports(spark, d)
-    r = S.annotate_documents(S.partition_documents(docs, known(spark, d)), docs, known(spark, d))
+    r = S.annotated_documents(docs, known(spark, d))
     return r.select("doc", "ordinal", "context", "event_date", F.substring("section_id", 1, 24).alias("digest"), F.array_join("codes", ",").alias("codes"))
 
 
@@ -81,14 +81,14 @@ SELECT doc, CAST(k + 1 AS INTEGER) AS part, CAST(k * 500 AS BIGINT) AS "start",
   substr(text, CAST(k * 500 + 1 AS BIGINT), 500) AS content, p.context FROM t, unnest(range(0, CAST(ceil(length(text) / 500.0) AS BIGINT))) u(k) JOIN placed p ON CAST(p.doc_id AS VARCHAR) = doc AND k * 500 >= a AND k * 500 < a + length(p.content)""")
 def r11(spark, d):
     docs = reports(spark, d)
-    r = S.annotate_documents(S.partition_documents(docs, known(spark, d)), docs, known(spark, d))
+    r = S.annotated_documents(docs, known(spark, d), named=False)
     return S.document_parts(r, docs, 500).select("doc", "part", "start", "line", "content", "context")
 
 
 @query("R11_passages")
 def r11_passages(spark, d):
     docs = reports(spark, d)
-    r = S.annotate_documents(S.partition_documents(docs, known(spark, d)), docs, known(spark, d))
+    r = S.annotated_documents(docs, known(spark, d), named=False)
     return S.passages(r, 2000).select("doc", "passage", "line", "section_id", "context", "content")
 
 

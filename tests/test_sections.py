@@ -161,3 +161,21 @@ def test_mentions(spark):
     plain = spark.createDataFrame([("GRPM",)], "word string")
     assert (5, "GRPM") not in {(r.line, r.code) for r in mentions.scan_mentions(docs, codes(spark), names, plain).collect()}
     assert mentions.scan_mentions(docs.limit(0), codes(spark), names).count() == 0 and re.match("x", "x")
+
+
+def test_annotated_in_one_sort(spark):
+    html = "<h1>A</h1><table><tr><th>X</th></tr><tr><td>2026-01-05 ABCD</td></tr><tr><th>Y</th></tr><tr><td>1</td></tr></table><p>out</p><table><tr><td>no head</td></tr></table>"
+    md = MD + "\n# Tables\n\n| 2026-02-01 | first |\n\n| 2026-02-02 | same table |\n\nwords\n\n| other | head |\n| 2026-02-03 | WIKA |\n"
+    docs = spark.createDataFrame([("a", "md", md), ("c", "csv", "﻿k;v\r\n1;ABCD\r\n"), ("h", "html", html), ("n", "md", None)], "doc string, kind string, text string")
+    got = sections.annotated_documents(docs, codes(spark))
+    want = sections.annotate_documents(sections.partition_documents(docs, codes(spark)), docs, codes(spark))
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.select(got.columns).collect()))
+    at = {x.content: x for x in got.collect()}
+    assert at["| 2026-02-02 | same table |\n\n"].context == "Tables\n| 2026-02-01 | first |" and at["| 2026-02-03 | WIKA |\n"].context == "Tables\n| other | head |"
+    assert at["<tr><td>1</td></tr>"].context == "A\n<tr><th>Y</th></tr>" and at["<tr><td>no head</td></tr>"].context == "A"
+
+    def sorts(df, shown):
+        return sum("Sort [" in x and shown in x for x in df._jdf.queryExecution().executedPlan().toString().splitlines())
+
+    # Contents are sorted by place once for places and contexts.
+    assert sorts(sections.annotated_documents(docs, codes(spark), named=False), "place") == 1
