@@ -10,13 +10,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def with_packs(df: DataFrame, keys: list[str], order: list[str], size: str, gap: str | None, joins: str | None, limit: int, out: str) -> DataFrame:
+def with_packs(df: DataFrame, keys: list[str], order: list[str], size: str, gap: str | None, joins: str | None, limit: int, out: str, ordered: bool = False) -> DataFrame:
     """Adds the number, from 1 in each key, of the pack that a row falls into: a row joins the pack before it if `joins` allows it and the
     pack's size, a gap and its own size stay within the limit; else it begins a new one. A row above the limit is a pack of its own.
-    Rows of a key are in one partition in order and pass through one at a time: neither a key nor a partition is ever held whole."""
+    Rows of a key are in one partition in order and pass through one at a time: neither a key nor a partition is ever held whole. ordered: rows come
+    straight from a window by these keys in this order, so they need no second shuffle and sort."""
     columns = df.columns
     at = {c: columns.index(c) for c in [*keys, size, *([gap] if gap else []), *([joins] if joins else [])]}
-    rows = df.repartition(*keys).sortWithinPartitions(*keys, *order)
+    rows = df if ordered else df.repartition(*keys).sortWithinPartitions(*keys, *order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, pack, held = None, 0, 0

@@ -243,7 +243,8 @@ def passages(records: DataFrame, n: int = 22_000, between: str = "\n…\n") -> D
     w = Window.partitionBy("doc").orderBy("ordinal", "piece")
     joins = (F.col("piece") == 0) & F.lag("context").over(w).eqNullSafe(F.col("context"))
     pieces = pieces.withColumn("_joins", F.coalesce(joins, F.lit(False))).withColumn("_gap", F.when(F.lag("end").over(w) == F.col("start"), 0).otherwise(gap)).withColumn("_size", F.length("content"))
-    packed = with_packs(pieces, ["doc"], ["ordinal", "piece"], "_size", "_gap", "_joins", n, "passage")
+    # The window has brought the pieces of a document into one partition in order.
+    packed = with_packs(pieces, ["doc"], ["ordinal", "piece"], "_size", "_gap", "_joins", n, "passage", ordered=True)
     text = F.aggregate(F.array_sort(F.collect_list(F.struct("ordinal", "piece", "_gap", "content"))), F.lit(""), lambda s, x: F.when(s == "", x["content"]).otherwise(F.concat(s, F.when(x["_gap"] > 0, F.lit(between)).otherwise(F.lit("")), x["content"])))
     first = lambda c: F.min_by(c, F.struct("ordinal", "piece")).alias(c)
     return packed.groupBy("doc", "passage").agg(first("line"), first("section_id"), first("context"), text.alias("content"))

@@ -177,5 +177,7 @@ def test_annotated_in_one_sort(spark):
     def sorts(df, shown):
         return sum("Sort [" in x and shown in x for x in df._jdf.queryExecution().executedPlan().toString().splitlines())
 
-    # Contents are sorted by place once for places and contexts.
+    # Contents are sorted by place once for places and contexts, and once more for passages.
     assert sorts(sections.annotated_documents(docs, codes(spark), named=False), "place") == 1
+    packed = sections.passages(sections.annotated_documents(docs, codes(spark), named=False), 90)
+    assert sorts(packed, "ordinal") == 1
