@@ -47,31 +47,45 @@ def parse_name_dates(col: Column | str) -> Column:
         names = ("y1", "m1", "d1", "y2", "m2", "d2", "kind")
         return F.struct(*(x.cast("string").alias(n) for x, n in zip((y1, m1, d1, y2, m2, d2, F.lit(kind)), names)))
 
-    y, m, d, y2, m2, d2 = _parts(c, iso + r"[_\-\s]+(?:to[_\-\s]+)?" + iso, 6)
-    rules = [rule(y, m, d, y2, m2, d2, "written")]
-    y, m, d, last = _parts(c, iso + r"(?:_(\d{1,2})(?!\d))?", 4)
-    rules += [rule(y, m, d, y, m, last), rule(y, m, d, y, m, d)]
-    a, b, mon, y = _parts(c, rf"(?i)(?<!\d)(\d{{1,2}})(?:[_\-–](\d{{1,2}}))?[_\- ]{NAME}[_\- ](\d{{4}})", 4)
-    rules.append(rule(y, month_number(mon), a, y, month_number(mon), F.coalesce(b, a)))
-    a, mon, y = _parts(c, rf"(?i)(?<!\d)(\d{{1,2}}){NAME}(\d{{4}})$", 3)
-    rules.append(rule(y, month_number(mon), a, y, month_number(mon), a))
-    mon, mon2, y = _parts(c, rf"(?i)(?<![A-Za-z]){NAME}[_\- ]+(?:{NAME}[_\- ]+)?(\d{{4}})", 3)
-    rules.append(rule(y, month_number(mon), one, y, month_number(F.coalesce(mon2, mon)), one, "month"))
+    patterns = [
+        (iso + r"[_\-\s]+(?:to[_\-\s]+)?" + iso, 6), (iso + r"(?:_(\d{1,2})(?!\d))?", 4), (rf"(?i)(?<!\d)(\d{{1,2}})(?:[_\-–](\d{{1,2}}))?[_\- ]{NAME}[_\- ](\d{{4}})", 4),
+        (rf"(?i)(?<!\d)(\d{{1,2}}){NAME}(\d{{4}})$", 3), (rf"(?i)(?<![A-Za-z]){NAME}[_\- ]+(?:{NAME}[_\- ]+)?(\d{{4}})", 3),
+    ]
+
+    def rules(found: Column) -> Column:
+        p = [[found[f"p{i}_{k}"] for k in range(n)] for i, (_, n) in enumerate(patterns)]
+        y, m, d, y2, m2, d2 = p[0]
+        out = [rule(y, m, d, y2, m2, d2, "written")]
+        y, m, d, last = p[1]
+        out += [rule(y, m, d, y, m, last), rule(y, m, d, y, m, d)]
+        a, b, mon, y = p[2]
+        out.append(rule(y, month_number(mon), a, y, month_number(mon), F.coalesce(b, a)))
+        a, mon, y = p[3]
+        out.append(rule(y, month_number(mon), a, y, month_number(mon), a))
+        mon, mon2, y = p[4]
+        out.append(rule(y, month_number(mon), one, y, month_number(F.coalesce(mon2, mon)), one, "month"))
+        return F.array(*out)
+
+    # Values that several expressions read are bound once by a lambda over an array of one: each pattern is matched once a group.
+    bound = F.array(F.struct(*(x.alias(f"p{i}_{k}") for i, (pattern, n) in enumerate(patterns) for k, x in enumerate(_parts(c, pattern, n)))))
     eight = F.regexp_extract_all(c, F.lit(r"(?<!\d)(\d{8})(?!\d)"), F.lit(1))
     part = lambda x, lo, n: F.substring(x, lo, n)
     year_first = lambda x: rule(part(x, 1, 4), part(x, 5, 2), part(x, 7, 2), part(x, 1, 4), part(x, 5, 2), part(x, 7, 2), "20")
     day_first = lambda x: rule(part(x, 5, 4), part(x, 3, 2), part(x, 1, 2), part(x, 5, 4), part(x, 3, 2), part(x, 1, 2), "20")
-    all_rules = F.concat(F.array(*rules), F.flatten(F.transform(eight, lambda x: F.array(year_first(x), day_first(x)))))
+    all_rules = F.concat(F.flatten(F.transform(bound, rules)), F.flatten(F.transform(eight, lambda x: F.array(year_first(x), day_first(x)))))
+
+    def dated(r: Column) -> Column:
+        return F.struct(day(r["y1"], r["m1"], r["d1"]).alias("start"), day(r["y2"], r["m2"], r["d2"]).alias("last"), r["kind"].alias("kind"), r["y1"].alias("y1"))
+
+    def real(r: Column) -> Column:
+        return r["start"].isNotNull() & r["last"].isNotNull() & ((r["kind"] != "month") | (r["start"] <= r["last"])) & ((r["kind"] != "20") | r["y1"].startswith("20"))
 
     def span(r: Column) -> Column:
-        start, last = day(r["y1"], r["m1"], r["d1"]), day(r["y2"], r["m2"], r["d2"])
-        end = F.when(r["kind"] == "month", F.last_day(last)).when(r["kind"] == "written", last).otherwise(F.greatest(start, last))
-        real = start.isNotNull() & last.isNotNull() & ((r["kind"] != "month") | (start <= last)) & ((r["kind"] != "20") | r["y1"].startswith("20"))
-        return F.struct(start.alias("start"), end.alias("end"), F.when(r["kind"] == "month", "month").otherwise("day").alias("precision"), real.alias("real"))
+        end = F.when(r["kind"] == "month", F.last_day(r["last"])).when(r["kind"] == "written", r["last"]).otherwise(F.greatest(r["start"], r["last"]))
+        return F.struct(r["start"].alias("start"), end.alias("end"), F.when(r["kind"] == "month", "month").otherwise("day").alias("precision"))
 
     # Rules are read one by one in a lambda: as nested expressions their code would be too large to compile.
-    found = F.get(F.filter(F.transform(all_rules, span), lambda s: s["real"]), 0)
-    return F.when(found.isNotNull(), F.struct(found["start"].alias("start"), found["end"].alias("end"), found["precision"].alias("precision")))
+    return F.get(F.transform(F.filter(F.transform(all_rules, dated), real), span), 0)
 
 
 def date_label(start: Column | str, end: Column | str, precision: Column | str) -> Column:
