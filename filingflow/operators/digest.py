@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+from itertools import groupby, pairwise
+from operator import itemgetter
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +19,9 @@ APPENDIX = r"(?i)^lampiran\b"
 LEAD, MARK, LISTED, DEFER = 1100, 80, 160, 10
 HEAD_SHARE, LIST_SHARE, LEAD_SHARE, EXHAUSTIVE_LEAD_SHARE = 0.6, 0.15, 0.55, 0.4
 LEAST_ROOM, LEAST_CAP, LISTING_HEAD = 600, 6000, 120
+# What a plan reads of a segment: its order, and the rest.
+ORDERED = ["day", "cat", "doc", "place"]
+READ = ["kind", "code", "tier", "parent", "size", "lines", "quoted", "listed", "head_only"]
 
 
 def daily_segments(docs: DataFrame, codes: DataFrame) -> DataFrame:
@@ -56,15 +63,15 @@ def sized(segments: DataFrame, quoted: str = r"\[Mengutip keterbukaan\]") -> Dat
 class _Segment:
     __slots__ = ("row", "kind", "code", "tier", "parent", "size", "lines", "quoted", "listed", "preferred", "own", "taken", "late")
 
-    def __init__(self, row: int, r, preferred: frozenset[str], exhaustive: bool):
-        self.row, self.kind, self.code, self.size, self.lines, self.quoted, self.listed = row, r.kind, r.code, int(r.size), r.lines, bool(r.quoted), int(r.listed)
+    def __init__(self, row: int, kind, code, tier, size, lines, quoted, listed, head_only, preferred: frozenset[str], exhaustive: bool):
+        self.row, self.kind, self.code, self.size, self.lines, self.quoted, self.listed = row, kind, code, size, lines, bool(quoted), listed
         if self.kind == "appendix":
             self.kind = "aux" if exhaustive else "note"
             if not exhaustive:
                 self.size, self.lines = self.listed + MARK, [self.listed + MARK]
         self.preferred = self.kind == "issuer" and self.code in preferred
-        self.tier = 1 if self.preferred else None if pd.isna(r.tier) else int(r.tier)
-        self.own = not r.head_only or self.kind in ("pre", "head", "note", "aux")
+        self.tier = 1 if self.preferred else tier
+        self.own = not head_only or self.kind in ("pre", "head", "note", "aux")
         self.parent, self.taken, self.late = None, 0, False
 
     def cut(self, limit: int) -> int:
@@ -94,11 +101,11 @@ class _Plan:
 
     def rounds(self, queues: list[list[_Segment]], left: int, size) -> int:
         """Turn by turn the next segment of each day gets size(segment) while it fits; a day ends at the first one that doesn't."""
-        queues = [list(q) for q in queues]
+        queues = [deque(q) for q in queues]
         while any(queues):
             for q in queues:
                 if q:
-                    s = q.pop(0)
+                    s = q.popleft()
                     cost = max(0, size(s) - s.taken) + (s.parent.size if s.parent and not s.parent.taken else 0)
                     if cost > left:
                         q.clear()
@@ -166,20 +173,46 @@ def digest_plan(segments: DataFrame, budget: int, exhaustive: bool = False, pref
     sections up to a cap; leads that were not reached; the second tier; aux sections; last what the listing doesn't need, in the same
     order. A section brings its intro. Codes that stood first on an earlier day come last on a later one. An appendix is an aux section of an
     exhaustive request; else a note of its heading stands for it, among the heads. A
-    plan takes the sizes of one request's segments, not their texts; nothing but a cut first line of a head can pass the budget."""
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["day", "cat", "doc", "place"], kind="stable").reset_index(drop=True)
-        docs = []
-        for _, rows in frame.groupby(["day", "cat", "doc"], sort=True, dropna=False):
-            own = {r.place: _Segment(r.Index, r, preferred, exhaustive) for r in rows.itertuples()}
-            for r in rows.itertuples():
-                own[r.place].parent = None if pd.isna(r.parent) else own[int(r.parent)]
+    plan takes the sizes of one request's segments, not their texts, and holds one request at a time; nothing but a cut first line of a head can pass the budget."""
+
+    def plan(rows: list[tuple]) -> tuple[list[int], list[bool]]:
+        """One request's rows (day, cat, doc, place, kind, code, tier, parent, size, lines, quoted, listed, head_only) in order."""
+        every, docs = [], []
+        for _, day in groupby(rows, key=itemgetter(0, 1, 2)):
+            own, parents = {}, []
+            for _, _, _, place, kind, code, tier, parent, *rest in day:
+                s = own[place] = _Segment(len(every), kind, code, tier, *rest, preferred, exhaustive)
+                every.append(s)
+                if parent is not None:
+                    parents.append((s, parent))
+            for s, parent in parents:
+                s.parent = own[parent]
             docs.append(list(own.values()))
-        plan = _Plan(docs, budget, exhaustive)
-        plan.run()
-        by_row = {s.row: s for s in plan.all}
-        return frame[["request", "doc", "place"]].assign(taken=[by_row[k].taken for k in range(len(frame))], late=[by_row[k].late for k in range(len(frame))])
+        _Plan(docs, budget, exhaustive).run()
+        return [s.taken for s in every], [s.late for s in every]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Requests pass through one after the other; the end of a batch may cut one, whose rows wait for the next."""
+
+        def planned(request) -> pa.RecordBatch:
+            taken, late = plan(rows)
+            docs, places = pa.array([r[2] for r in rows], types[1]), pa.array([r[3] for r in rows], types[2])
+            return pa.RecordBatch.from_arrays([pa.array([request] * len(rows), types[0]), docs, places, pa.array(taken, pa.int64()), pa.array(late, pa.bool_())], ["request", "doc", "place", "taken", "late"])
+
+        rows, last = [], None
+        for batch in batches:
+            types = [batch.schema.field(c).type for c in ("request", "doc", "place")]
+            ends, sizes = batch.column("lines").offsets.to_numpy(), batch.column("lines").values.to_numpy(zero_copy_only=False)
+            columns = [batch.column(c).to_pylist() for c in ORDERED] + [[sizes[a:b] for a, b in pairwise(ends)] if c == "lines" else batch.column(c).to_pylist() for c in READ]
+            for request, row in zip(batch.column("request").to_pylist(), zip(*columns)):
+                if rows and request != last:
+                    yield planned(last)
+                    rows = []
+                last = request
+                rows.append(row)
+        if rows:
+            yield planned(last)
 
     kinds = {f.name: f.dataType.simpleString() for f in segments.schema.fields}
-    return segments.groupBy("request").applyInPandas(run, f"request {kinds['request']}, doc {kinds['doc']}, place {kinds['place']}, taken bigint, late boolean")
+    asked = segments.select("request", *ORDERED, *READ).repartition("request").sortWithinPartitions("request", *(F.asc_nulls_last(c) for c in ORDERED))
+    return asked.mapInArrow(run, f"request {kinds['request']}, doc {kinds['doc']}, place {kinds['place']}, taken bigint, late boolean")
