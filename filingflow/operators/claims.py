@@ -23,8 +23,15 @@ def classify_actions(df: DataFrame, text_col: str, rules: list[tuple[str, str]]
     unless a rights issue is named in other words too. A text is cut into clauses once."""
     each = lambda c: F.array_compact(F.array(*(F.when(affirms(c, p), F.lit(name)) for name, p in rules)))
     found = F.array_intersect(F.array(*(F.lit(name) for name, _ in rules)), F.flatten(F.transform(clauses(F.coalesce(text_col, F.lit(""))), each)))
-    placed = F.array_contains(found, "private_placement") & ~F.col(text_col).rlike(RIGHTS_ALONE)
-    return df.withColumn("types", F.when(placed, F.array_except(found, F.array(F.lit("rights_issue")))).otherwise(found))
+    placed = lambda x: F.array_contains(x, "private_placement") & ~F.col(text_col).rlike(RIGHTS_ALONE)
+    # What was found has a name of its own here, so that it is not computed again for each use.
+    return df.withColumn("types", F.get(F.transform(F.array(found), lambda x: F.when(placed(x), F.array_except(x, F.array(F.lit("rights_issue")))).otherwise(x)), 0))
+
+
+def typed(df: DataFrame, text_col: str, rules: list[tuple[str, str]] = ACTIONS) -> DataFrame:
+    """One row for each type of a text (type); texts without types have none. The types are exploded with an empty row that is dropped
+    then: a filter on the array would have Spark compute them once more for each place that it is pushed to."""
+    return classify_actions(df, text_col, rules).select("*", F.explode_outer("types").alias("type")).drop("types").where("type is not null")
 
 
 def digest_events(docs: DataFrame, id_col: str, text_col: str, factual: str, rules: list[tuple[str, str]] = ACTIONS) -> DataFrame:
@@ -35,7 +42,7 @@ def digest_events(docs: DataFrame, id_col: str, text_col: str, factual: str, rul
     b = h.withColumn("code", F.nullif(code, F.lit(""))).where(F.col("content").rlike(r"^\s*[-*]\s") & F.col("section").rlike(factual)).where("code is not null")
     b = b.withColumn("text", squash(F.regexp_replace("content", r"^\s*[-*]\s+", "")))
     bare = F.replace(F.col("text"), F.col("code"), F.lit(" "))
-    return classify_actions(b.withColumn("bare", bare), "bare", rules).where(F.size("types") > 0).select(id_col, "line", "code", "text", F.explode("types").alias("type"))
+    return typed(b.select(id_col, "line", "code", "text", bare.alias("bare")), "bare", rules).select(id_col, "line", "code", "text", "type")
 
 
 def text_events(records: DataFrame, id_col: str, codes: DataFrame, rules: list[tuple[str, str]] = ACTIONS) -> DataFrame:

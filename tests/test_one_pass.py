@@ -31,3 +31,12 @@ def test_requests_stream_and_batches_may_cut_them(spark, small_batches):
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert sorted(r[1:] for r in map(tuple, D.digest_plan(s.where("request = 0"), 900).collect())) == each[0]
     assert {r[2] for r in each[0]} != {0} and sum(r[2] for r in each[0]) <= 900 + D.LEAD
+
+
+def test_types_of_bullets_are_found_once(spark):
+    from filingflow.operators import claims as C
+
+    docs = spark.createDataFrame([(1, "## QAAA — PT A Tbk\n- buyback and merger\n- QAAA\n"), (2, None)], "doc_id int, text string")
+    bullets = C.digest_events(docs, "doc_id", "text", "Tbk$")
+    assert plan_of(bullets).count("bonus_shares]") == 1
+    assert sorted((x.code, x.text, x.type) for x in bullets.collect()) == [("QAAA", "buyback and merger", "buyback"), ("QAAA", "buyback and merger", "merger")]
