@@ -50,11 +50,12 @@ def text_events(records: DataFrame, id_col: str, codes: DataFrame, rules: list[t
     owner's and name no other."""
     s = records.select(id_col, "ordinal", F.col("code").alias("owner"), F.posexplode(F.split("content", r"(?<=[.!?])\s+|\n")).alias("place", "text")).where(~F.col("text").rlike(r"^\s*\[\^"))
     masked = F.regexp_replace("text", r"Tbk\.?\s*\(([A-Z]{4})\)", "Tbk")
-    named = classify_actions(s, "text", rules).where(F.size("types") > 0).withColumn("codes", F.array_distinct(F.regexp_extract_all(masked, F.lit(r"\b([A-Z]{4})\b"), F.lit(1))))
-    known = named.select(id_col, "ordinal", "place", F.explode("codes").alias("code")).join(F.broadcast(codes.select("code")), "code")
-    owned = named.join(known.select(id_col, "ordinal", "place").distinct(), [id_col, "ordinal", "place"], "left_anti").where("owner is not null").select(id_col, "ordinal", "place", F.col("owner").alias("code"))
-    both = known.select(id_col, "ordinal", "place", "code").unionByName(owned)
-    return both.join(named.select(id_col, "ordinal", "place", "text", F.explode("types").alias("type")), [id_col, "ordinal", "place"])
+    named = typed(s, "text", rules).withColumn("named", F.explode_outer(F.array_distinct(F.regexp_extract_all(masked, F.lit(r"\b([A-Z]{4})\b"), F.lit(1)))))
+    known = named.join(F.broadcast(codes.select(F.col("code").alias("named"), F.col("code").alias("known")).distinct()), "named", "left")
+    # A sentence and type is read once; codes that are not known are null here, which a set leaves out.
+    g = known.groupBy(id_col, "ordinal", "place", "owner", "text", "type").agg(F.collect_set("known").alias("codes"))
+    own = F.when(F.size("codes") > 0, F.col("codes")).when(F.col("owner").isNotNull(), F.array("owner"))
+    return g.select(id_col, "ordinal", "place", F.explode(own).alias("code"), "text", "type")
 
 
 def dedupe_events(events: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

@@ -40,3 +40,12 @@ def test_types_of_bullets_are_found_once(spark):
     bullets = C.digest_events(docs, "doc_id", "text", "Tbk$")
     assert plan_of(bullets).count("bonus_shares]") == 1
     assert sorted((x.code, x.text, x.type) for x in bullets.collect()) == [("QAAA", "buyback and merger", "buyback"), ("QAAA", "buyback and merger", "merger")]
+
+
+def test_types_are_found_once(spark):
+    from filingflow.operators import claims as C
+
+    r = spark.createDataFrame([(1, 1, "QAAA", "buyback with QAAB and QZZZ. tidak ada merger"), (1, 2, "QAAA", "merger of QZZZ"), (1, 3, None, "merger"), (2, 1, "QAAB", "merger akuisisi Tbk (QAAA)"), (2, 2, "QAAB", None)], "doc_id int, ordinal int, code string, content string")
+    found = C.text_events(r, "doc_id", spark.createDataFrame([("QAAA",), ("QAAB",), ("QAAB",)], "code string"))
+    assert plan_of(found).count("bonus_shares]") == 1
+    assert sorted((x.doc_id, x.ordinal, x.code, x.type) for x in found.collect()) == [(1, 1, "QAAB", "buyback"), (1, 2, "QAAA", "merger"), (2, 1, "QAAB", "acquisition"), (2, 1, "QAAB", "merger")]
