@@ -116,14 +116,19 @@ def nearest_terms(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
 
 def longest_known_phrase(texts: DataFrame, id_col: str, text_col: str, phrases: DataFrame, most: int = 6) -> DataFrame:
-    """phrases (phrase), in lower case: the longest of at most so many words that stands in each text."""
+    """phrases (phrase), in lower case: the longest of at most so many words that stands in each text.
+
+    Words by themselves count once a text. A longer phrase can only stand where its first two words do: each place gives one run of words,
+    and only a run whose first two words begin some phrase is cut to all lengths and looked up."""
     w = F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(WORD), F.lit(0))
-    t = texts.select(id_col, w.alias("w")).where(F.size("w") > 0)
-    grams = None
-    for n in range(1, most + 1):
-        g = t.where(F.size("w") >= n).select(id_col, F.lit(n).alias("n"), F.explode(F.expr(f"transform(sequence(1, size(w) - {n - 1}), i -> array_join(slice(w, i, {n}), ' '))")).alias("phrase"))
-        grams = g if grams is None else grams.unionByName(g)
-    hit = grams.join(phrases.select("phrase").distinct(), "phrase")
+    t = texts.select(id_col, w.alias("w"))
+    p = phrases.select("phrase").distinct().withColumn("n", F.size(F.split("phrase", " ")))
+    single = t.select(id_col, F.explode(F.array_distinct("w")).alias("phrase")).join(p.where("n = 1"), "phrase")
+    runs = t.where(F.size("w") >= 2).select(id_col, F.explode(F.expr(f"transform(sequence(1, size(w) - 1), i -> array_join(slice(w, i, {most}), ' '))")).alias("run"))
+    begins = p.where(F.col("n").between(2, most)).select(F.substring_index("phrase", " ", 2).alias("begin")).distinct()
+    near = runs.withColumn("begin", F.substring_index("run", " ", 2)).join(begins, "begin", "left_semi")
+    cut = near.select(id_col, F.explode(F.expr(f"transform(sequence(2, {max(2, most)}), n -> substring_index(run, ' ', n))")).alias("phrase"))
+    hit = single.unionByName(cut.join(p.where(F.col("n").between(2, most)), "phrase")) if most >= 2 else single
     return hit.groupBy(id_col).agg(F.max_by("phrase", F.struct("n", "phrase")).alias("phrase"))
 
 

@@ -49,3 +49,26 @@ def test_types_are_found_once(spark):
     found = C.text_events(r, "doc_id", spark.createDataFrame([("QAAA",), ("QAAB",), ("QAAB",)], "code string"))
     assert plan_of(found).count("bonus_shares]") == 1
     assert sorted((x.doc_id, x.ordinal, x.code, x.type) for x in found.collect()) == [(1, 1, "QAAB", "buyback"), (1, 2, "QAAA", "merger"), (2, 1, "QAAB", "acquisition"), (2, 1, "QAAB", "merger")]
+
+
+def test_each_place_of_a_text_gives_one_run(spark):
+    import random
+    import re
+
+    from filingflow.operators import search as X
+
+    rng = random.Random(3)
+    word = lambda: rng.choice(["a", "b", "c", "dé", "7"])
+    texts = {k: " ".join(word() + rng.choice(["", ",", "\n"]) for _ in range(rng.randrange(0, 14))) for k in range(60)} | {99: None}
+    phrases = {" ".join(word() for _ in range(rng.randrange(1, 8))) for _ in range(60)} - {"a"}
+    t, p = spark.createDataFrame(list(texts.items()), "id int, text string"), spark.createDataFrame([(x,) for x in sorted(phrases)] + [(None,), ("",), ("a  b",)], "phrase string")
+    for most in (1, 2, 5):
+        found = X.longest_known_phrase(t, "id", "text", p, most)
+        assert plan_of(found).count("slice(") <= 1
+        want = {}
+        for k, text in texts.items():
+            w = re.findall(r"\w+", (text or "").lower())
+            hits = [(n, " ".join(w[i : i + n])) for n in range(1, most + 1) for i in range(len(w) - n + 1) if " ".join(w[i : i + n]) in phrases]
+            if hits:
+                want[k] = max(hits)[1]
+        assert {r.id: r.phrase for r in found.collect()} == want
