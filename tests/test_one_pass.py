@@ -72,3 +72,10 @@ def test_each_place_of_a_text_gives_one_run(spark):
             if hits:
                 want[k] = max(hits)[1]
         assert {r.id: r.phrase for r in found.collect()} == want
+
+
+def test_orders_meet_customers_before_lines_meet_parts(spark, sf):
+    from filingflow.plans.tables import positions
+
+    plan = plan_of(positions(spark, sf))
+    assert -1 < plan.index("FileScan parquet [c_custkey") < plan.index("FileScan parquet [p_partkey")
