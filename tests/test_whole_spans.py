@@ -1,4 +1,4 @@
-"""D14 takes a document's whole span, however long it is."""
+"""D14 takes a document's whole span, however long it is, and gives each pair of a document and a range."""
 
 import datetime as dt
 
@@ -19,8 +19,17 @@ def _tables(spark, folder, spans, parts):
         spark.createDataFrame(rows, schema).write.parquet(f"{folder}/{name}.parquet")
 
 
+def _pairs(spark, folder):
+    return sorted((r.doc_id, r.range_id) for r in __spark_entry__.queries()["D14_overlap_join"](spark, str(folder)).collect())
+
+
 def test_long_spans_meet_late_ranges(spark, tmp_path):
     # Part k begins k * 13 days after the first day and is of category k % 5.
     _tables(spark, tmp_path, [(1, 0, 0, 120), (2, 0, 0, 64), (3, 1, 0, 400)], [(5, 0), (10, 3), (6, 2), (26, 9), (31, 9)])
-    rows = __spark_entry__.queries()["D14_overlap_join"](spark, str(tmp_path)).where("kind = 'pair'").select("a", "b").collect()
-    assert {(r.a, r.b) for r in rows} == {(1, 5), (3, 6), (3, 26)}
+    assert _pairs(spark, tmp_path) == [(1, 5), (3, 6), (3, 26)]
+
+
+def test_equal_spans_are_pairs_of_their_own(spark, tmp_path):
+    # Parts 5 and 2005 begin on one day and are of one category.
+    _tables(spark, tmp_path, [(1, 0, 0, 120), (2, 0, 0, 120), (3, 0, 66, 70)], [(5, 0), (2005, 0), (2010, 0)])
+    assert _pairs(spark, tmp_path) == [(1, 5), (1, 2005), (2, 5), (2, 2005)]
